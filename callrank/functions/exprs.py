@@ -1,58 +1,77 @@
-"""Column expressions shared by the operators. All stay inside whole-stage codegen."""
+"""Spark SQL expressions shared by the operators, as text.
+
+Text goes to Catalyst in one call per column, where a tree of Column objects costs the driver several calls
+per node; the plan is the same. Number literals carry the ``D`` suffix, without which Spark SQL reads
+them as decimals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from datetime import date
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def clip(x: Column, low: float, high: float) -> Column:
+def number(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def quoted(x: str) -> str:
+    escaped = x.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def day(x: date) -> str:
+    return f"DATE '{x.isoformat()}'"
+
+
+def add_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Append new columns given as SQL text."""
+    return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()])
+
+
+def clip(x: str, low: float, high: float) -> str:
     """Bound ``x``; a null stays null (``least`` and ``greatest`` alone would skip it)."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+    return (
+        f"CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x}, {number(low)}), {number(high)}) END"
+    )
 
 
-def cap(x: Column, high: float) -> Column:
-    return F.when(x.isNotNull(), F.least(x, F.lit(high)))
+def cap(x: str, high: float) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least({x}, {number(high)}) END"
 
 
-def round_half_even(x: Column, digits: int) -> Column:
-    """Round the scaled double half to even. ``F.round`` and ``F.bround`` go through decimals
-    and give other results on ties such as 27.05."""
-    scale = float(10**digits)
-    return F.rint(x * F.lit(scale)) / F.lit(scale)
+def round_half_even(x: str, digits: int) -> str:
+    """Round the scaled double half to even. ``round`` and ``bround`` go through decimals and give
+    other results on ties such as 27.05."""
+    scale = number(10**digits)
+    return f"rint(({x}) * {scale}) / {scale}"
 
 
-def true_flag(x: Column) -> Column:
+def true_flag(x: str) -> str:
     """A condition whose unknown counts as false."""
-    return F.coalesce(x, F.lit(False))
+    return f"coalesce({x}, false)"
 
 
-def lookup(x: Column, table: Mapping[str, float], default: float) -> Column:
+def lookup(x: str, table: Mapping[str, float], default: float) -> str:
     """Value of ``x`` in a small fixed table; null and unknown keys give ``default``."""
-    hits = reduce(
-        lambda acc, item: acc.when(x == item[0], F.lit(item[1])),
-        list(table.items())[1:],
-        F.when(x == next(iter(table)), F.lit(table[next(iter(table))])),
-    )
-    return hits.otherwise(F.lit(default))
+    hits = " ".join(f"WHEN {quoted(k)} THEN {number(v)}" for k, v in table.items())
+    return f"CASE {x} {hits} ELSE {number(default)} END"
 
 
-def days_ago(x: Column, kind: T.DataType, reference: date) -> Column:
+def days_ago(x: str, kind: T.DataType, reference: date) -> str:
     """Whole days from ``x`` to the start of the reference day, rounded down.
 
     For a time of day this is one less than the calendar difference.
     """
     if isinstance(kind, T.DateType):
-        return F.datediff(F.lit(reference), x)
+        return f"datediff({day(reference)}, {x})"
     if isinstance(kind, T.StringType):
-        return F.datediff(F.lit(reference), x.try_cast("date"))
-    whole = F.datediff(F.lit(reference), x.cast("date"))
-    return whole - (x > x.cast("date").cast(kind)).cast("int")
+        return f"datediff({day(reference)}, try_cast({x} AS date))"
+    later = f"{x} > CAST(CAST({x} AS date) AS {kind.simpleString()})"
+    return f"datediff({day(reference)}, CAST({x} AS date)) - CAST({later} AS int)"
 
 
 def flag_title(column: str) -> str:
@@ -60,49 +79,39 @@ def flag_title(column: str) -> str:
     return column.split("_", 1)[1].replace("_", " ").title()
 
 
-def active_flags(columns: Iterable[str]) -> Column:
+def active_flags(columns: Iterable[str]) -> str:
     """Array with the titles of the flags that are set."""
-    return F.array_compact(
-        F.array(*[F.when(true_flag(F.col(c)), F.lit(flag_title(c))) for c in columns])
-    )
+    titles = [f"CASE WHEN {c} THEN {quoted(flag_title(c))} END" for c in columns]
+    return f"array_compact(array({', '.join(titles)}))"
 
 
 def badges(
     exclusions: Iterable[str], exclusion_mark: str = "🚫 ", issue_mark: str = "⚠️ "
-) -> Column:
+) -> str:
     """Text such as ``🚫 Opted Out | ⚠️ 2 DQ``, empty when nothing is wrong."""
-    reasons = [
-        F.when(F.col("is_excluded") & true_flag(F.col(c)), F.lit(exclusion_mark + flag_title(c)))
+    parts = [
+        f"CASE WHEN is_excluded AND {c} THEN {quoted(exclusion_mark + flag_title(c))} END"
         for c in exclusions
     ]
-    issues = F.when(
-        F.col("dq_issue_count") > 0,
-        F.concat(F.lit(issue_mark), F.col("dq_issue_count").cast("string"), F.lit(" DQ")),
-    )
-    return F.concat_ws(" | ", *reasons, issues)
+    issues = f"concat({quoted(issue_mark)}, dq_issue_count, ' DQ')"
+    parts.append(f"CASE WHEN dq_issue_count > 0 THEN {issues} END")
+    return f"concat_ws(' | ', {', '.join(parts)})"
 
 
-def record_label() -> Column:
+def record_label() -> str:
     """One line that names a record in a selector."""
-    blank = F.lit("")
-    return F.concat(
-        F.lit("#"),
-        F.col("rank").cast("string"),
-        F.lit(" | "),
-        F.col("entity_id").cast("string"),
-        F.lit(" | "),
-        F.coalesce(F.col("first_name"), blank),
-        F.lit(" "),
-        F.coalesce(F.col("last_name"), blank),
-        F.lit(" | Score: "),
-        F.coalesce(F.format_string("%.1f", F.col("readiness_score")), blank),
+    return (
+        "concat('#', rank, ' | ', entity_id, ' | ', coalesce(first_name, ''), ' ', "
+        "coalesce(last_name, ''), ' | Score: ', "
+        "coalesce(format_string('%.1f', readiness_score), ''))"
     )
 
 
-def count_true(condition: Column) -> Column:
-    return F.count_if(condition)
+def percent(condition: str) -> str:
+    """Share of rows that meet the condition, 0 to 100; unknown counts as no."""
+    return f"avg(CASE WHEN {condition} THEN 1D ELSE 0D END) * 100D"
 
 
-def percent(condition: Column) -> Column:
-    """Share of rows that meet the condition, 0 to 100; unknown counts as no."""
-    return F.avg(F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0))) * F.lit(100.0)
+def share(part: str, whole: str) -> str:
+    """Percentage, 0 when there is nothing to share."""
+    return f"CASE WHEN {whole} > 0 THEN {part} * 100D / {whole} ELSE 0D END"

@@ -6,15 +6,13 @@ Flags never remove a record and never change a score.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add, or_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callrank.config import JobConfig
-from callrank.functions.exprs import true_flag
+from callrank.functions.exprs import add_columns, quoted, true_flag
 from callrank.operators.lookups import lookup_join
 from callrank.sources.crm import CrmTables, present
 from callrank.sources.schemas import COMPETITORS, NON_PROSPECT, OVERWRITTEN_STATUSES
@@ -83,18 +81,18 @@ ACCOUNT_DETAILS = ["account_name", "industry", "is_named_account", "intent_score
 ACCOUNT_INPUTS = ["is_icp_qualified", "employee_count", "annual_revenue"]
 
 
-def _any(columns: Sequence[str]) -> Column:
-    return reduce(or_, [F.col(c) for c in columns])
+def _any(columns: Sequence[str]) -> str:
+    return " OR ".join(columns)
 
 
-def _flag(df: DataFrame, column: str) -> Column:
-    return true_flag(F.col(column)) if column in df.columns else F.lit(False)
+def _flag(df: DataFrame, column: str) -> str:
+    return true_flag(column) if column in df.columns else "false"
 
 
-def _non_prospect(df: DataFrame) -> Column:
+def _non_prospect(df: DataFrame) -> str:
     if "job_persona" not in df.columns:
-        return F.lit(False)
-    return true_flag(F.col("job_persona") == NON_PROSPECT)
+        return "false"
+    return true_flag(f"job_persona = {quoted(NON_PROSPECT)}")
 
 
 # ---- accounts ----
@@ -108,11 +106,11 @@ def dnc_accounts(accounts: DataFrame) -> DataFrame:
 def one_row_per_account(accounts: DataFrame) -> DataFrame:
     """Repeated account ids give one row: the smallest details, blocked if any row is."""
     details = [c for c in accounts.columns if c not in ("account_id", "do_not_contact")]
-    blocked = F.bool_or(_flag(accounts, "do_not_contact")).alias("do_not_contact")
-    grouped = accounts.filter(F.col("account_id").isNotNull()).groupBy("account_id")
+    blocked = F.expr(f"bool_or({_flag(accounts, 'do_not_contact')}) AS do_not_contact")
+    grouped = accounts.filter("account_id IS NOT NULL").groupBy("account_id")
     if not details:
         return grouped.agg(blocked)
-    chosen = grouped.agg(F.min(F.struct(*details)).alias("_details"), blocked)
+    chosen = grouped.agg(F.expr(f"min(struct({', '.join(details)})) AS _details"), blocked)
     return chosen.select("account_id", "_details.*", "do_not_contact")
 
 
@@ -120,12 +118,15 @@ def attach_accounts(contacts: DataFrame, accounts: DataFrame, **join_options) ->
     """One lookup brings every account column that flags, features and details need."""
     wanted = ["account_id", "do_not_contact"] + ACCOUNT_DETAILS + ACCOUNT_INPUTS
     table = one_row_per_account(accounts.select(present(accounts, wanted)))
-    table = table.withColumn("has_account", F.lit(1))
+    table = table.selectExpr("*", "1 AS account_found")
     if "account_id" not in contacts.columns:
-        return contacts.withColumns(
-            {f.name: F.lit(None).cast(f.dataType) for f in table.schema if f.name != "account_id"}
-        )
-    return lookup_join(contacts, table, "account_id", F.col("contact_id"), **join_options)
+        empty = {
+            f.name: f"CAST(NULL AS {f.dataType.simpleString()})"
+            for f in table.schema
+            if f.name != "account_id"
+        }
+        return add_columns(contacts, empty)
+    return lookup_join(contacts, table, "account_id", "contact_id", **join_options)
 
 
 # ---- exclusions ----
@@ -134,40 +135,39 @@ def attach_accounts(contacts: DataFrame, accounts: DataFrame, **join_options) ->
 def flag_lead_exclusions(
     leads: DataFrame, competitors: Sequence[str] = COMPETITORS
 ) -> DataFrame:
-    company = F.col("company") if "company" in leads.columns else F.lit(None).cast("string")
-    return leads.withColumns(
+    rival = "false"
+    if "company" in leads.columns and competitors:
+        rival = true_flag(f"company IN ({', '.join(quoted(c) for c in competitors)})")
+    flagged = add_columns(
+        leads,
         {
-            "exclude_competitor": true_flag(company.isin(*competitors)),
+            "exclude_competitor": rival,
             "exclude_opted_out": _flag(leads, "has_opted_out"),
             "exclude_bounced": _flag(leads, "email_bounced"),
             "exclude_non_prospect": _non_prospect(leads),
             "exclude_disqualified": _flag(leads, "is_disqualified"),
-        }
-    ).withColumn("is_excluded", _any(LEAD_EXCLUSIONS))
+        },
+    )
+    return add_columns(flagged, {"is_excluded": _any(LEAD_EXCLUSIONS)})
 
 
 def flag_contact_exclusions(
     contacts: DataFrame, dnc: DataFrame | None = None, **join_options
 ) -> DataFrame:
     """``dnc`` holds blocked account ids; without it the attached ``do_not_contact`` is used."""
-    blocked = _flag(contacts, "do_not_contact")
-    columns = list(contacts.columns)
-    if dnc is not None and "account_id" in contacts.columns:
-        marks = dnc.withColumn("_blocked", F.lit(True))
-        contacts = lookup_join(contacts, marks, "account_id", F.col("contact_id"), **join_options)
-        blocked = true_flag(F.col("_blocked"))
-    return (
-        contacts.withColumns(
-            {
-                "exclude_opted_out": _flag(contacts, "has_opted_out"),
-                "exclude_no_longer": _flag(contacts, "no_longer_with_company"),
-                "exclude_non_prospect": _non_prospect(contacts),
-                "exclude_dnc_account": blocked,
-            }
-        )
-        .withColumn("is_excluded", _any(CONTACT_EXCLUSIONS))
-        .select(*columns, *CONTACT_EXCLUSIONS, "is_excluded")
-    )
+    flags = {
+        "exclude_opted_out": _flag(contacts, "has_opted_out"),
+        "exclude_no_longer": _flag(contacts, "no_longer_with_company"),
+        "exclude_non_prospect": _non_prospect(contacts),
+        "exclude_dnc_account": _flag(contacts, "do_not_contact"),
+    }
+    columns = contacts.columns
+    if dnc is not None and "account_id" in columns:
+        marks = dnc.selectExpr("account_id", "true AS _blocked")
+        contacts = lookup_join(contacts, marks, "account_id", "contact_id", **join_options)
+        flags["exclude_dnc_account"] = true_flag("_blocked")
+    flagged = contacts.selectExpr(*columns, *[f"{sql} AS {name}" for name, sql in flags.items()])
+    return add_columns(flagged, {"is_excluded": _any(CONTACT_EXCLUSIONS)})
 
 
 # ---- shared e-mails and bulk-load dates ----
@@ -177,11 +177,9 @@ def email_sightings(leads: DataFrame, contacts: DataFrame) -> DataFrame:
     """Every record with its e-mail, three narrow columns."""
 
     def narrow(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(
-            F.lit(kind).alias("entity_type"), F.col(f"{kind}_id").alias("entity_id"), "email"
-        )
+        return df.selectExpr(f"'{kind}' AS entity_type", f"{kind}_id AS entity_id", "email")
 
-    return narrow(leads, "lead").unionByName(narrow(contacts, "contact"))
+    return narrow(leads, "lead").union(narrow(contacts, "contact"))
 
 
 def email_groups(sightings: DataFrame) -> DataFrame:
@@ -189,9 +187,9 @@ def email_groups(sightings: DataFrame) -> DataFrame:
 
     Partial aggregation leaves one row per e-mail and task, so a hot e-mail costs nothing.
     """
-    contact_id = F.when(F.col("entity_type") == "contact", F.col("entity_id"))
     return sightings.groupBy("email").agg(
-        F.count(F.lit(1)).alias("n_records"), F.min(contact_id).alias("first_contact_id")
+        F.expr("count(1) AS n_records"),
+        F.expr("min(IF(entity_type = 'contact', entity_id, NULL)) AS first_contact_id"),
     )
 
 
@@ -205,89 +203,86 @@ def shared_email_records(sightings: DataFrame, **join_options) -> DataFrame:
 
     Only three narrow columns are shuffled by e-mail; the wide records never are.
     """
-    shared = email_groups(sightings).filter("n_records > 1")
+    shared = email_groups(sightings).filter("n_records > 1").selectExpr("*", "true AS _shared")
     found = lookup_join(
         sightings,
-        shared.withColumn("_shared", F.lit(True)),
+        shared,
         "email",
-        F.struct(*ENTITY),
+        "struct(entity_type, entity_id)",
         match_nulls=True,
         **join_options,
     )
+    # Two unknown e-mails are counted as equal but never link two records.
     return (
         found.filter("_shared")
         .groupBy(*ENTITY)
         .agg(
-            F.lit(True).alias("_shared"),
-            # Two unknown e-mails are counted as equal but never link two records.
-            F.min(F.when(F.col("email").isNotNull(), F.col("first_contact_id"))).alias(
-                "_email_contact_id"
-            ),
+            F.expr("any_value(_shared) AS _shared"),
+            F.expr("min(IF(email IS NOT NULL, first_contact_id, NULL)) AS _email_contact_id"),
         )
     )
 
 
 def detect_etl_dates(df: DataFrame, threshold: int = 20, column: str = "created_date") -> DataFrame:
     """Dates on more than ``threshold`` records."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("n_records")
-    )
-    return counts.filter(F.col("n_records") > threshold)
+    counts = df.filter(f"{column} IS NOT NULL").groupBy(column).agg(F.expr("count(1) AS n_records"))
+    return counts.filter(f"n_records > {threshold}")
 
 
 def flag_etl_dates(df: DataFrame, dates: DataFrame, column: str = "created_date") -> DataFrame:
     """Bulk dates are by nature hot keys; a calendar has under 4 million days, so broadcast."""
-    marks = dates.select(F.col(column).cast("date").alias("_day"), F.lit(True).alias("_bulk"))
-    joined = df.join(F.broadcast(marks), F.col(column).cast("date") == F.col("_day"), "left")
-    return joined.withColumn("dq_etl_timestamp", true_flag(F.col("_bulk"))).drop("_day", "_bulk")
+    marks = dates.selectExpr(f"CAST({column} AS date) AS _day", "true AS _bulk")
+    joined = df.join(F.broadcast(marks), F.expr(f"CAST({column} AS date) = _day"), "left")
+    return joined.selectExpr(*df.columns, f"{true_flag('_bulk')} AS dq_etl_timestamp")
 
 
 # ---- data-quality flags that need only the row ----
 
 
-def _absent(df: DataFrame, column: str) -> Column:
-    return F.col(column).isNull() if column in df.columns else F.lit(True)
+def _absent(df: DataFrame, column: str) -> str:
+    return f"{column} IS NULL" if column in df.columns else "true"
 
 
-def _incomplete(df: DataFrame) -> Column:
-    return _absent(df, "title") | _absent(df, "job_persona")
+def _incomplete(df: DataFrame) -> str:
+    return f"{_absent(df, 'title')} OR {_absent(df, 'job_persona')}"
 
 
 def flag_lead_rows(leads: DataFrame) -> DataFrame:
     """Lead flags that need no other row. A null conversion mark counts as not converted."""
-    overwritten = F.lit(False)
+    overwritten = "false"
     if "mql_date" in leads.columns and "lead_status" in leads.columns:
-        overwritten = F.col("mql_date").isNotNull() & true_flag(
-            F.col("lead_status").isin(*OVERWRITTEN_STATUSES)
-        )
-    return leads.withColumns(
+        undone = f"lead_status IN ({', '.join(quoted(x) for x in OVERWRITTEN_STATUSES)})"
+        overwritten = f"mql_date IS NOT NULL AND {true_flag(undone)}"
+    broken = f"{_flag(leads, 'is_converted')} AND {_absent(leads, 'converted_contact_id')}"
+    return add_columns(
+        leads,
         {
-            "dq_broken_conversion": _flag(leads, "is_converted")
-            & _absent(leads, "converted_contact_id"),
+            "dq_broken_conversion": broken,
             "dq_mql_overwritten": overwritten,
             "dq_incomplete": _incomplete(leads),
-        }
+        },
     )
 
 
 def flag_contact_rows(contacts: DataFrame) -> DataFrame:
-    return contacts.withColumns(
-        {"dq_mql_overwritten": F.lit(False), "dq_incomplete": _incomplete(contacts)}
+    return add_columns(
+        contacts, {"dq_mql_overwritten": "false", "dq_incomplete": _incomplete(contacts)}
+    )
+
+
+def _known_contacts(leads: DataFrame, contacts: DataFrame, **join_options) -> DataFrame:
+    """Leads with ``_known``: set when the contact they point to exists."""
+    known = contacts.groupBy(F.col("contact_id").alias("converted_contact_id")).agg(
+        F.expr("true AS _known")
     )
+    return lookup_join(leads, known, "converted_contact_id", "lead_id", **join_options)
 
 
 def dangling_conversions(leads: DataFrame, contacts: DataFrame, **join_options) -> DataFrame:
     """Leads that point to a contact that does not exist."""
-    known = contacts.select(F.col("contact_id").alias("converted_contact_id")).distinct()
-    linked = leads.filter(F.col("converted_contact_id").isNotNull())
-    marked = lookup_join(
-        linked,
-        known.withColumn("_known", F.lit(True)),
-        "converted_contact_id",
-        F.col("lead_id"),
-        **join_options,
-    )
-    return marked.filter(F.col("_known").isNull()).select(leads.columns)
+    linked = leads.filter("converted_contact_id IS NOT NULL")
+    marked = _known_contacts(linked, contacts, **join_options)
+    return marked.filter("_known IS NULL").select(leads.columns)
 
 
 # ---- the whole layer ----
@@ -315,17 +310,17 @@ class CleaningResult(NamedTuple):
 
     def stats(self) -> DataFrame:
         """One row of totals."""
-        lead, contact = F.col("entity_type") == "lead", F.col("entity_type") == "contact"
-        broken = true_flag(F.col("dq_broken_conversion"))
-        shared = email_groups(self.sightings).agg(F.count_if(F.col("n_records") > 1))
-        return self.people.agg(
-            F.count_if(lead).alias("total_leads"),
-            F.count_if(contact).alias("total_contacts"),
-            F.count_if(lead & F.col("is_excluded")).alias("excluded_leads"),
-            F.count_if(contact & F.col("is_excluded")).alias("excluded_contacts"),
-            F.count_if(broken).alias("broken_conversions"),
-            F.count(F.col("resolved_contact_id")).alias("resolved_conversions"),
-        ).withColumn("duplicate_emails", shared.scalar())
+        shared = email_groups(self.sightings).agg(F.expr("count_if(n_records > 1)"))
+        counters = {
+            "total_leads": "count_if(entity_type = 'lead')",
+            "total_contacts": "count_if(entity_type = 'contact')",
+            "excluded_leads": "count_if(entity_type = 'lead' AND is_excluded)",
+            "excluded_contacts": "count_if(entity_type = 'contact' AND is_excluded)",
+            "broken_conversions": "count_if(dq_broken_conversion)",
+            "resolved_conversions": "count(resolved_contact_id)",
+        }
+        totals = self.people.selectExpr(*[f"{sql} AS {name}" for name, sql in counters.items()])
+        return totals.withColumn("duplicate_emails", shared.scalar())
 
 
 def clean(tables: CrmTables, config: JobConfig = JobConfig(), **join_options) -> CleaningResult:
@@ -337,49 +332,32 @@ def clean(tables: CrmTables, config: JobConfig = JobConfig(), **join_options) ->
     leads = flag_lead_rows(flag_lead_exclusions(tables.leads, config.competitors))
     leads = flag_etl_dates(leads, detect_etl_dates(tables.leads, config.lead_etl_threshold))
     if config.check_dangling:
-        leads = _flag_dangling(leads, tables.contacts, join_options)
+        marked = _known_contacts(leads, tables.contacts, **join_options)
+        dangling = "converted_contact_id IS NOT NULL AND _known IS NULL"
+        leads = marked.selectExpr(
+            *[c for c in leads.columns if c != "dq_broken_conversion"],
+            f"dq_broken_conversion OR ({dangling}) AS dq_broken_conversion",
+        )
     contacts = attach_accounts(tables.contacts, tables.accounts, **join_options)
     contacts = flag_contact_rows(flag_contact_exclusions(contacts))
-    contacts = flag_etl_dates(contacts, detect_etl_dates(tables.contacts, config.contact_etl_threshold))
-
-    people = leads.select(
-        F.lit("lead").alias("entity_type"), F.col("lead_id").alias("entity_id"), *leads.columns
-    ).unionByName(
-        contacts.select(
-            F.lit("contact").alias("entity_type"),
-            F.col("contact_id").alias("entity_id"),
-            *contacts.columns,
-        ),
+    contacts = flag_etl_dates(
+        contacts, detect_etl_dates(tables.contacts, config.contact_etl_threshold)
+    )
+
+    people = leads.selectExpr("'lead' AS entity_type", "lead_id AS entity_id", "*").unionByName(
+        contacts.selectExpr("'contact' AS entity_type", "contact_id AS entity_id", "*"),
         allowMissingColumns=True,
     )
     sightings = email_sightings(tables.leads, tables.contacts)
     shared = shared_email_records(sightings, **join_options)
-    people = people.join(shared, ENTITY, "left")
-    people = people.withColumn("dq_duplicate_email", true_flag(F.col("_shared")))
-    issues = reduce(add, [true_flag(F.col(c)).cast("int") for c in LEAD_DQ])
+    columns = people.columns
+    marked = people.join(shared, ENTITY, "left").selectExpr(
+        *columns,
+        f"{true_flag('_shared')} AS dq_duplicate_email",
+        "IF(dq_broken_conversion, _email_contact_id, NULL) AS resolved_contact_id",
+    )
+    issues = " + ".join(f"CAST({true_flag(c)} AS int)" for c in LEAD_DQ)
     if config.legacy_dq_count:
-        issues = issues + F.when(F.col("entity_type") == "lead", F.lit(2)).otherwise(F.lit(0))
-    people = people.withColumns(
-        {
-            "dq_issue_count": issues,
-            "resolved_contact_id": F.when(
-                true_flag(F.col("dq_broken_conversion")), F.col("_email_contact_id")
-            ),
-        }
-    ).drop("_shared", "_email_contact_id")
+        issues += " + IF(entity_type = 'lead', 2, 0)"
+    people = add_columns(marked, {"dq_issue_count": issues})
     return CleaningResult(tables.accounts, people, tables.campaign_members, sightings)
-
-
-def _flag_dangling(leads: DataFrame, contacts: DataFrame, join_options: dict) -> DataFrame:
-    known = contacts.select(F.col("contact_id").alias("converted_contact_id")).distinct()
-    marked = lookup_join(
-        leads,
-        known.withColumn("_known", F.lit(True)),
-        "converted_contact_id",
-        F.col("lead_id"),
-        **join_options,
-    )
-    dangling = F.col("converted_contact_id").isNotNull() & F.col("_known").isNull()
-    return marked.withColumn(
-        "dq_broken_conversion", F.col("dq_broken_conversion") | dangling
-    ).drop("_known")

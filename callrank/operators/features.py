@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callrank.config import JobConfig
-from callrank.functions.exprs import cap, days_ago, lookup, true_flag
+from callrank.functions.exprs import add_columns, cap, days_ago, lookup, quoted, true_flag
 from callrank.operators.clean import ENTITY, CleaningResult
 from callrank.sources.schemas import (
     LEVEL_SCORES,
@@ -54,65 +54,61 @@ def engagement_features(members: DataFrame, reference: date) -> DataFrame:
     before the shuffle, so an entity in a third of all memberships arrives as a few rows, and it makes
     the number of distinct types a plain count afterwards.
     """
-    age = days_ago(F.col("response_date"), members.schema["response_date"].dataType, reference)
-    rows = members.select(
+    age = days_ago("response_date", members.schema["response_date"].dataType, reference)
+    rows = members.selectExpr(
         *ENTITY,
         "campaign_type",
-        true_flag(F.col("is_responded")).alias("real"),
-        (F.col("member_status") == "Attended").alias("attended"),
-        (F.col("member_status") == "Sent").alias("sent"),
-        age.alias("age"),
+        f"{true_flag('is_responded')} AS real",
+        "member_status = 'Attended' AS attended",
+        "member_status = 'Sent' AS sent",
+        f"{age} AS age",
     )
-
-    def real_within(days: int) -> Column:
-        return F.count_if(F.col("real") & (F.col("age") <= days))
-
     per_type = rows.groupBy(*ENTITY, "campaign_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("real").alias("n_real"),
-        real_within(30).alias("n30"),
-        real_within(60).alias("n60"),
-        real_within(90).alias("n90"),
-        real_within(180).alias("n180"),
-        F.min(F.when(F.col("real"), F.col("age"))).alias("youngest"),
-        F.count_if("attended").alias("n_attended"),
-        F.count_if("sent").alias("n_sent"),
+        F.expr("count(1) AS n"),
+        F.expr("count_if(real) AS n_real"),
+        F.expr("count_if(real AND age <= 30) AS n30"),
+        F.expr("count_if(real AND age <= 60) AS n60"),
+        F.expr("count_if(real AND age <= 90) AS n90"),
+        F.expr("count_if(real AND age <= 180) AS n180"),
+        F.expr("min(IF(real, age, NULL)) AS youngest"),
+        F.expr("count_if(attended) AS n_attended"),
+        F.expr("count_if(sent) AS n_sent"),
     )
-
-    def of_type(kind: str, column: str) -> Column:
-        return F.sum(F.when(F.col("campaign_type") == kind, F.col(column)).otherwise(F.lit(0)))
-
     per_entity = per_type.groupBy(*ENTITY).agg(
-        F.sum("n").alias("total_engagements"),
-        F.sum("n_real").alias("real_engagements"),
-        F.sum("n30").alias("engagement_last_30d"),
-        F.sum("n60").alias("_last_60d"),
-        F.sum("n90").alias("engagement_last_90d"),
-        F.sum("n180").alias("engagement_last_180d"),
-        F.min("youngest").alias("_youngest"),
-        of_type("Email", "n_sent").alias("_automated"),
-        F.count("campaign_type").alias("campaign_type_diversity"),
-        of_type("Webinar", "n_attended").alias("webinar_attendances"),
-        of_type("Event", "n_attended").alias("event_attendances"),
-        of_type("Content Syndication", "n_real").alias("content_responses"),
+        F.expr("sum(n) AS total_engagements"),
+        F.expr("sum(n_real) AS real_engagements"),
+        F.expr("sum(n30) AS last_30d"),
+        F.expr("sum(n60) AS last_60d"),
+        F.expr("sum(n90) AS last_90d"),
+        F.expr("sum(n180) AS last_180d"),
+        F.expr("min(youngest) AS youngest"),
+        F.expr("sum(IF(campaign_type = 'Email', n_sent, 0)) AS automated"),
+        F.expr("count(campaign_type) AS campaign_type_diversity"),
+        F.expr("sum(IF(campaign_type = 'Webinar', n_attended, 0)) AS webinar_attendances"),
+        F.expr("sum(IF(campaign_type = 'Event', n_attended, 0)) AS event_attendances"),
+        F.expr("sum(IF(campaign_type = 'Content Syndication', n_real, 0)) AS content_responses"),
     )
-    last = F.col("engagement_last_30d")
-    before = F.col("_last_60d") - last
     growth = (
-        F.when(before == 0, F.when(last > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        .otherwise(F.greatest(F.least((last - before) / before, F.lit(2.0)), F.lit(0.0)))
+        "CASE WHEN real_engagements < 2 THEN 0D "
+        "WHEN before_30d = 0 THEN IF(last_30d > 0, 1D, 0D) "
+        "ELSE greatest(least((last_30d - before_30d) / before_30d, 2D), 0D) END"
+    )
+    return per_entity.selectExpr("*", "last_60d - last_30d AS before_30d").selectExpr(
+        *ENTITY,
+        "total_engagements",
+        "real_engagements",
+        "last_30d AS engagement_last_30d",
+        "last_90d AS engagement_last_90d",
+        "last_180d AS engagement_last_180d",
+        f"CAST(coalesce(youngest, {NO_ENGAGEMENT_DAYS}) AS bigint) AS days_since_last_engagement",
+        "automated / total_engagements AS automation_ratio",
+        "campaign_type_diversity",
+        "webinar_attendances",
+        "event_attendances",
+        "content_responses",
+        f"{growth} AS momentum_score",
+        "real_engagements >= 2 AND last_30d > before_30d AS is_accelerating",
     )
-    enough = F.col("real_engagements") >= 2
-    return per_entity.withColumns(
-        {
-            "days_since_last_engagement": F.coalesce(
-                F.col("_youngest").cast("bigint"), F.lit(NO_ENGAGEMENT_DAYS).cast("bigint")
-            ),
-            "automation_ratio": F.col("_automated") / F.col("total_engagements"),
-            "momentum_score": F.when(enough, growth).otherwise(F.lit(0.0)),
-            "is_accelerating": enough & (last > before),
-        }
-    ).select(*ENTITY, *ENGAGEMENT_DEFAULTS)
 
 
 def with_engagement(people: DataFrame, engagement: DataFrame) -> DataFrame:
@@ -120,56 +116,60 @@ def with_engagement(people: DataFrame, engagement: DataFrame) -> DataFrame:
     return people.join(engagement, ENTITY, "left").fillna(ENGAGEMENT_DEFAULTS)
 
 
-def profile_columns() -> dict[str, Column]:
-    persona = F.col("job_persona")
+def profile_columns() -> dict[str, str]:
+    known_persona = true_flag(f"job_persona <> {quoted(NON_PROSPECT)}")
     return {
-        "level_score": lookup(F.col("job_level"), LEVEL_SCORES, UNKNOWN_SCORE),
-        "persona_score": lookup(persona, PERSONA_SCORES, UNKNOWN_SCORE),
-        "has_title": F.col("title").isNotNull().cast("int"),
-        "has_persona": true_flag(persona != NON_PROSPECT).cast("int"),
+        "level_score": lookup("job_level", LEVEL_SCORES, UNKNOWN_SCORE),
+        "persona_score": lookup("job_persona", PERSONA_SCORES, UNKNOWN_SCORE),
+        "has_title": "CAST(title IS NOT NULL AS int)",
+        "has_persona": f"CAST({known_persona} AS int)",
     }
 
 
-def account_columns(missing_intent: str = "null") -> dict[str, Column]:
+def account_columns(missing_intent: str = "null") -> dict[str, str]:
     """Account features from the attached account columns; all 0 without an account.
 
     An account with an unknown number keeps it unknown under ``missing_intent="null"``.
     """
-    known = F.col("has_account").isNotNull()
-    unknown = F.lit(0.0) if missing_intent == "zero" else F.lit(None).cast("double")
+    unknown = "0D" if missing_intent == "zero" else "NULL"
 
-    def number(column: str, scale: float) -> Column:
-        return F.coalesce(F.col(column).cast("double"), unknown) / F.lit(scale)
+    def number(column: str, scale: str) -> str:
+        return f"coalesce(CAST({column} AS double), {unknown}) / {scale}"
 
-    def when_known(value: Column) -> Column:
-        return F.when(known, value).otherwise(F.lit(0.0))
+    def when_known(value: str) -> str:
+        return f"CASE WHEN account_found IS NOT NULL THEN {value} ELSE 0D END"
 
     return {
-        "account_is_icp": (known & true_flag(F.col("is_icp_qualified"))).cast("int"),
-        "account_is_named": (known & true_flag(F.col("is_named_account"))).cast("int"),
-        "account_intent": when_known(number("intent_score", 100.0)),
-        "account_employee_score": when_known(cap(number("employee_count", 10000.0), 1.0)),
-        "account_revenue_score": when_known(cap(number("annual_revenue", 1e9), 1.0)),
-        "has_account": known.cast("int"),
+        "account_is_icp": f"CAST(account_found IS NOT NULL AND {true_flag('is_icp_qualified')} AS int)",
+        "account_is_named": f"CAST(account_found IS NOT NULL AND {true_flag('is_named_account')} AS int)",
+        "account_intent": when_known(number("intent_score", "100D")),
+        "account_employee_score": when_known(cap(number("employee_count", "10000D"), 1.0)),
+        "account_revenue_score": when_known(cap(number("annual_revenue", "1e9D"), 1.0)),
+        "has_account": "CAST(account_found IS NOT NULL AS int)",
     }
 
 
+# Columns an input table may lack, with what stands in: unlike a missing value, a missing number
+# column counts as 0.
+STAND_INS = {
+    "title": "CAST(NULL AS string)",
+    "job_persona": "CAST(NULL AS string)",
+    "job_level": "CAST(NULL AS string)",
+    "is_icp_qualified": "false",
+    "is_named_account": "false",
+    "intent_score": "0D",
+    "employee_count": "0L",
+    "annual_revenue": "0D",
+}
+
+
 def engineer_features(cleaned: CleaningResult, config: JobConfig = JobConfig()) -> DataFrame:
     """Feature columns beside the record details, one row per record."""
     engagement = engagement_features(cleaned.campaign_members, config.reference_date)
     people = cleaned.people
-    for column in ("title", "job_persona", "job_level"):
-        if column not in people.columns:
-            people = people.withColumn(column, F.lit(None).cast("string"))
-    for column in ("is_icp_qualified", "is_named_account"):
-        if column not in people.columns:
-            people = people.withColumn(column, F.lit(None).cast("boolean"))
-    for column in ("intent_score", "employee_count", "annual_revenue"):
-        # A column the table does not have counts as 0, unlike a value it lacks.
-        if column not in people.columns:
-            people = people.withColumn(column, F.lit(0.0))
-    return (
-        with_engagement(people, engagement)
-        .withColumns(profile_columns())
-        .withColumns(account_columns(config.missing_intent))
+    missing = {c: sql for c, sql in STAND_INS.items() if c not in people.columns}
+    people = add_columns(people, missing) if missing else people
+    return add_columns(
+        with_engagement(people, engagement),
+        profile_columns() | account_columns(config.missing_intent),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key on more left rows than this is hot. At most |left| / HOT_KEY_ROWS keys can be, which is
@@ -23,7 +23,7 @@ def lookup_join(
     left: DataFrame,
     table: DataFrame,
     key: str,
-    spread: Column,
+    spread: str,
     match_nulls: bool = False,
     hot_rows: int = HOT_KEY_ROWS,
     limit: int | None = None,
@@ -32,49 +32,43 @@ def lookup_join(
 
     A table within the session's broadcast limit is broadcast. Beyond it the few hot keys are
     counted and only their table rows are broadcast, while the rows that carry them (and rows whose
-    null key matches nothing) are spread by ``spread`` in the shuffled join that serves all other
-    keys. Each left row is read once and kept once.
+    null key matches nothing) are spread by the expression ``spread`` in the shuffled join that serves
+    all other keys. Each left row is read once and kept once.
     """
-    values = [c for c in table.columns if c != key]
+    values = ", ".join(c for c in table.columns if c != key)
     # A null key of the table would otherwise match null keys on the left.
-    usable = table if match_nulls else table.filter(F.col(key).isNotNull())
-    packed = usable.select(F.col(key).alias("_key"), F.struct(*values).alias("_value"))
+    usable = table if match_nulls else table.filter(f"{key} IS NOT NULL")
+    packed = usable.selectExpr(f"{key} AS _key", f"struct({values}) AS _value")
     limit = broadcast_limit(left) if limit is None else limit
 
     if estimated_bytes(packed) <= limit:
-        same = F.col(key).eqNullSafe(F.col("_key")) if match_nulls else F.col(key) == F.col("_key")
-        joined = left.join(F.broadcast(packed), same, "left")
-        return joined.select(*[F.col(c) for c in left.columns], "_value.*")
+        same = F.expr(f"{key} <=> _key" if match_nulls else f"{key} = _key")
+        return left.join(F.broadcast(packed), same, "left").select(*left.columns, "_value.*")
 
     hot_keys = (
         left.groupBy(F.col(key).alias("_hot_key"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
+        .agg(F.expr("count(1) AS _rows"))
+        .filter(f"_rows > {hot_rows}")
         .select("_hot_key")
     )
-    hot = hot_keys.join(
-        packed.join(
-            F.broadcast(hot_keys.withColumnRenamed("_hot_key", "_wanted")),
-            F.col("_key").eqNullSafe(F.col("_wanted")),
-            "left_semi",
-        ),
-        F.col("_hot_key").eqNullSafe(F.col("_key")),
-        "left",
-    ).select("_hot_key", F.col("_value").alias("_hot_value"), F.lit(True).alias("_is_hot"))
-
-    # Slot 0 holds the ordinary keys. Comparing key and slot as one struct keeps the two
-    # together as the partitioning key, and treats a null key inside it as a value.
-    apart = F.coalesce(F.col("_is_hot"), F.lit(False))
-    if not match_nulls:
-        apart = apart | F.col(key).isNull()
-    slot = F.when(apart, F.pmod(F.xxhash64(spread), F.lit(1 << 30)) + 1).otherwise(F.lit(0))
-    slotted = left.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
-    slotted = slotted.withColumn("_slot", F.struct(F.col(key).alias("k"), slot.cast("bigint").alias("s")))
-    cold = packed.select(
-        F.struct(F.col("_key").alias("k"), F.lit(0).cast("bigint").alias("s")).alias("_cold_slot"),
-        F.col("_value").alias("_cold_value"),
+    hot_values = packed.join(
+        F.broadcast(hot_keys.withColumnRenamed("_hot_key", "_wanted")),
+        F.expr("_key <=> _wanted"),
+        "left_semi",
+    )
+    hot = hot_keys.join(hot_values, F.expr("_hot_key <=> _key"), "left").selectExpr(
+        "_hot_key", "_value AS _hot_value", "true AS _is_hot"
     )
-    joined = slotted.join(cold, F.col("_slot") == F.col("_cold_slot"), "left")
-    return joined.withColumn("_value", F.coalesce("_hot_value", "_cold_value")).select(
-        *[F.col(c) for c in left.columns], "_value.*"
+
+    # Slot 0 holds the ordinary keys. Comparing key and slot as one struct keeps the two together
+    # as the partitioning key, and treats a null key inside it as a value.
+    apart = "_is_hot IS NOT NULL" if match_nulls else f"_is_hot IS NOT NULL OR {key} IS NULL"
+    slot = f"CASE WHEN {apart} THEN 1 + pmod(xxhash64({spread}), 1073741824L) ELSE 0L END"
+    slotted = left.join(F.broadcast(hot), F.expr(f"{key} <=> _hot_key"), "left").selectExpr(
+        *left.columns, "_hot_value", f"named_struct('k', {key}, 's', {slot}) AS _slot"
     )
+    cold = packed.selectExpr("named_struct('k', _key, 's', 0L) AS _cold_slot", "_value AS _cold")
+    joined = slotted.join(cold, F.expr("_slot = _cold_slot"), "left")
+    return joined.selectExpr(
+        *left.columns, "coalesce(_hot_value, _cold) AS _value"
+    ).select(*left.columns, "_value.*")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from callrank.config import TierThresholds
 from callrank.operators.clean import (
@@ -52,16 +51,13 @@ def add_rank(df: DataFrame, score: str = "readiness_score", name: str = "rank")
     has one row per partition, which bounds both the broadcast and the only global window.
     """
     ordered = df.orderBy(*total_order(score)).withColumn("_place", F.monotonically_increasing_id())
-    placed = stage(ordered, name)
-    part = F.shiftright(F.col("_place"), ROW_BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
-    row = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return ranked.withColumn(name, F.col("_offset") + row + 1).drop("_part", "_place", "_offset")
+    placed = stage(ordered, name).selectExpr("*", f"shiftright(_place, {ROW_BITS}) AS _part")
+    sizes = placed.groupBy("_part").agg(F.expr("count(1) AS _size"))
+    earlier = "ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = sizes.selectExpr("_part", f"coalesce(sum(_size) OVER ({earlier}), 0) AS _offset")
+    ranked = placed.join(F.broadcast(offsets), "_part")
+    row = f"_place & {(1 << ROW_BITS) - 1}L"
+    return ranked.selectExpr(*df.columns, f"_offset + ({row}) + 1 AS {name}")
 
 
 def merge_record_details(
@@ -73,24 +69,22 @@ def merge_record_details(
     """
     lead_columns = [c for c in DETAILS if c in leads.columns]
     contact_columns = [c for c in DETAILS if c in contacts.columns]
-    lead_rows = leads.select(
-        F.lit("lead").alias("entity_type"), F.col("lead_id").alias("entity_id"), *lead_columns
+    lead_rows = leads.selectExpr(
+        "'lead' AS entity_type", "lead_id AS entity_id", *lead_columns
     )
-    contact_rows = contacts.select(
-        F.lit("contact").alias("entity_type"),
-        F.col("contact_id").alias("entity_id"),
-        *contact_columns,
+    contact_rows = contacts.selectExpr(
+        "'contact' AS entity_type", "contact_id AS entity_id", *contact_columns
     )
     if "account_id" in contact_columns:
         known = [c for c in present(accounts, ACCOUNT_DETAILS) if c not in contact_columns]
         if known:
             details = (
-                accounts.filter(F.col("account_id").isNotNull())
+                accounts.filter("account_id IS NOT NULL")
                 .groupBy("account_id")
-                .agg(F.min(F.struct(*known)).alias("_details"))
+                .agg(F.expr(f"min(struct({', '.join(known)})) AS _details"))
                 .select("account_id", "_details.*")
             )
-            contact_rows = lookup_join(contact_rows, details, "account_id", F.col("entity_id"))
+            contact_rows = lookup_join(contact_rows, details, "account_id", "entity_id")
     records = lead_rows.unionByName(contact_rows, allowMissingColumns=True)
     overlap = [c for c in records.columns if c in scored.columns and c not in ENTITY]
     return scored.join(records.drop(*overlap), ENTITY, "left")

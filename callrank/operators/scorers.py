@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callrank.config import EngagementParams, JobConfig, TierThresholds, Weights
-from callrank.functions.exprs import cap, clip, round_half_even, true_flag
+from callrank.functions.exprs import add_columns, cap, clip, number, round_half_even
 from callrank.sources.crm import require_columns
 from callrank.sources.schemas import DECAY_RATE, NO_ENGAGEMENT_DAYS
 
@@ -28,76 +28,51 @@ class Scorer:
 
 
 def engagement_scorer(params: EngagementParams = EngagementParams()) -> Scorer:
-    p = params
-
-    def expr() -> Column:
-        days = F.col("days_since_last_engagement")
-        recency = F.when(days >= NO_ENGAGEMENT_DAYS, F.lit(0.0)).otherwise(
-            F.lit(100.0) * F.exp(F.lit(-DECAY_RATE) * days / F.lit(p.half_life_days))
-        )
-        volume = cap(
-            F.col("engagement_last_30d") * F.lit(p.volume_weight_30d)
-            + F.col("engagement_last_90d") * F.lit(p.volume_weight_90d),
-            100.0,
-        )
-        diversity = cap(
-            F.col("campaign_type_diversity") * F.lit(p.diversity_bonus_per_type), p.diversity_cap
-        )
-        high_value = cap(
-            F.col("webinar_attendances") * F.lit(p.webinar_value)
-            + F.col("event_attendances") * F.lit(p.event_value)
-            + F.col("content_responses") * F.lit(p.content_value),
-            p.high_value_cap,
-        )
-        penalty = F.col("automation_ratio") * F.lit(p.automation_penalty_factor)
-        raw = (
-            recency * F.lit(p.recency_weight)
-            + volume * F.lit(p.volume_weight)
-            + diversity
-            + high_value
-            - penalty
-        )
-        return clip(raw, 0.0, 100.0)
-
-    return Scorer("score_engagement", expr)
+    """Recency with exponential decay, volume, variety and high-value touches, less automation."""
+    n = {name: number(value) for name, value in vars(params).items()}
+    recency = (
+        f"CASE WHEN days_since_last_engagement >= {NO_ENGAGEMENT_DAYS} THEN 0D ELSE 100D * "
+        f"exp({number(-DECAY_RATE)} * days_since_last_engagement / {n['half_life_days']}) END"
+    )
+    volume = cap(
+        f"engagement_last_30d * {n['volume_weight_30d']} "
+        f"+ engagement_last_90d * {n['volume_weight_90d']}",
+        100.0,
+    )
+    variety = cap(
+        f"campaign_type_diversity * {n['diversity_bonus_per_type']}", params.diversity_cap
+    )
+    high_value = cap(
+        f"webinar_attendances * {n['webinar_value']} + event_attendances * {n['event_value']} "
+        f"+ content_responses * {n['content_value']}",
+        params.high_value_cap,
+    )
+    raw = (
+        f"({recency}) * {n['recency_weight']} + ({volume}) * {n['volume_weight']} + ({variety}) "
+        f"+ ({high_value}) - automation_ratio * {n['automation_penalty_factor']}"
+    )
+    return Scorer("score_engagement", lambda: F.expr(clip(raw, 0.0, 100.0)))
 
 
 def profile_scorer() -> Scorer:
-    def expr() -> Column:
-        fit = F.col("level_score") * F.lit(50.0) + F.col("persona_score") * F.lit(50.0)
-        complete = (F.col("has_title") + F.col("has_persona")) * F.lit(10.0)
-        return clip(fit + complete, 0.0, 100.0)
-
-    return Scorer("score_profile", expr)
+    raw = "level_score * 50D + persona_score * 50D + (has_title + has_persona) * 10D"
+    return Scorer("score_profile", lambda: F.expr(clip(raw, 0.0, 100.0)))
 
 
 def account_scorer(lead_baseline: float = 15.0) -> Scorer:
     """Records without an account get a baseline, so leads are not punished for having none."""
-
-    def expr() -> Column:
-        size = F.col("account_employee_score") + F.col("account_revenue_score")
-        strength = (
-            F.col("account_is_named") * F.lit(30.0)
-            + F.col("account_is_icp") * F.lit(25.0)
-            + F.col("account_intent") * F.lit(30.0)
-            + size * F.lit(7.5)
-        )
-        return F.when(F.col("has_account") == 0, F.lit(float(lead_baseline))).otherwise(
-            clip(strength, 0.0, 100.0)
-        )
-
-    return Scorer("score_account", expr)
+    raw = (
+        "account_is_named * 30D + account_is_icp * 25D + account_intent * 30D "
+        "+ (account_employee_score + account_revenue_score) * 7.5D"
+    )
+    sql = f"CASE WHEN has_account = 0 THEN {number(lead_baseline)} ELSE {clip(raw, 0.0, 100.0)} END"
+    return Scorer("score_account", lambda: F.expr(sql))
 
 
 def momentum_scorer() -> Scorer:
-    def expr() -> Column:
-        base = cap(F.col("momentum_score") * F.lit(40.0), 80.0)
-        bonus = F.when(true_flag(F.col("is_accelerating")), F.lit(20.0)).otherwise(F.lit(0.0))
-        return F.when(F.col("engagement_last_30d") == 0, F.lit(0.0)).otherwise(
-            clip(base + bonus, 0.0, 100.0)
-        )
-
-    return Scorer("score_momentum", expr)
+    raw = f"({cap('momentum_score * 40D', 80.0)}) + IF(is_accelerating, 20D, 0D)"
+    sql = f"CASE WHEN engagement_last_30d = 0 THEN 0D ELSE {clip(raw, 0.0, 100.0)} END"
+    return Scorer("score_momentum", lambda: F.expr(sql))
 
 
 def pandas_scorer(
@@ -134,13 +109,10 @@ def replace_scorer(scorers: Sequence[Scorer], name: str, scorer: Scorer) -> tupl
     return tuple(scorer if s.name == name else s for s in scorers)
 
 
-def weighted_sum(columns: Sequence[str], weights: Weights) -> Column:
+def weighted_sum(columns: Sequence[str], weights: Weights) -> str:
     """Sum in the given order, so rounding ties come out the same everywhere."""
     by_column = weights.by_column()
-    total = F.lit(0.0)
-    for column in columns:
-        total = total + F.col(column) * F.lit(float(by_column.get(column, 0.0)))
-    return total
+    return " + ".join(f"{c} * {number(by_column.get(c, 0.0))}" for c in columns)
 
 
 def compute_scores(
@@ -152,21 +124,19 @@ def compute_scores(
     weights.validate()
     require_columns(features, [], "features")
     scorers = tuple(scorers) if scorers is not None else default_scorers()
-    scored = features.withColumns({s.name: s.expr() for s in scorers})
-    return scored.withColumn(
-        "readiness_score", round_half_even(weighted_sum([s.name for s in scorers], weights), 1)
-    )
+    scored = features.select("*", *[s.expr().alias(s.name) for s in scorers])
+    total = weighted_sum([s.name for s in scorers], weights)
+    return add_columns(scored, {"readiness_score": round_half_even(total, 1)})
 
 
-def tier_of(score: Column, tiers: TierThresholds = TierThresholds()) -> Column:
+def tier_of(score: str, tiers: TierThresholds = TierThresholds()) -> str:
     """A null score falls through to the last tier."""
     return (
-        F.when(score >= F.lit(float(tiers.hot)), "Hot")
-        .when(score >= F.lit(float(tiers.warm)), "Warm")
-        .when(score >= F.lit(float(tiers.nurture)), "Nurture")
-        .otherwise("Cold")
+        f"CASE WHEN {score} >= {number(tiers.hot)} THEN 'Hot' "
+        f"WHEN {score} >= {number(tiers.warm)} THEN 'Warm' "
+        f"WHEN {score} >= {number(tiers.nurture)} THEN 'Nurture' ELSE 'Cold' END"
     )
 
 
 def assign_tiers(scored: DataFrame, tiers: TierThresholds = TierThresholds()) -> DataFrame:
-    return scored.withColumn("tier", tier_of(F.col("readiness_score"), tiers))
+    return add_columns(scored, {"tier": tier_of("readiness_score", tiers)})

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from callrank.config import TierThresholds, Weights
 from callrank.functions.exprs import (
     active_flags,
+    add_columns,
     badges,
     percent,
+    quoted,
     record_label,
     round_half_even,
     true_flag,
@@ -37,11 +38,22 @@ LIST_COLUMNS = [
 ]
 
 
+def _one_of(column: str, values: Sequence[str]) -> str:
+    return f"{column} IN ({', '.join(quoted(v) for v in values)})"
+
+
 # ---- lists, cohorts, records ----
 
 
 def callable_pool(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("is_excluded"))
+    return df.filter("NOT is_excluded")
+
+
+def with_flags(ranked: DataFrame) -> DataFrame:
+    """The columns of the ranked list, with the flag badges of each record."""
+    columns = present(ranked, LIST_COLUMNS)
+    columns.insert(columns.index("score_engagement"), f"{badges(present(ranked, EXCLUSIONS))} AS flags")
+    return ranked.selectExpr(*columns)
 
 
 def ranked_list(
@@ -51,17 +63,15 @@ def ranked_list(
     include_excluded: bool = False,
 ) -> DataFrame:
     """Filtered list with its flag badges. The filters reach the parquet scan."""
-    kept = ranked.filter(F.col("tier").isin(*tiers) & F.col("entity_type").isin(*entity_types))
-    if not include_excluded:
-        kept = callable_pool(kept)
-    flagged = kept.withColumn("flags", badges(present(ranked, EXCLUSIONS)))
-    return flagged.select(present(flagged, LIST_COLUMNS))
+    if not tiers or not entity_types:
+        return with_flags(ranked.limit(0))
+    kept = ranked.filter(f"{_one_of('tier', tiers)} AND {_one_of('entity_type', entity_types)}")
+    return with_flags(kept if include_excluded else callable_pool(kept))
 
 
 def top_callable(ranked: DataFrame, k: int = 500) -> DataFrame:
     """The first ``k`` records to call: each task keeps its ``k`` best, one merges them."""
-    pool = callable_pool(ranked).withColumn("flags", badges(present(ranked, EXCLUSIONS)))
-    return pool.select(present(pool, LIST_COLUMNS)).orderBy("rank").limit(k)
+    return with_flags(callable_pool(ranked)).orderBy("rank").limit(k)
 
 
 def top_scored(scored: DataFrame, k: int = 500, score: str = "readiness_score") -> DataFrame:
@@ -71,26 +81,22 @@ def top_scored(scored: DataFrame, k: int = 500, score: str = "readiness_score")
 
 def record_labels(ranked: DataFrame, k: int = 200) -> DataFrame:
     best = callable_pool(ranked).orderBy("rank").limit(k)
-    return best.select("rank", *ENTITY, record_label().alias("label"))
-
-
-def cohorts(ranked: DataFrame) -> DataFrame:
-    """Members of four telling groups, in one pass; a record may be in several."""
-    names = F.array_compact(
-        F.array(
-            F.when(
-                (F.col("job_level") == "VP") & (F.col("score_engagement") > 60), "active_vp"
-            ),
-            F.when((F.col("score_engagement") < 10) & (F.col("score_profile") > 60), "ghost"),
-            F.when(F.col("automation_ratio") > 0.7, "bot"),
-            F.when(
-                F.col("is_excluded") & true_flag(F.col("exclude_competitor")),
-                "excluded_competitor",
-            ),
-        )
-    )
-    return ranked.select(
-        F.explode(names).alias("cohort"),
+    return best.selectExpr("rank", *ENTITY, f"{record_label()} AS label")
+
+
+COHORTS = {
+    "active_vp": "job_level = 'VP' AND score_engagement > 60",
+    "ghost": "score_engagement < 10 AND score_profile > 60",
+    "bot": "automation_ratio > 0.7D",
+    "excluded_competitor": "is_excluded AND exclude_competitor",
+}
+
+
+def cohorts(ranked: DataFrame, tests: Mapping[str, str] = COHORTS) -> DataFrame:
+    """Members of the named groups, in one pass; a record may be in several."""
+    names = ", ".join(f"IF({test}, {quoted(name)}, NULL)" for name, test in tests.items())
+    return ranked.selectExpr(
+        f"explode(array_compact(array({names}))) AS cohort",
         "rank",
         *ENTITY,
         "readiness_score",
@@ -102,11 +108,12 @@ def cohorts(ranked: DataFrame) -> DataFrame:
 
 def record_cards(ranked: DataFrame) -> DataFrame:
     """Each record with the titles of its active exclusions and data-quality flags."""
-    return ranked.withColumns(
+    return add_columns(
+        ranked,
         {
             "active_exclusions": active_flags(present(ranked, EXCLUSIONS)),
             "active_issues": active_flags(present(ranked, LEAD_DQ)),
-        }
+        },
     )
 
 
@@ -117,11 +124,10 @@ def find_record(ranked: DataFrame, entity_id, entity_type: str | None = None) ->
 
 def membership_split(members: DataFrame) -> DataFrame:
     """Per record: all memberships, real responses, the rest."""
-    real = true_flag(F.col("is_responded"))
     return members.groupBy(*ENTITY).agg(
-        F.count(F.lit(1)).alias("total_memberships"),
-        F.count_if(real).alias("real_responses"),
-        F.count_if(~real).alias("automated"),
+        F.expr("count(1) AS total_memberships"),
+        F.expr(f"count_if({true_flag('is_responded')}) AS real_responses"),
+        F.expr(f"count_if(NOT {true_flag('is_responded')}) AS automated"),
     )
 
 
@@ -135,22 +141,19 @@ def engagement_history(
     """
     if records is not None:
         members = members.join(records.select(*ENTITY).distinct(), ENTITY, "left_semi")
-    newest = Window.partitionBy(*ENTITY).orderBy(
-        F.col("response_date").desc_nulls_last(), F.col("cm_id")
-    )
-    shown = (
-        members.select(
-            *ENTITY,
-            "cm_id",
-            "campaign_type",
-            "campaign_name",
-            "member_status",
-            "is_responded",
-            "response_date",
-        )
-        .withColumn("position", F.row_number().over(newest))
-        .filter(F.col("position") <= latest)
+    newest = (
+        f"PARTITION BY {', '.join(ENTITY)} ORDER BY response_date DESC NULLS LAST, cm_id"
     )
+    shown = members.selectExpr(
+        *ENTITY,
+        "cm_id",
+        "campaign_type",
+        "campaign_name",
+        "member_status",
+        "is_responded",
+        "response_date",
+        f"row_number() OVER ({newest}) AS position",
+    ).filter(f"position <= {int(latest)}")
     return shown.join(membership_split(members), ENTITY)
 
 
@@ -159,75 +162,66 @@ def engagement_history(
 
 def score_metrics(scored: DataFrame) -> DataFrame:
     """Mean, median and deviation of the readiness score (about 1000 distinct values)."""
-    score = F.col("readiness_score")
-    return scored.agg(
-        F.avg(score).alias("mean_score"),
-        F.median(score).alias("median_score"),
-        F.stddev_samp(score).alias("std_score"),
+    return scored.selectExpr(
+        "avg(readiness_score) AS mean_score",
+        "median(readiness_score) AS median_score",
+        "stddev_samp(readiness_score) AS std_score",
     )
 
 
 def tier_distribution(ranked: DataFrame) -> DataFrame:
-    return ranked.groupBy("tier").agg(F.count(F.lit(1)).alias("records"))
+    return ranked.groupBy("tier").agg(F.expr("count(1) AS records"))
 
 
 def population(ranked: DataFrame) -> DataFrame:
-    return ranked.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("is_excluded").alias("excluded"),
-        F.count_if(~F.col("is_excluded")).alias("scorable"),
+    return ranked.selectExpr(
+        "count(1) AS total",
+        "count_if(is_excluded) AS excluded",
+        "count_if(NOT is_excluded) AS scorable",
     )
 
 
-def tier_stats(ranked: DataFrame) -> DataFrame:
-    def mean(column: str) -> Column:
-        return round_half_even(F.avg(column), 1)
+def _mean(column: str) -> str:
+    return round_half_even(f"avg({column})", 1)
+
 
+def tier_stats(ranked: DataFrame) -> DataFrame:
     return callable_pool(ranked).groupBy("tier").agg(
-        F.count("readiness_score").alias("records"),
-        mean("readiness_score").alias("avg_score"),
-        mean("score_engagement").alias("avg_engagement"),
-        mean("score_profile").alias("avg_profile"),
+        F.expr("count(readiness_score) AS records"),
+        F.expr(f"{_mean('readiness_score')} AS avg_score"),
+        F.expr(f"{_mean('score_engagement')} AS avg_engagement"),
+        F.expr(f"{_mean('score_profile')} AS avg_profile"),
     )
 
 
 def fairness(ranked: DataFrame) -> DataFrame:
     """Do leads and contacts fare alike? The median needs one counter per distinct score."""
-    score = F.col("readiness_score")
+    hot = percent("tier = 'Hot'")
     return callable_pool(ranked).groupBy("entity_type").agg(
-        F.count(score).alias("records"),
-        round_half_even(F.avg(score), 1).alias("mean_score"),
-        round_half_even(F.median(score), 1).alias("median_score"),
-        round_half_even(percent(F.col("tier") == "Hot"), 1).alias("pct_hot"),
+        F.expr("count(readiness_score) AS records"),
+        F.expr(f"{_mean('readiness_score')} AS mean_score"),
+        F.expr(f"{round_half_even('median(readiness_score)', 1)} AS median_score"),
+        F.expr(f"{round_half_even(hot, 1)} AS pct_hot"),
     )
 
 
 def score_histogram(ranked: DataFrame, bins: int = 30) -> DataFrame:
     """Records per score bin, by tier and by entity type, from one pass."""
+    # The top score belongs to the last bin, not to one of its own.
+    bin_of = f"least(floor(readiness_score * {bins} / 100D), {bins - 1}L)"
     counts = (
         callable_pool(ranked)
-        .filter(F.col("readiness_score").isNotNull())
-        # The top score belongs to the last bin, not to one of its own.
-        .withColumn(
-            "bin",
-            F.least(
-                F.floor(F.col("readiness_score") * F.lit(bins) / F.lit(100.0)), F.lit(bins - 1)
-            ),
-        )
+        .filter("readiness_score IS NOT NULL")
+        .selectExpr("tier", "entity_type", f"{bin_of} AS bin")
         .groupBy("tier", "entity_type", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    sides = F.array(
-        *[
-            F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value"))
-            for c in ("tier", "entity_type")
-        ]
+        .agg(F.expr("count(1) AS n"))
     )
+    sides = [{"dimension": f"'{c}'", "value": c} for c in ("tier", "entity_type")]
     return (
-        counts.select("bin", "n", F.inline(sides))
+        rows_from(counts, sides, keep=["bin", "n"])
         .groupBy("dimension", "value", "bin")
-        .agg(F.sum("n").alias("records"))
-        .withColumn("bin_start", F.col("bin") * F.lit(100.0) / F.lit(bins))
+        .agg(F.expr("sum(n) AS records"))
+        .selectExpr("*", f"bin * 100D / {bins} AS bin_start")
     )
 
 
@@ -248,8 +242,8 @@ def what_if(
 ) -> DataFrame:
     """Score the callable pool again from its stored components; weights are normalised."""
     score = round_half_even(weighted_sum(COMPONENTS, weights.normalised()), 2)
-    rescored = callable_pool(ranked).withColumn("new_score", score)
-    return rescored.withColumn("new_tier", tier_of(F.col("new_score"), tiers))
+    rescored = add_columns(callable_pool(ranked), {"new_score": score})
+    return add_columns(rescored, {"new_tier": tier_of("new_score", tiers)})
 
 
 def what_if_ranks(
@@ -260,33 +254,29 @@ def what_if_ranks(
     kept += [*COMPONENTS, "new_score", "new_tier"]
     rescored = what_if(ranked, weights, tiers)
     moved = add_rank(rescored.select(present(rescored, kept)), "new_score", "new_rank")
-    return moved.withColumn("rank_change", F.col("rank") - F.col("new_rank"))
+    return add_columns(moved, {"rank_change": "rank - new_rank"})
 
 
 def what_if_impact(moved: DataFrame) -> DataFrame:
-    return moved.agg(
-        F.count_if(F.col("tier") == "Hot").alias("old_hot"),
-        F.count_if(F.col("new_tier") == "Hot").alias("new_hot"),
-        F.count_if(F.col("tier") == "Warm").alias("old_warm"),
-        F.count_if(F.col("new_tier") == "Warm").alias("new_warm"),
-        F.avg("readiness_score").alias("old_mean"),
-        F.avg("new_score").alias("new_mean"),
-        F.avg(F.abs("rank_change")).alias("mean_rank_shift"),
+    return moved.selectExpr(
+        "count_if(tier = 'Hot') AS old_hot",
+        "count_if(new_tier = 'Hot') AS new_hot",
+        "count_if(tier = 'Warm') AS old_warm",
+        "count_if(new_tier = 'Warm') AS new_warm",
+        "avg(readiness_score) AS old_mean",
+        "avg(new_score) AS new_mean",
+        "avg(abs(rank_change)) AS mean_rank_shift",
     )
 
 
 def what_if_tiers(rescored: DataFrame) -> DataFrame:
     """Tier sizes before and after; every tier has a row."""
-    counts = rescored.agg(
-        *[F.count_if(F.col("tier") == t).alias(f"old_{t}") for t in TIERS],
-        *[F.count_if(F.col("new_tier") == t).alias(f"new_{t}") for t in TIERS],
+    counts = rescored.selectExpr(
+        *[f"count_if(tier = '{t}') AS old_{t}" for t in TIERS],
+        *[f"count_if(new_tier = '{t}') AS new_{t}" for t in TIERS],
     )
     return rows_from(
-        counts,
-        [
-            {"tier": F.lit(t), "before": F.col(f"old_{t}"), "after": F.col(f"new_{t}")}
-            for t in TIERS
-        ],
+        counts, [{"tier": f"'{t}'", "before": f"old_{t}", "after": f"new_{t}"} for t in TIERS]
     )
 
 
@@ -300,20 +290,17 @@ def rank_movers(moved: DataFrame, k: int = 10) -> DataFrame:
 
 def weight_sensitivity(scored: DataFrame, weight_sets: Mapping[str, Weights]) -> DataFrame:
     """Mean readiness and hot records per weight set, all sets in one aggregate."""
-    aggs = []
+    aggregates = []
     for name, weights in weight_sets.items():
         score = round_half_even(weighted_sum(COMPONENTS, weights.validate()), 1)
-        aggs += [
-            F.avg(score).alias(f"{name}_mean"),
-            F.count_if(score >= F.lit(70.0)).alias(f"{name}_hot"),
-        ]
+        aggregates += [f"avg({score}) AS {name}_mean", f"count_if({score} >= 70) AS {name}_hot"]
     return rows_from(
-        scored.agg(*aggs),
+        scored.selectExpr(*aggregates),
         [
             {
-                "weight_set": F.lit(name),
-                "mean_readiness": F.col(f"{name}_mean"),
-                "hot_records": F.col(f"{name}_hot"),
+                "weight_set": f"'{name}'",
+                "mean_readiness": f"{name}_mean",
+                "hot_records": f"{name}_hot",
             }
             for name in weight_sets
         ],
@@ -322,21 +309,18 @@ def weight_sensitivity(scored: DataFrame, weight_sets: Mapping[str, Weights]) ->
 
 def tier_sensitivity(scored: DataFrame, tier_sets: Mapping[str, TierThresholds]) -> DataFrame:
     """Tier sizes per threshold set, all sets in one aggregate."""
-    aggs = [
-        F.count_if(tier_of(F.col("readiness_score"), tiers) == tier).alias(f"{name}_{tier}")
-        for name, tiers in tier_sets.items()
-        for tier in TIERS
-    ]
+    pairs = [(name, tier) for name in tier_sets for tier in TIERS]
+    counts = scored.selectExpr(
+        *[
+            f"count_if({tier_of('readiness_score', tier_sets[name])} = '{tier}') AS {name}_{tier}"
+            for name, tier in pairs
+        ]
+    )
     return rows_from(
-        scored.agg(*aggs),
+        counts,
         [
-            {
-                "tier_set": F.lit(name),
-                "tier": F.lit(tier),
-                "records": F.col(f"{name}_{tier}"),
-            }
-            for name in tier_sets
-            for tier in TIERS
+            {"tier_set": f"'{name}'", "tier": f"'{tier}'", "records": f"{name}_{tier}"}
+            for name, tier in pairs
         ],
     )
 
@@ -349,16 +333,11 @@ def persona_audit(ranked: DataFrame, expectations: DataFrame) -> DataFrame:
 
     ``expectations``: entity_type, entity_id, persona, allowed_tiers (array), expects_excluded.
     """
-    joined = expectations.join(
-        ranked.select(*ENTITY, "readiness_score", "tier", "is_excluded"), ENTITY
-    )
-    excluded = true_flag(F.col("is_excluded"))
-    return joined.select(
+    outcomes = ranked.select(*ENTITY, "readiness_score", "tier", "is_excluded")
+    return expectations.join(outcomes, ENTITY).selectExpr(
         *ENTITY,
         "persona",
         "readiness_score",
-        F.when(excluded, "EXCLUDED").otherwise(F.col("tier")).alias("outcome"),
-        F.when(excluded, F.col("expects_excluded"))
-        .otherwise(F.array_contains("allowed_tiers", F.col("tier")))
-        .alias("as_expected"),
+        "IF(is_excluded, 'EXCLUDED', tier) AS outcome",
+        "IF(is_excluded, expects_excluded, array_contains(allowed_tiers, tier)) AS as_expected",
     )

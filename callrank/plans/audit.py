@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from callrank.functions.exprs import days_ago, percent, true_flag
+from callrank.functions.exprs import days_ago, percent, share, true_flag
 from callrank.operators.clean import (
     CONTACT_DQ,
     CONTACT_EXCLUSIONS,
@@ -23,54 +22,45 @@ from callrank.operators.clean import (
 from callrank.plans.summaries import numeric_summary, rows_from, wide_summary
 from callrank.sources.crm import CrmTables, present
 
-
-def _share(part: Column, whole: Column) -> Column:
-    """Percentage, 0 when there is nothing to share."""
-    return F.when(whole > 0, part * F.lit(100.0) / whole).otherwise(F.lit(0.0))
-
-
 # ---- populations ----
 
 
-def status_distribution(leads: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Records per status and per true flag, each with its share of the table. One pass per table."""
-
-    def profile(df: DataFrame, kind: str, status: str, flags: Sequence[str]) -> DataFrame:
-        flags = present(df, flags)
-        # One row per status; the flags are totals over those few rows.
-        per_status = df.groupBy(F.col(status).alias("value")).agg(
-            F.count(F.lit(1)).alias("records"),
-            *[F.count_if(true_flag(F.col(f))).alias(f) for f in flags],
+def _status_profile(df: DataFrame, kind: str, status: str, flags: Sequence[str]) -> DataFrame:
+    flags = present(df, flags)
+    # One row per status; the flag totals and the table total come from those few rows.
+    per_status = df.groupBy(F.col(status).alias("status")).agg(
+        F.expr("count(1) AS n"), *[F.expr(f"count_if({f}) AS {f}") for f in flags]
+    )
+    rows = [{"measure": f"'{status}'", "value": "status", "records": "n"}]
+    rows += [{"measure": f"'{f}'", "value": "'true'", "records": f} for f in flags]
+    return (
+        rows_from(
+            per_status.selectExpr("*", "sum(n) OVER (PARTITION BY 1) AS total"), rows, ["total"]
         )
-        measures = [{"measure": F.lit(status), "value": F.col("value"), "n": F.col("records")}] + [
-            {"measure": F.lit(f), "value": F.lit("true"), "n": F.col(f)} for f in flags
-        ]
-        packed = F.array(*[F.struct(*[c.alias(k) for k, c in m.items()]) for m in measures])
-        total = F.sum("records").over(Window.partitionBy(F.lit(kind)))
-        return (
-            per_status.withColumn("total", total)
-            .select("total", F.inline(packed))
-            .groupBy(F.lit(kind).alias("entity_type"), "measure", "value")
-            .agg(F.sum("n").alias("records"), F.max("total").alias("total"))
-            .select(
-                "entity_type",
-                "measure",
-                "value",
-                "records",
-                _share(F.col("records"), F.col("total")).alias("pct"),
-            )
+        .groupBy("measure", "value")
+        .agg(F.expr("sum(records) AS records"), F.expr("max(total) AS total"))
+        .selectExpr(
+            f"'{kind}' AS entity_type",
+            "measure",
+            "value",
+            "records",
+            f"{share('records', 'total')} AS pct",
         )
+    )
+
 
+def status_distribution(leads: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Records per status and per true flag, each with its share of the table. One pass per table."""
     lead_flags = ["is_converted", "is_disqualified", "has_opted_out", "email_bounced"]
     contact_flags = ["has_lead_origin", "no_longer_with_company", "has_opted_out"]
-    return profile(leads, "lead", "lead_status", lead_flags).unionByName(
-        profile(contacts, "contact", "contact_status", contact_flags)
+    return _status_profile(leads, "lead", "lead_status", lead_flags).union(
+        _status_profile(contacts, "contact", "contact_status", contact_flags)
     )
 
 
 def memberships_per_entity(members: DataFrame) -> DataFrame:
     return members.groupBy(*ENTITY).agg(
-        F.count("cm_id").alias("total"), F.count_if(true_flag(F.col("is_responded"))).alias("real")
+        F.expr("count(cm_id) AS total"), F.expr("count_if(is_responded) AS real")
     )
 
 
@@ -81,47 +71,28 @@ def engagement_summary(members: DataFrame) -> DataFrame:
 
 def recency_summary(members: DataFrame, reference: date) -> DataFrame:
     """Days since real engagements and the share within 30 and 90 days."""
-    kind = members.schema["response_date"].dataType
-    real = members.filter(true_flag(F.col("is_responded"))).select(
-        days_ago(F.col("response_date"), kind, reference).alias("days_ago")
-    )
-    quartiles = F.percentile("days_ago", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return real.agg(
-        F.count("days_ago").alias("n"),
-        F.avg("days_ago").alias("mean"),
-        F.stddev_samp("days_ago").alias("std"),
-        F.min("days_ago").alias("min"),
-        quartiles.alias("q"),
-        F.max("days_ago").alias("max"),
-        percent(F.col("days_ago") <= 30).alias("pct_30d"),
-        percent(F.col("days_ago") <= 90).alias("pct_90d"),
-    ).select(
-        "n",
-        "mean",
-        "std",
-        "min",
-        F.col("q")[0].alias("q25"),
-        F.col("q")[1].alias("q50"),
-        F.col("q")[2].alias("q75"),
-        "max",
-        "pct_30d",
-        "pct_90d",
+    age = days_ago("response_date", members.schema["response_date"].dataType, reference)
+    real = members.filter("is_responded").selectExpr(f"{age} AS days")
+    return real.selectExpr(
+        "count(days) AS n",
+        "avg(days) AS mean",
+        "stddev_samp(days) AS std",
+        "min(days) AS min",
+        "percentile(days, array(0.25D, 0.5D, 0.75D)) AS q",
+        "max(days) AS max",
+        f"{percent('days <= 30')} AS pct_30d",
+        f"{percent('days <= 90')} AS pct_90d",
+    ).selectExpr(
+        "n", "mean", "std", "min", "q[0] AS q25", "q[1] AS q50", "q[2] AS q75", "max",
+        "pct_30d", "pct_90d",
     )
 
 
 def account_profile(accounts: DataFrame) -> DataFrame:
-    def flag(column: str) -> list[Column]:
-        return [
-            F.count_if(true_flag(F.col(column))).alias(f"n_{column}"),
-            percent(true_flag(F.col(column))).alias(f"pct_{column}"),
-        ]
-
-    return accounts.agg(
-        F.count(F.lit(1)).alias("accounts"),
-        *flag("is_named_account"),
-        *flag("is_icp_qualified"),
-        *flag("do_not_contact"),
-    )
+    aggregates = ["count(1) AS accounts"]
+    for flag in ("is_named_account", "is_icp_qualified", "do_not_contact"):
+        aggregates += [f"count_if({flag}) AS n_{flag}", f"{percent(flag)} AS pct_{flag}"]
+    return accounts.selectExpr(*aggregates)
 
 
 def intent_summary(accounts: DataFrame) -> DataFrame:
@@ -131,17 +102,16 @@ def intent_summary(accounts: DataFrame) -> DataFrame:
 def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of missing values per column, all columns in one pass."""
     columns = present(df, columns)
-    one = df.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns],
-        F.count(F.lit(1)).alias("records"),
+    one = df.selectExpr(
+        "count(1) AS n", *[f"count_if({c} IS NULL) AS {c}_nulls" for c in columns]
     )
     return rows_from(
         one,
         [
             {
-                "column_name": F.lit(c),
-                "missing": F.col(f"{c}_nulls"),
-                "null_pct": _share(F.col(f"{c}_nulls"), F.col("records")),
+                "column_name": f"'{c}'",
+                "missing": f"{c}_nulls",
+                "null_pct": share(f"{c}_nulls", "n"),
             }
             for c in columns
         ],
@@ -158,80 +128,73 @@ def score_summary(scored: DataFrame) -> DataFrame:
 
 def flag_prevalence(cleaned: CleaningResult) -> DataFrame:
     """Records per flag and per number of issues, one pass over the people."""
-
-    def kind(name: str) -> Column:
-        return F.col("entity_type") == name
-
-    measures: dict[tuple[str, str], Column] = {}
-    for name, flags in (
+    tests = []
+    for kind, flags in (
         ("lead", [*LEAD_EXCLUSIONS, "is_excluded", *LEAD_DQ]),
         ("contact", [*CONTACT_EXCLUSIONS, "is_excluded", *CONTACT_DQ]),
     ):
-        for flag in flags:
-            measures[name, flag] = kind(name) & true_flag(F.col(flag))
-        issues = F.col("dq_issue_count")
-        measures[name, "issues_0"] = kind(name) & (issues == 0)
-        measures[name, "issues_1_or_more"] = kind(name) & (issues >= 1)
-        measures[name, "issues_3_or_more"] = kind(name) & (issues >= 3)
-    one = cleaned.people.agg(
-        *[F.count_if(c).alias(f"{name}_{flag}") for (name, flag), c in measures.items()]
+        tests += [(kind, flag, flag) for flag in flags]
+        tests += [
+            (kind, "issues_0", "dq_issue_count = 0"),
+            (kind, "issues_1_or_more", "dq_issue_count >= 1"),
+            (kind, "issues_3_or_more", "dq_issue_count >= 3"),
+        ]
+    one = cleaned.people.selectExpr(
+        *[
+            f"count_if(entity_type = '{kind}' AND {test}) AS {kind}_{name}"
+            for kind, name, test in tests
+        ]
     )
     return rows_from(
         one,
         [
-            {
-                "entity_type": F.lit(name),
-                "flag": F.lit(flag),
-                "records": F.col(f"{name}_{flag}"),
-            }
-            for name, flag in measures
+            {"entity_type": f"'{kind}'", "flag": f"'{name}'", "records": f"{kind}_{name}"}
+            for kind, name, _ in tests
         ],
     )
 
 
 def duplicate_email_audit(leads: DataFrame, contacts: DataFrame) -> DataFrame:
-    groups = email_groups(email_sightings(leads, contacts))
-    n = F.col("n_records")
-    return groups.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("email_records"),
-        F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("records_in_duplicates"),
-        F.count_if((n > 1) & F.col("email").isNotNull()).alias("duplicate_emails"),
+    return email_groups(email_sightings(leads, contacts)).selectExpr(
+        "coalesce(sum(n_records), 0) AS email_records",
+        "coalesce(sum(IF(n_records > 1, n_records, 0)), 0) AS records_in_duplicates",
+        "count_if(n_records > 1 AND email IS NOT NULL) AS duplicate_emails",
     )
 
 
 def etl_date_audit(df: DataFrame, threshold: int, column: str = "created_date") -> DataFrame:
     """Bulk-load dates with the share of all records on them and on any of them."""
-    per_day = df.groupBy(F.col(column)).agg(F.count(F.lit(1)).alias("n_records"))
-    # One row per calendar day at most.
-    everything = Window.partitionBy(F.lit(1))
-    bulk = F.col(column).isNotNull() & (F.col("n_records") > threshold)
+    # One row per calendar day at most, so the totals over all days are small.
+    per_day = df.groupBy(column).agg(F.expr("count(1) AS n_records"))
     return (
-        per_day.withColumns(
-            {
-                "_total": F.sum("n_records").over(everything),
-                "_bulk": F.sum(F.when(bulk, F.col("n_records"))).over(everything),
-            }
+        per_day.selectExpr("*", f"{column} IS NOT NULL AND n_records > {threshold} AS bulk")
+        .selectExpr(
+            "*",
+            "sum(n_records) OVER (PARTITION BY 1) AS total",
+            "sum(IF(bulk, n_records, 0)) OVER (PARTITION BY 1) AS total_bulk",
         )
-        .filter(bulk)
-        .select(
+        .filter("bulk")
+        .selectExpr(
             column,
             "n_records",
-            _share(F.col("n_records"), F.col("_total")).alias("pct_of_records"),
-            _share(F.col("_bulk"), F.col("_total")).alias("pct_on_bulk_dates"),
+            f"{share('n_records', 'total')} AS pct_of_records",
+            f"{share('total_bulk', 'total')} AS pct_on_bulk_dates",
         )
     )
 
 
+AUTO_SEND = "campaign_type = 'Email' AND member_status = 'Sent'"
+
+
 def automation_audit(members: DataFrame) -> DataFrame:
-    email = F.col("campaign_type") == "Email"
-    sent = email & (F.col("member_status") == "Sent")
-    return members.agg(
-        F.count(F.lit(1)).alias("memberships"),
-        F.count_if(email).alias("email_memberships"),
-        percent(email).alias("email_pct"),
-        F.count_if(sent).alias("auto_sends"),
-        percent(sent).alias("auto_pct"),
-        F.count_if(true_flag(F.col("is_responded"))).alias("responded"),
+    email = "campaign_type = 'Email'"
+    return members.selectExpr(
+        "count(1) AS memberships",
+        f"count_if({email}) AS email_memberships",
+        f"{percent(email)} AS email_pct",
+        f"count_if({AUTO_SEND}) AS auto_sends",
+        f"{percent(AUTO_SEND)} AS auto_pct",
+        "count_if(is_responded) AS responded",
     )
 
 
@@ -255,15 +218,9 @@ FINDINGS = [
 
 def score_field_quartiles(tables: CrmTables) -> DataFrame:
     """Evidence for DQ-5: the two imported score fields have different scales."""
-    sides = [
-        ("mkto_lead_score", tables.leads),
-        ("mkto_contact_score", tables.contacts),
-    ]
-    frames = [numeric_summary(df, [c]) for c, df in sides if c in df.columns]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return numeric_summary(tables.leads, ["mkto_lead_score"]).union(
+        numeric_summary(tables.contacts, ["mkto_contact_score"])
+    )
 
 
 def dq_findings(cleaned: CleaningResult) -> DataFrame:
@@ -272,66 +229,57 @@ def dq_findings(cleaned: CleaningResult) -> DataFrame:
     People and memberships are each read once; every finding is a counter of those two aggregates.
     """
     people = cleaned.people
-    lead, contact = F.col("entity_type") == "lead", F.col("entity_type") == "contact"
 
-    def flag(name: str) -> Column:
-        return true_flag(F.col(name)) if name in people.columns else F.lit(False)
+    def flag(column: str) -> str:
+        return true_flag(column) if column in people.columns else "false"
 
-    def has(name: str) -> Column:
-        return F.col(name).isNotNull() if name in people.columns else F.lit(False)
+    def has(column: str) -> str:
+        return f"{column} IS NOT NULL" if column in people.columns else "false"
 
-    blocked = flag("exclude_opted_out") | flag("exclude_bounced") | flag("exclude_dnc_account")
-    outsider = flag("exclude_non_prospect") | flag("exclude_competitor")
-    cycling = F.lit(False)
+    cycling = "false"
     if "mql_date" in people.columns and "dq_date" in people.columns:
-        cycling = true_flag(F.col("mql_date") > F.col("dq_date"))
-    # An imported score cannot be compared with the other table's: every record that has one counts.
-    scored = (lead & has("mkto_lead_score")) | (contact & has("mkto_contact_score"))
-    everyone = F.lit(True)
-    counted = {
-        "DQ-1": (lead & flag("is_converted"), lead & flag("dq_broken_conversion")),
-        "DQ-2": (everyone, flag("dq_duplicate_email")),
-        "DQ-3": (lead, lead & flag("dq_mql_overwritten")),
-        "DQ-4": (everyone, flag("dq_etl_timestamp")),
-        "DQ-5": (everyone, scored),
-        "DQ-6": (everyone, outsider),
-        "DQ-7": (everyone, flag("dq_incomplete")),
-        "DQ-9": (everyone, blocked),
-        "DQ-10": (lead, lead & cycling),
+        cycling = "mql_date > dq_date"
+    lead = "entity_type = 'lead'"
+    # DQ-5: an imported score cannot be compared with the other table's, so all that have one count.
+    tests = {
+        "DQ-1": (f"{lead} AND {flag('is_converted')}", "dq_broken_conversion"),
+        "DQ-2": ("true", "dq_duplicate_email"),
+        "DQ-3": (lead, "dq_mql_overwritten"),
+        "DQ-4": ("true", "dq_etl_timestamp"),
+        "DQ-5": ("true", f"{has('mkto_lead_score')} OR {has('mkto_contact_score')}"),
+        "DQ-6": ("true", f"{flag('exclude_non_prospect')} OR {flag('exclude_competitor')}"),
+        "DQ-7": ("true", "dq_incomplete"),
+        "DQ-9": (
+            "true",
+            f"{flag('exclude_opted_out')} OR {flag('exclude_bounced')} "
+            f"OR {flag('exclude_dnc_account')}",
+        ),
+        "DQ-10": (lead, f"{lead} AND {cycling}"),
     }
 
-    def name(key: str, part: str) -> str:
-        return f"{key.replace('-', '_')}_{part}"
-
-    totals = people.agg(
-        *[F.count_if(pop).alias(name(k, "all")) for k, (pop, _) in counted.items()],
-        *[F.count_if(hit).alias(name(k, "hit")) for k, (_, hit) in counted.items()],
-    )
-    sends = cleaned.campaign_members.agg(
-        F.count(F.lit(1)).alias(name("DQ-8", "all")),
-        F.count_if(
-            (F.col("campaign_type") == "Email") & (F.col("member_status") == "Sent")
-        ).alias(name("DQ-8", "hit")),
-    )
-
-    def report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def report(df: DataFrame, counted: dict[str, tuple[str, str]]) -> DataFrame:
+        totals = df.selectExpr(
+            *[f"count_if({everyone}) AS `{key} all`" for key, (everyone, _) in counted.items()],
+            *[f"count_if({hit}) AS `{key} hit`" for key, (_, hit) in counted.items()],
+        )
         return rows_from(
-            df,
+            totals,
             [
                 {
-                    "finding": F.lit(key),
-                    "issue": F.lit(issue),
-                    "population": F.col(name(key, "all")),
-                    "affected": F.col(name(key, "hit")),
-                    "prevalence_pct": _share(F.col(name(key, "hit")), F.col(name(key, "all"))),
-                    "severity": F.lit(severity),
-                    "handling": F.lit(handling),
-                    "scoring_impact": F.lit(scoring),
-                    "operational_impact": F.lit(operational),
+                    "finding": f"'{key}'",
+                    "issue": f"'{issue}'",
+                    "population": f"`{key} all`",
+                    "affected": f"`{key} hit`",
+                    "prevalence_pct": share(f"`{key} hit`", f"`{key} all`"),
+                    "severity": f"'{severity}'",
+                    "handling": f"'{handling}'",
+                    "scoring_impact": f"'{scoring}'",
+                    "operational_impact": f"'{operational}'",
                 }
                 for key, issue, severity, handling, scoring, operational in FINDINGS
-                if key in keys
+                if key in counted
             ],
         )
 
-    return report(totals, list(counted)).unionByName(report(sends, ["DQ-8"]))
+    sends = {"DQ-8": ("true", AUTO_SEND)}
+    return report(people, tests).union(report(cleaned.campaign_members, sends))

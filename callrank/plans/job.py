@@ -7,7 +7,6 @@ from dataclasses import dataclass, replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from callrank.config import JobConfig
 from callrank.operators.clean import CleaningResult, clean
@@ -67,9 +66,7 @@ class ReadinessJob:
         return StageResult(
             "features",
             data,
-            lambda: data.agg(F.count(F.lit(1)).alias("records")).withColumn(
-                "features", F.lit(width)
-            ),
+            lambda: data.selectExpr("count(1) AS records", f"{width} AS features"),
         )
 
     def score(self, features: DataFrame) -> StageResult:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from callrank.functions.exprs import true_flag
 from callrank.operators.clean import ENTITY
@@ -37,25 +36,26 @@ def archetypes(people: DataFrame) -> DataFrame:
 
     Only raw attributes decide, so the result is an independent expectation for ``persona_audit``.
     """
-    blocked = (
-        true_flag(F.col("has_opted_out"))
-        | true_flag(F.col("email_bounced"))
-        | true_flag(F.col("is_disqualified"))
-        | true_flag(F.col("no_longer_with_company"))
+    blocked = " OR ".join(
+        true_flag(c)
+        for c in ("has_opted_out", "email_bounced", "is_disqualified", "no_longer_with_company")
     )
     kind = (
-        F.when(F.col("job_persona") == "Non-Prospect", "outsider")
-        .when(blocked, "blocked")
-        .when((F.col("job_persona") == "CISO") & F.col("job_level").isin("C-Level", "VP"), "chief")
-        .when(F.col("job_persona").isNull() & F.col("title").isNull(), "unknown")
+        f"CASE WHEN job_persona = 'Non-Prospect' THEN 'outsider' WHEN {blocked} THEN 'blocked' "
+        "WHEN job_persona = 'CISO' AND job_level IN ('C-Level', 'VP') THEN 'chief' "
+        "WHEN job_persona IS NULL AND title IS NULL THEN 'unknown' END"
     )
-    return people.select(*ENTITY, kind.alias("persona")).filter("persona IS NOT NULL").withColumns(
-        {
-            "expects_excluded": F.col("persona").isin("outsider", "blocked"),
-            "allowed_tiers": F.when(
-                F.col("persona") == "chief", F.array(F.lit("Hot"), F.lit("Warm"), F.lit("Nurture"))
-            )
-            .when(F.col("persona") == "unknown", F.array(F.lit("Warm"), F.lit("Nurture"), F.lit("Cold")))
-            .otherwise(F.array().cast("array<string>")),
-        }
+    tiers = (
+        "CASE persona WHEN 'chief' THEN array('Hot', 'Warm', 'Nurture') "
+        "WHEN 'unknown' THEN array('Warm', 'Nurture', 'Cold') "
+        "ELSE CAST(array() AS array<string>) END"
+    )
+    return (
+        people.selectExpr(*ENTITY, f"{kind} AS persona")
+        .filter("persona IS NOT NULL")
+        .selectExpr(
+            "*",
+            "persona IN ('outsider', 'blocked') AS expects_excluded",
+            f"{tiers} AS allowed_tiers",
+        )
     )

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def rows_from(df: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
-    """Turn a frame into several rows per input row, usually a one-row aggregate into a report."""
-    packed = F.array(*[F.struct(*[c.alias(n) for n, c in row.items()]) for row in rows])
-    return df.select(F.inline(packed))
+def rows_from(df: DataFrame, rows: Sequence[Mapping[str, str]], keep: Sequence[str] = ()) -> DataFrame:
+    """Turn each input row, usually a one-row aggregate, into several rows of a report.
+
+    Each row maps column names to SQL text.
+    """
+    structs = [
+        "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in row.items()) + ")"
+        for row in rows
+    ]
+    return df.selectExpr(*keep, f"inline(array({', '.join(structs)}))")
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -23,39 +28,21 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ``percentile`` keeps one counter per distinct value, so its state is bounded by their number, not by
     the rows. For continuous columns use ``wide_summary``.
     """
-    ps = F.array(*[F.lit(p) for p in QUARTILES.values()])
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"{c}_n"),
-            F.avg(x).alias(f"{c}_mean"),
-            F.stddev_samp(x).alias(f"{c}_std"),
-            F.min(x).alias(f"{c}_min"),
-            F.percentile(x, ps).alias(f"{c}_q"),
-            F.max(x).alias(f"{c}_max"),
-        ]
-    one = df.agg(*aggs)
-    return rows_from(
-        one,
-        [
-            {
-                "metric": F.lit(c),
-                "n": F.col(f"{c}_n"),
-                "mean": F.col(f"{c}_mean"),
-                "std": F.col(f"{c}_std"),
-                "min": F.col(f"{c}_min"),
-                **{q: F.col(f"{c}_q")[i] for i, q in enumerate(QUARTILES)},
-                "max": F.col(f"{c}_max"),
-            }
+    ps = ", ".join(f"{p}D" for p in QUARTILES.values())
+    one = df.selectExpr(
+        *[
+            f"named_struct('metric', '{c}', 'n', count({c}), 'mean', avg({c}), "
+            f"'std', stddev_samp({c}), 'min', CAST(min({c}) AS double), "
+            f"'q', percentile({c}, array({ps})), 'max', CAST(max({c}) AS double)) AS _{c}"
             for c in columns
-        ],
+        ]
     )
+    rows = one.selectExpr(f"inline(array({', '.join(f'_{c}' for c in columns)}))")
+    quartiles = [f"q[{i}] AS {q}" for i, q in enumerate(QUARTILES)]
+    return rows.selectExpr("metric", "n", "mean", "std", "min", *quartiles, "max")
 
 
-def exact_quantiles(
-    values: DataFrame, probabilities: dict[str, float], width: float
-) -> DataFrame:
+def exact_quantiles(values: DataFrame, probabilities: Mapping[str, float], width: float) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``metric``, with no group in one task.
 
     Equal values are counted first. Counts are then summed over buckets of ``width``, whose number is
@@ -63,57 +50,42 @@ def exact_quantiles(
     positions, and only the distinct values in those are put in order.
     """
     counts = (
-        values.filter(F.col("value").isNotNull())
+        values.filter("value IS NOT NULL")
         .groupBy("metric", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.floor(F.col("value") / F.lit(width)))
+        .agg(F.expr("count(1) AS n"))
+        .selectExpr("*", f"floor(value / {float(width)!r}D) AS bucket")
     )
-    per_metric = Window.partitionBy("metric")
-    so_far = per_metric.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = "PARTITION BY metric ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     buckets = (
         counts.groupBy("metric", "bucket")
-        .agg(F.sum("n").alias("size"))
-        .select(
-            "metric",
-            "bucket",
-            "size",
-            F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("first"),
-            F.sum("size").over(per_metric).alias("total"),
+        .agg(F.expr("sum(n) AS size"))
+        .selectExpr(
+            "*",
+            f"coalesce(sum(size) OVER ({earlier}), 0) AS first",
+            "sum(size) OVER (PARTITION BY metric) AS total",
         )
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), F.lit(side).alias("side"))
-            for name, p in probabilities.items()
-            for side in ("low", "high")
-        ]
-    )
-    spot = F.col("p") * (F.col("total") - 1)
+    wanted = [
+        {"name": f"'{name}'", "spot": f"{p!r}D * (total - 1)", "side": f"'{side}'"}
+        for name, p in probabilities.items()
+        for side in ("floor", "ceil")
+    ]
     targets = (
-        buckets.select("*", F.inline(wanted))
-        .withColumn("place", F.when(F.col("side") == "low", F.floor(spot)).otherwise(F.ceil(spot)))
-        .filter((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("size")))
-        .select("metric", "bucket", "first", "name", "side", "place", (spot % 1.0).alias("share"))
-    )
-    in_bucket = Window.partitionBy("metric", "bucket").orderBy("value")
-    hit = targets.select("metric", "bucket").distinct()
-    placed = counts.join(F.broadcast(hit), ["metric", "bucket"]).select(
-        "metric",
-        "bucket",
-        "value",
-        "n",
-        (F.sum("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias(
-            "skip"
-        ),
+        rows_from(buckets, wanted, keep=["metric", "bucket", "size", "first"])
+        .selectExpr("*", "IF(side = 'floor', floor(spot), ceil(spot)) AS place")
+        .filter("place >= first AND place < first + size")
+        .selectExpr("metric", "bucket", "first", "name", "side", "place", "spot % 1D AS part")
     )
+    so_far = "PARTITION BY metric, bucket ORDER BY value"
+    placed = counts.join(
+        F.broadcast(targets.select("metric", "bucket").distinct()), ["metric", "bucket"]
+    ).selectExpr("*", f"sum(n) OVER ({so_far}) - n AS skip")
     found = placed.join(F.broadcast(targets), ["metric", "bucket"]).filter(
-        (F.col("place") >= F.col("first") + F.col("skip"))
-        & (F.col("place") < F.col("first") + F.col("skip") + F.col("n"))
+        "place >= first + skip AND place < first + skip + n"
     )
-    low = F.max(F.when(F.col("side") == "low", F.col("value")))
-    high = F.max(F.when(F.col("side") == "high", F.col("value")))
+    low, high = "max(IF(side = 'floor', value, NULL))", "max(IF(side = 'ceil', value, NULL))"
     return found.groupBy("metric", "name").agg(
-        (low + (high - low) * F.max("share")).alias("quantile")
+        F.expr(f"{low} + ({high} - {low}) * max(part) AS quantile")
     )
 
 
@@ -121,19 +93,19 @@ def wide_summary(df: DataFrame, columns: Sequence[str], width: float = 0.01) ->
     """Exact summary of continuous columns; ``width`` should cut their range into under a million
     buckets."""
     values = rows_from(
-        df, [{"metric": F.lit(c), "value": F.col(c).cast("double")} for c in columns]
+        df, [{"metric": f"'{c}'", "value": f"CAST({c} AS double)"} for c in columns]
     )
     moments = values.groupBy("metric").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+        F.expr("count(value) AS n"),
+        F.expr("avg(value) AS mean"),
+        F.expr("stddev_samp(value) AS std"),
+        F.expr("min(value) AS min"),
+        F.expr("max(value) AS max"),
     )
     quantiles = (
         exact_quantiles(values, QUARTILES, width)
         .groupBy("metric")
-        .agg(*[F.max(F.when(F.col("name") == q, F.col("quantile"))).alias(q) for q in QUARTILES])
+        .agg(*[F.expr(f"max(IF(name = '{q}', quantile, NULL)) AS {q}") for q in QUARTILES])
     )
     return moments.join(quantiles, "metric", "left").select(
         "metric", "n", "mean", "std", "min", *QUARTILES, "max"

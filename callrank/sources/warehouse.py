@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callrank.sources.crm import CrmTables
 
 REFERENCE_DATE = date(2001, 8, 2)
-LOAD_DAY = date(2001, 7, 1)
 
 # The columns read, with their types in the files: naming them saves a look at every file.
 COLUMNS = {
@@ -26,215 +25,134 @@ def _scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(COLUMNS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _pick(key: Column, modulus: int, values: dict[int, str]) -> Column:
-    rest = F.pmod(key, F.lit(modulus))
-    out = None
-    for k, v in values.items():
-        out = F.when(rest == k, v) if out is None else out.when(rest == k, v)
-    return out
-
-
-
-
-def _mod(key: Column, n: int) -> Column:
-    return F.pmod(key, F.lit(n))
-
-
-def _day(start: date, offset: Column) -> Column:
-    return F.date_add(F.lit(start), offset.cast("int"))
-
-
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = _scan(spark, sf_dir, "supplier")
-    nation = _scan(spark, sf_dir, "nation")
-    region = _scan(spark, sf_dir, "region")
-    s = F.col("s_suppkey")
-    named = _mod(s, 7) == 0
+    places = _scan(spark, sf_dir, "nation").join(
+        _scan(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")
+    )
     return (
-        supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-        .join(region, nation.n_regionkey == region.r_regionkey)
-        .select(
-            s.alias("account_id"),
-            F.col("s_name").alias("account_name"),
-            F.col("r_name").alias("industry"),
-            (_mod(s * 37, 200) * 100).alias("employee_count"),
-            (F.greatest(F.col("s_acctbal"), F.lit(0.0)) * 2e5).alias("annual_revenue"),
-            (named | (_mod(s, 4) == 0)).alias("is_icp_qualified"),
-            named.alias("is_named_account"),
-            F.when(~((_mod(s, 10) < 3) & ~named), _mod(s * 13, 101).cast("double")).alias(
-                "intent_score"
-            ),
-            (_mod(s, 33) == 0).alias("do_not_contact"),
-            F.col("n_name").alias("country"),
+        _scan(spark, sf_dir, "supplier")
+        .join(places, F.expr("s_nationkey = n_nationkey"))
+        .selectExpr(
+            "s_suppkey AS account_id",
+            "s_name AS account_name",
+            "r_name AS industry",
+            "n_name AS country",
+            "s_suppkey * 37 % 200 * 100 AS employee_count",
+            "greatest(s_acctbal, 0D) * 2e5D AS annual_revenue",
+            "s_suppkey % 7 = 0 AS is_named_account",
+            "s_suppkey % 7 = 0 OR s_suppkey % 4 = 0 AS is_icp_qualified",
+            "CASE WHEN s_suppkey % 10 >= 3 OR s_suppkey % 7 = 0 "
+            "THEN CAST(s_suppkey * 13 % 101 AS double) END AS intent_score",
+            "s_suppkey % 33 = 0 AS do_not_contact",
         )
     )
 
 
-def _person(k: Column) -> list[Column]:
-    owner = F.when(_mod(k, 13) == 0, k - _mod(k, 26)).otherwise(k)
-    return [
-        F.when(
-            _mod(k, 97) != 96, F.concat(F.lit("u"), owner.cast("string"), F.lit("@x.test"))
-        ).alias("email"),
-        F.concat(F.lit("F"), _mod(k, 50).cast("string")).alias("first_name"),
-        F.col("c_name").alias("last_name"),
-        F.when(_mod(k, 3) != 0, F.col("c_mktsegment")).alias("title"),
-        _pick(
-            k,
-            8,
-            {
-                0: "CISO",
-                1: "Technical Buyer",
-                2: "Financial Buyer",
-                3: "IT Operations",
-                4: "Security Engineer",
-                6: "Non-Prospect",
-                7: "CISO",
-            },
-        ).alias("job_persona"),
-        _pick(
-            k,
-            7,
-            {
-                0: "C-Level",
-                1: "VP",
-                2: "Director",
-                3: "Manager",
-                4: "Individual Contributor",
-                6: "Non-Prospect",
-            },
-        ).alias("job_level"),
-    ]
+PERSON = [
+    "CASE WHEN k % 97 <> 96 THEN concat('u', "
+    "CASE WHEN k % 13 = 0 THEN k - k % 26 ELSE k END, '@x.test') END AS email",
+    "concat('F', k % 50) AS first_name",
+    "c_name AS last_name",
+    "CASE WHEN k % 3 <> 0 THEN c_mktsegment END AS title",
+    "element_at(array('CISO', 'Technical Buyer', 'Financial Buyer', 'IT Operations', "
+    "'Security Engineer', NULL, 'Non-Prospect', 'CISO'), CAST(k % 8 AS int) + 1) AS job_persona",
+    "element_at(array('C-Level', 'VP', 'Director', 'Manager', 'Individual Contributor', NULL, "
+    "'Non-Prospect'), CAST(k % 7 AS int) + 1) AS job_level",
+]
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k")
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = _scan(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    dropped = _mod(k, 11) == 0
-    return customer.filter(_mod(k, 5) < 3).select(
-        k.alias("lead_id"),
-        *_person(k),
-        F.when(_mod(k, 19) == 0, "Okta").otherwise(F.col("c_name")).alias("company"),
-        _pick(
-            k,
-            6,
-            {
-                0: "New",
-                1: "MQL",
-                2: "Attempted",
-                3: "Qualified",
-                4: "Disqualified",
-                5: "Recycled",
-            },
-        ).alias("lead_status"),
-        F.col("c_mktsegment").alias("lead_source"),
-        F.when(_mod(k, 10) < 8, _day(LOAD_DAY, _mod(k, 4)))
-        .otherwise(_day(LOAD_DAY, -_mod(k, 700)))
-        .alias("created_date"),
-        F.when(_mod(k, 4) == 0, _day(REFERENCE_DATE, -_mod(k, 60) - 1)).alias("mql_date"),
-        (_mod(k, 3) == 0).alias("is_converted"),
-        F.when(_mod(k, 15) == 6, k + 2)
-        .when(_mod(k, 15) == 12, k + 1000000)
-        .alias("converted_contact_id"),
-        _mod(k * 7, 300).alias("mkto_lead_score"),
-        dropped.alias("is_disqualified"),
-        F.when(dropped, "Bad Data").alias("dq_reason"),
-        F.when(dropped, _day(REFERENCE_DATE, -(_mod(k, 335) + 30))).alias("dq_date"),
-        (_mod(k, 20) == 0).alias("has_opted_out"),
-        (_mod(k, 25) == 1).alias("email_bounced"),
+    return (
+        _customers(spark, sf_dir)
+        .filter("k % 5 < 3")
+        .selectExpr(
+            "k AS lead_id",
+            *PERSON,
+            "CASE WHEN k % 19 = 0 THEN 'Okta' ELSE c_name END AS company",
+            "element_at(array('New', 'MQL', 'Attempted', 'Qualified', 'Disqualified', 'Recycled'), "
+            "CAST(k % 6 AS int) + 1) AS lead_status",
+            "c_mktsegment AS lead_source",
+            "date_add(DATE '2001-07-01', CAST(CASE WHEN k % 10 < 8 THEN k % 4 ELSE -(k % 700) END "
+            "AS int)) AS created_date",
+            "CASE WHEN k % 4 = 0 THEN date_sub(DATE '2001-08-02', CAST(k % 60 AS int) + 1) END "
+            "AS mql_date",
+            "k % 3 = 0 AS is_converted",
+            "CASE k % 15 WHEN 6 THEN k + 2 WHEN 12 THEN k + 1000000 END AS converted_contact_id",
+            "k * 7 % 300 AS mkto_lead_score",
+            "k % 11 = 0 AS is_disqualified",
+            "CASE WHEN k % 11 = 0 THEN 'Bad Data' END AS dq_reason",
+            "CASE WHEN k % 11 = 0 THEN date_sub(DATE '2001-08-02', CAST(30 + k % 335 AS int)) END "
+            "AS dq_date",
+            "k % 20 = 0 AS has_opted_out",
+            "k % 25 = 1 AS email_bounced",
+        )
     )
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = _scan(spark, sf_dir, "customer")
-    suppliers = _scan(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
-    k = F.col("c_custkey")
-    mql = _mod(k, 4) == 0
-    from_lead = _mod(k, 5) == 3
-    return customer.filter(_mod(k, 5) >= 3).select(
-        k.alias("contact_id"),
-        F.when(_mod(k, 50) == 48, F.lit(-1).cast("bigint"))
-        .when(_mod(k, 50) != 49, F.pmod(F.floor(k / 5).cast("bigint"), suppliers))
-        .alias("account_id"),
-        *_person(k),
-        F.when(mql, "MQL").otherwise("Active").alias("contact_status"),
-        F.when(_mod(k, 10) == 3, _day(LOAD_DAY, _mod(k, 4)))
-        .otherwise(_day(LOAD_DAY, -_mod(k, 1000)))
-        .alias("created_date"),
-        F.when(mql, _day(REFERENCE_DATE, -_mod(k, 90) - 1)).alias("mql_date"),
-        _mod(k * 3, 120).alias("mkto_contact_score"),
-        mql.alias("is_mql"),
-        from_lead.alias("has_lead_origin"),
-        F.when(from_lead, k - 2).alias("primary_lead_id"),
-        (_mod(k, 12) == 8).alias("no_longer_with_company"),
-        (_mod(k, 24) == 3).alias("has_opted_out"),
+    suppliers = _scan(spark, sf_dir, "supplier").agg(F.expr("count(*)")).scalar()
+    return (
+        _customers(spark, sf_dir)
+        .filter("k % 5 >= 3")
+        .withColumn("n_suppliers", suppliers)
+        .selectExpr(
+            "k AS contact_id",
+            "CASE WHEN k % 50 = 48 THEN -1L WHEN k % 50 <> 49 "
+            "THEN CAST(floor(k / 5) AS bigint) % n_suppliers END AS account_id",
+            *PERSON,
+            "CASE WHEN k % 4 = 0 THEN 'MQL' ELSE 'Active' END AS contact_status",
+            "date_add(DATE '2001-07-01', CAST(CASE WHEN k % 10 = 3 THEN k % 4 ELSE -(k % 1000) END "
+            "AS int)) AS created_date",
+            "CASE WHEN k % 4 = 0 THEN date_sub(DATE '2001-08-02', CAST(k % 90 AS int) + 1) END "
+            "AS mql_date",
+            "k * 3 % 120 AS mkto_contact_score",
+            "k % 4 = 0 AS is_mql",
+            "k % 5 = 3 AS has_lead_origin",
+            "CASE WHEN k % 5 = 3 THEN k - 2 END AS primary_lead_id",
+            "k % 12 = 8 AS no_longer_with_company",
+            "k % 24 = 3 AS has_opted_out",
+        )
     )
 
 
 def campaign_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _scan(spark, sf_dir, "orders")
-    o, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    kind = _pick(
-        o,
-        7,
-        {
-            0: "Webinar",
-            1: "Event",
-            2: "Content Syndication",
-            3: "Email",
-            4: "Advertisement",
-            5: "Telemarketing",
-            6: "Direct Mail",
-        },
-    )
-    ordered = F.col("o_orderdate").cast("date")
     return (
-        orders.select(
-            o.alias("cm_id"),
-            F.col("o_custkey").alias("entity_id"),
-            F.when(_mod(F.col("o_custkey"), 5) < 3, "lead").otherwise("contact").alias("entity_type"),
-            kind.alias("campaign_type"),
-            status.alias("_status"),
-            F.year(ordered).alias("_year"),
-            F.date_sub(
-                F.lit(REFERENCE_DATE),
-                F.pmod(F.datediff(F.lit(REFERENCE_DATE), ordered), F.lit(240)),
-            ).alias("response_date"),
+        _scan(spark, sf_dir, "orders")
+        .selectExpr(
+            "o_orderkey AS cm_id",
+            "o_custkey AS entity_id",
+            "CASE WHEN o_custkey % 5 < 3 THEN 'lead' ELSE 'contact' END AS entity_type",
+            "element_at(array('Webinar', 'Event', 'Content Syndication', 'Email', 'Advertisement', "
+            "'Telemarketing', 'Direct Mail'), CAST(o_orderkey % 7 AS int) + 1) AS campaign_type",
+            "o_orderstatus AS state",
+            "CAST(o_orderdate AS date) AS ordered",
         )
-        .withColumn(
-            "member_status",
-            F.when(
-                F.col("campaign_type").isin("Webinar", "Event"),
-                F.when(F.col("_status") == "F", "Attended")
-                .when(F.col("_status") == "O", "Registered")
-                .otherwise("No Show"),
-            )
-            .when(
-                F.col("campaign_type") == "Email",
-                F.when(F.col("_status") == "F", "Clicked").otherwise("Sent"),
-            )
-            .when(
-                F.col("campaign_type") == "Telemarketing",
-                F.when(F.col("_status") == "F", "Contacted").otherwise("Not Interested"),
-            )
-            .when(
-                F.col("campaign_type") == "Direct Mail",
-                F.when(F.col("_status") == "F", "Responded").otherwise("Sent"),
-            )
-            .otherwise("Responded"),
+        .selectExpr(
+            "*",
+            "CASE "
+            "WHEN campaign_type IN ('Webinar', 'Event') THEN "
+            "CASE state WHEN 'F' THEN 'Attended' WHEN 'O' THEN 'Registered' ELSE 'No Show' END "
+            "WHEN campaign_type = 'Email' THEN IF(state = 'F', 'Clicked', 'Sent') "
+            "WHEN campaign_type = 'Telemarketing' THEN "
+            "IF(state = 'F', 'Contacted', 'Not Interested') "
+            "WHEN campaign_type = 'Direct Mail' THEN IF(state = 'F', 'Responded', 'Sent') "
+            "ELSE 'Responded' END AS member_status",
         )
-        .select(
+        .selectExpr(
             "cm_id",
             "entity_id",
             "entity_type",
-            F.concat_ws("_", "campaign_type", "_year").alias("campaign_name"),
+            "concat_ws('_', campaign_type, year(ordered)) AS campaign_name",
             "campaign_type",
             "member_status",
-            (~F.col("member_status").isin("Sent", "No Show", "Not Interested")).alias(
-                "is_responded"
-            ),
-            "response_date",
-            F.lit(False).alias("is_active"),
+            "member_status NOT IN ('Sent', 'No Show', 'Not Interested') AS is_responded",
+            "date_sub(DATE '2001-08-02', datediff(DATE '2001-08-02', ordered) % 240) "
+            "AS response_date",
+            "false AS is_active",
         )
     )
 

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from callrank.config import JobConfig, TierThresholds, Weights
 from callrank.operators import clean as C
@@ -36,16 +35,12 @@ TIER_SETS = {"default": TierThresholds(), "strict": STRICT}
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def r6(column: str | Column) -> Column:
-    return F.round(F.col(column) if isinstance(column, str) else column, 6)
-
-
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: r6(c) for c in columns})
+    return df.selectExpr(*[f"round({c}, 6) AS {c}" if c in columns else c for c in df.columns])
 
 
 def text(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+    return df.selectExpr(*[f"string({c}) AS {c}" if c in columns else c for c in df.columns])
 
 
 # ---- shared inputs ----
@@ -129,8 +124,8 @@ def etl_dates(spark, sf_dir):
     t = tables(spark, sf_dir)
     leads = Q.etl_date_audit(t.leads, CONFIG.lead_etl_threshold)
     contacts = Q.etl_date_audit(t.contacts, CONFIG.contact_etl_threshold)
-    both = leads.withColumn("entity_type", F.lit("lead")).unionByName(
-        contacts.withColumn("entity_type", F.lit("contact"))
+    both = leads.selectExpr("'lead' AS entity_type", "*").union(
+        contacts.selectExpr("'contact' AS entity_type", "*")
     )
     return rounded(text(both, "created_date"), "pct_of_records", "pct_on_bulk_dates")
 
@@ -266,11 +261,11 @@ def cohorts(spark, sf_dir):
 
 def record_lookup(spark, sf_dir):
     cards = A.record_cards(ranked(spark, sf_dir))
-    return cards.select(
+    return cards.selectExpr(
         *C.ENTITY,
         "rank",
-        F.concat_ws(", ", "active_exclusions").alias("active_exclusions"),
-        F.concat_ws(", ", "active_issues").alias("active_issues"),
+        "array_join(active_exclusions, ', ') AS active_exclusions",
+        "array_join(active_issues, ', ') AS active_issues",
     )
 
 
@@ -364,9 +359,9 @@ def intent_summary(spark, sf_dir):
 def null_rates(spark, sf_dir):
     t = tables(spark, sf_dir)
     columns = ["email", "title", "job_persona", "job_level", "mql_date"]
-    leads = Q.null_rates(t.leads, columns).withColumn("entity_type", F.lit("lead"))
-    contacts = Q.null_rates(t.contacts, columns).withColumn("entity_type", F.lit("contact"))
-    return rounded(leads.unionByName(contacts), "null_pct")
+    leads = Q.null_rates(t.leads, columns).selectExpr("'lead' AS entity_type", "*")
+    contacts = Q.null_rates(t.contacts, columns).selectExpr("'contact' AS entity_type", "*")
+    return rounded(leads.union(contacts), "null_pct")
 
 
 def flag_prevalence(spark, sf_dir):
