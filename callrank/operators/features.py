@@ -11,6 +11,7 @@ from callrank.config import JobConfig
 from callrank.functions.exprs import add_columns, cap, days_ago, lookup, quoted, true_flag
 from callrank.operators.clean import ENTITY, CleaningResult
 from callrank.sources.schemas import (
+    CAMPAIGN_TYPES,
     LEVEL_SCORES,
     NO_ENGAGEMENT_DAYS,
     NON_PROSPECT,
@@ -50,43 +51,44 @@ FEATURES = ENGAGEMENT + PROFILE + ACCOUNT + MOMENTUM
 def engagement_features(members: DataFrame, reference: date) -> DataFrame:
     """One row per entity that has memberships, from a single scan of them.
 
-    Memberships are first reduced to one row per entity and campaign type. That step combines
-    before the shuffle, so an entity in a third of all memberships arrives as a few rows, and it makes
-    the number of distinct types a plain count afterwards.
+    The seven known campaign types are bits of one number, so an entity is one row after the first shuffle.
+    Only types outside that list are grouped by name, which keeps the count of distinct types exact for
+    any data. Both steps combine before they shuffle: an entity in a third of all memberships
+    sends one row per task.
     """
     age = days_ago("response_date", members.schema["response_date"].dataType, reference)
+    known = ", ".join(quoted(t) for t in CAMPAIGN_TYPES)
+    bits = " ".join(f"WHEN {quoted(t)} THEN {1 << i}" for i, t in enumerate(CAMPAIGN_TYPES))
     rows = members.selectExpr(
         *ENTITY,
         "campaign_type",
+        f"IF(campaign_type IN ({known}), NULL, campaign_type) AS rare_type",
+        f"CASE campaign_type {bits} ELSE 0 END AS type_bit",
+        "member_status",
         f"{true_flag('is_responded')} AS real",
-        "member_status = 'Attended' AS attended",
-        "member_status = 'Sent' AS sent",
         f"{age} AS age",
     )
-    per_type = rows.groupBy(*ENTITY, "campaign_type").agg(
-        F.expr("count(1) AS n"),
-        F.expr("count_if(real) AS n_real"),
-        F.expr("count_if(real AND age <= 30) AS n30"),
-        F.expr("count_if(real AND age <= 60) AS n60"),
-        F.expr("count_if(real AND age <= 90) AS n90"),
-        F.expr("count_if(real AND age <= 180) AS n180"),
+    counters = {
+        "total_engagements": "true",
+        "real_engagements": "real",
+        "last_30d": "real AND age <= 30",
+        "last_60d": "real AND age <= 60",
+        "last_90d": "real AND age <= 90",
+        "last_180d": "real AND age <= 180",
+        "automated": "campaign_type = 'Email' AND member_status = 'Sent'",
+        "webinar_attendances": "campaign_type = 'Webinar' AND member_status = 'Attended'",
+        "event_attendances": "campaign_type = 'Event' AND member_status = 'Attended'",
+        "content_responses": "campaign_type = 'Content Syndication' AND real",
+    }
+    per_rare_type = rows.groupBy(*ENTITY, "rare_type").agg(
+        *[F.expr(f"count_if({test}) AS {name}") for name, test in counters.items()],
         F.expr("min(IF(real, age, NULL)) AS youngest"),
-        F.expr("count_if(attended) AS n_attended"),
-        F.expr("count_if(sent) AS n_sent"),
+        F.expr("bit_or(type_bit) AS type_bits"),
     )
-    per_entity = per_type.groupBy(*ENTITY).agg(
-        F.expr("sum(n) AS total_engagements"),
-        F.expr("sum(n_real) AS real_engagements"),
-        F.expr("sum(n30) AS last_30d"),
-        F.expr("sum(n60) AS last_60d"),
-        F.expr("sum(n90) AS last_90d"),
-        F.expr("sum(n180) AS last_180d"),
+    per_entity = per_rare_type.groupBy(*ENTITY).agg(
+        *[F.expr(f"sum({name}) AS {name}") for name in counters],
         F.expr("min(youngest) AS youngest"),
-        F.expr("sum(IF(campaign_type = 'Email', n_sent, 0)) AS automated"),
-        F.expr("count(campaign_type) AS campaign_type_diversity"),
-        F.expr("sum(IF(campaign_type = 'Webinar', n_attended, 0)) AS webinar_attendances"),
-        F.expr("sum(IF(campaign_type = 'Event', n_attended, 0)) AS event_attendances"),
-        F.expr("sum(IF(campaign_type = 'Content Syndication', n_real, 0)) AS content_responses"),
+        F.expr("bit_count(bit_or(type_bits)) + count(rare_type) AS campaign_type_diversity"),
     )
     growth = (
         "CASE WHEN real_engagements < 2 THEN 0D "

@@ -42,7 +42,9 @@ def total_order(score: str) -> list[Column]:
     return [F.col(score).desc_nulls_last(), F.col("entity_type").asc(), F.col("entity_id").asc()]
 
 
-def add_rank(df: DataFrame, score: str = "readiness_score", name: str = "rank") -> DataFrame:
+def add_rank(
+    df: DataFrame, score: str = "readiness_score", name: str = "rank", folder: str | None = None
+) -> DataFrame:
     """Rank 1..n over all rows without bringing them into one task.
 
     The rows are range-partitioned and sorted on score *and* record key, so a score shared by a third
@@ -51,7 +53,7 @@ def add_rank(df: DataFrame, score: str = "readiness_score", name: str = "rank")
     has one row per partition, which bounds both the broadcast and the only global window.
     """
     ordered = df.orderBy(*total_order(score)).withColumn("_place", F.monotonically_increasing_id())
-    placed = stage(ordered, name).selectExpr("*", f"shiftright(_place, {ROW_BITS}) AS _part")
+    placed = stage(ordered, name, folder).selectExpr("*", f"shiftright(_place, {ROW_BITS}) AS _part")
     sizes = placed.groupBy("_part").agg(F.expr("count(1) AS _size"))
     earlier = "ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = sizes.selectExpr("_part", f"coalesce(sum(_size) OVER ({earlier}), 0) AS _offset")
@@ -99,8 +101,9 @@ def rank_and_tier(
     scored: DataFrame,
     tiers: TierThresholds = TierThresholds(),
     scores: Sequence[str] = COMPONENTS,
+    folder: str | None = None,
 ) -> DataFrame:
     """Tier, order and number the scored records; the result is the output table."""
     tiered = assign_tiers(scored, tiers)
-    ranked = add_rank(tiered.select(final_columns(tiered, scores)))
-    return ranked.select("rank", *[c for c in ranked.columns if c != "rank"])
+    columns = final_columns(tiered, scores)
+    return add_rank(tiered.select(columns), folder=folder).select("rank", *columns)

@@ -20,7 +20,14 @@ from callrank.operators.scorers import (
     replace_scorer,
 )
 from callrank.plans.analytics import score_metrics, tier_distribution
-from callrank.sources.crm import CrmTables, read_tables, require_columns, write_ranked
+from callrank.sources.crm import (
+    CrmTables,
+    read_ranked,
+    read_tables,
+    require_columns,
+    write_ranked,
+)
+from callrank.sources.staging import discard, new_folder
 
 
 class StageResult(NamedTuple):
@@ -74,21 +81,28 @@ class ReadinessJob:
         data = compute_scores(features, self.config.weights, self._scorers())
         return StageResult("score", data, lambda: score_metrics(data))
 
-    def rank(self, scored: DataFrame) -> StageResult:
+    def rank(self, scored: DataFrame, folder: str | None = None) -> StageResult:
         require_columns(scored, ["entity_id", "entity_type", "readiness_score"], "ranking")
-        data = rank_and_tier(scored, self.config.tiers, [s.name for s in self._scorers()])
+        names = [s.name for s in self._scorers()]
+        data = rank_and_tier(scored, self.config.tiers, names, folder)
         return StageResult("rank", data, lambda: tier_distribution(data))
 
     def scored(self, tables: CrmTables) -> DataFrame:
         """The lazy plan up to the scores: nothing runs."""
         return self.score(self.features(self.clean(tables).data).data).data
 
-    def ranked(self, tables: CrmTables) -> DataFrame:
-        return self.rank(self.scored(tables)).data
+    def ranked(self, tables: CrmTables, folder: str | None = None) -> DataFrame:
+        return self.rank(self.scored(tables), folder).data
 
     def run(self, spark: SparkSession) -> DataFrame:
-        """Read, rank and, when an output folder is set, write the ranked table."""
-        ranked = self.ranked(self.read(spark))
-        if self.config.output_dir:
-            write_ranked(ranked, self.config.output_dir, self.config.output_format)
-        return ranked
+        """Read, rank and, when an output folder is set, write the ranked table and re-read it."""
+        tables = self.read(spark)
+        if not self.config.output_dir:
+            return self.ranked(tables)
+        folder = new_folder(spark)
+        ranked = self.ranked(tables, folder)
+        write_ranked(ranked, self.config.output_dir, self.config.output_format)
+        discard(spark, folder)
+        return read_ranked(
+            spark, self.config.output_dir, self.config.output_format, ranked.schema
+        )

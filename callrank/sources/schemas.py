@@ -109,6 +109,16 @@ COMPETITORS = (
     "Qualys",
 )
 
+CAMPAIGN_TYPES = (
+    "Webinar",
+    "Event",
+    "Content Syndication",
+    "Email",
+    "Advertisement",
+    "Telemarketing",
+    "Direct Mail",
+)
+
 LEVEL_SCORES = {
     "C-Level": 1.0,
     "VP": 0.85,

@@ -21,7 +21,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own for the intermediate tables of one run."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/callrank/{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of what was written.
 
     The result has no lineage: a lost executor costs a re-read, not a recomputation, and values
@@ -29,6 +34,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     checkpoint, parquet keeps column pruning, filter push-down and size estimates.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/callrank/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or new_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete the intermediate tables of a finished run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,6 +20,7 @@ from callrank.plans import audit as Q
 from callrank.plans import personas as P
 from callrank.plans.job import ReadinessJob
 from callrank.sources.crm import CrmTables
+from callrank.sources.staging import stage
 from callrank.sources.warehouse import REFERENCE_DATE, crm_tables
 
 CONFIG = JobConfig(reference_date=REFERENCE_DATE)
@@ -68,7 +69,7 @@ def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], DataFr
     """The ranked table is a product: the job writes it once and every report reads it."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _ranked:
-        _ranked[key] = make()
+        _ranked[key] = stage(make(), what)
     return _ranked[key]
 
 
