@@ -1,0 +1,69 @@
+from datetime import date
+
+import pytest
+
+from callrank.__main__ import parse
+from callrank.config import JobConfig, Weights
+
+
+def test_defaults():
+    w = Weights().validate()
+    assert w.by_column() == {
+        "score_engagement": 0.4, "score_profile": 0.25, "score_account": 0.2, "score_momentum": 0.15,
+    }
+
+
+@pytest.mark.parametrize("weights", [Weights(0.5, 0.5, 0.5, 0.5), Weights(0.4, 0.25, 0.2, 0.152)])
+def test_sum_must_be_one(weights):
+    with pytest.raises(ValueError):
+        weights.validate()
+    with pytest.raises(ValueError):
+        JobConfig(weights=weights)
+
+
+def test_small_tolerance():
+    Weights(0.4, 0.25, 0.2, 0.1505).validate()
+
+
+def test_normalised():
+    assert Weights(2, 1, 1, 0).normalised() == Weights(0.5, 0.25, 0.25, 0.0)
+    with pytest.raises(ValueError):
+        Weights(0, 0, 0, 0).normalised()
+
+
+def test_parse_weights():
+    assert Weights.parse("0.5,0.2,0.2,0.1") == Weights(0.5, 0.2, 0.2, 0.1)
+    for bad in ("0.5,0.5", "1,1,1,1"):
+        with pytest.raises(ValueError):
+            Weights.parse(bad)
+
+
+def test_environment():
+    config = JobConfig.from_env(
+        {"ENGAGEMENT_WEIGHT": "0.5", "MOMENTUM_WEIGHT": "0.05", "HALF_LIFE_DAYS": "30",
+         "HOT_THRESHOLD": "80", "DATA_DIR": "/data"}
+    )
+    assert config.weights == Weights(0.5, 0.25, 0.2, 0.05)
+    assert config.engagement.half_life_days == 30 and config.tiers.hot == 80
+    assert config.input_dir == "/data"
+
+
+def test_command_line():
+    config = parse(
+        ["score", "--data-dir", "in", "--output-dir", "out", "--weights", "0.5,0.2,0.2,0.1",
+         "--half-life", "30", "--hot", "80", "--reference-date", "2025-05-15",
+         "--competitors", "A", "B"],
+        env={},
+    )
+    assert config.weights.engagement == 0.5 and config.engagement.half_life_days == 30
+    assert config.tiers.hot == 80 and config.reference_date == date(2025, 5, 15)
+    assert config.competitors == ("A", "B")
+    with pytest.raises(SystemExit):
+        parse(["score", "--data-dir", "in", "--output-dir", "out", "--weights", "1,1,1,1"], env={})
+    with pytest.raises(SystemExit):
+        parse([], env={})
+
+
+def test_unknown_option_value():
+    with pytest.raises(ValueError):
+        JobConfig(missing_intent="maybe")
