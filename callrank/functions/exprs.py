@@ -103,7 +103,7 @@ def record_label() -> str:
     return (
         "concat('#', rank, ' | ', entity_id, ' | ', coalesce(first_name, ''), ' ', "
         "coalesce(last_name, ''), ' | Score: ', "
-        "coalesce(format_string('%.1f', readiness_score), ''))"
+        "IF(readiness_score IS NULL, '', format_string('%.1f', readiness_score)))"
     )
 
 

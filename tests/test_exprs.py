@@ -56,6 +56,8 @@ def test_record_label(spark):
     sql = X.record_label()
     row = dict(rank="3", entity_id="'L1'", first_name="'Ann'", last_name="CAST(NULL AS string)")
     assert value(spark, sql, readiness_score="77.0D", **row) == "#3 | L1 | Ann  | Score: 77.0"
+    unknown = value(spark, sql, readiness_score="CAST(NULL AS double)", **row)
+    assert unknown == "#3 | L1 | Ann  | Score: "
 
 
 @pytest.mark.parametrize("x", [0.693, 1e-7, 45, 1e9])
