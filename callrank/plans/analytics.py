@@ -247,13 +247,17 @@ def what_if(
 
 
 def what_if_ranks(
-    ranked: DataFrame, weights: Weights, tiers: TierThresholds = TierThresholds()
+    ranked: DataFrame,
+    weights: Weights,
+    tiers: TierThresholds = TierThresholds(),
+    folder: str | None = None,
 ) -> DataFrame:
     """New rank in the callable pool against the old rank over all records."""
     kept = ["rank", *ENTITY, "first_name", "last_name", "title", "tier", "readiness_score"]
     kept += [*COMPONENTS, "new_score", "new_tier"]
     rescored = what_if(ranked, weights, tiers)
-    moved = add_rank(rescored.select(present(rescored, kept)), "new_score", "new_rank")
+    kept = present(rescored, kept)
+    moved = add_rank(rescored.select(kept), "new_score", "new_rank", folder)
     return add_columns(moved, {"rank_change": "rank - new_rank"})
 
 

@@ -27,18 +27,18 @@ from callrank.sources.crm import CrmTables, present
 
 def _status_profile(df: DataFrame, kind: str, status: str, flags: Sequence[str]) -> DataFrame:
     flags = present(df, flags)
-    # One row per status; the flag totals and the table total come from those few rows.
+    # One row per status; the flag totals come from those few rows.
     per_status = df.groupBy(F.col(status).alias("status")).agg(
         F.expr("count(1) AS n"), *[F.expr(f"count_if({f}) AS {f}") for f in flags]
     )
+    total = df.selectExpr("count(1)").scalar()
     rows = [{"measure": f"'{status}'", "value": "status", "records": "n"}]
     rows += [{"measure": f"'{f}'", "value": "'true'", "records": f} for f in flags]
     return (
-        rows_from(
-            per_status.selectExpr("*", "sum(n) OVER (PARTITION BY 1) AS total"), rows, ["total"]
-        )
+        rows_from(per_status, rows)
         .groupBy("measure", "value")
-        .agg(F.expr("sum(records) AS records"), F.expr("max(total) AS total"))
+        .agg(F.expr("sum(records) AS records"))
+        .withColumn("total", total)
         .selectExpr(
             f"'{kind}' AS entity_type",
             "measure",

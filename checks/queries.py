@@ -20,7 +20,7 @@ from callrank.plans import audit as Q
 from callrank.plans import personas as P
 from callrank.plans.job import ReadinessJob
 from callrank.sources.crm import CrmTables
-from callrank.sources.staging import stage
+from callrank.sources.staging import discard, new_folder, stage
 from callrank.sources.warehouse import REFERENCE_DATE, crm_tables
 
 CONFIG = JobConfig(reference_date=REFERENCE_DATE)
@@ -65,23 +65,31 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ReadinessJob(CONFIG).scored(tables(spark, sf_dir))
 
 
-def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+def _once(
+    spark: SparkSession, sf_dir: str, what: str, make: Callable[[str], DataFrame]
+) -> DataFrame:
     """The ranked table is a product: the job writes it once and every report reads it."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _ranked:
-        _ranked[key] = stage(make(), what)
+        folder = new_folder(spark)
+        _ranked[key] = stage(make(folder), what)
+        discard(spark, folder)
     return _ranked[key]
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = ReadinessJob(CONFIG)
     return _once(
-        spark, sf_dir, "ranked", lambda: ReadinessJob(CONFIG).ranked(tables(spark, sf_dir))
+        spark, sf_dir, "ranked", lambda folder: job.ranked(tables(spark, sf_dir), folder)
     )
 
 
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
-        spark, sf_dir, "moved", lambda: A.what_if_ranks(ranked(spark, sf_dir), WHAT_IF, STRICT)
+        spark,
+        sf_dir,
+        "moved",
+        lambda folder: A.what_if_ranks(ranked(spark, sf_dir), WHAT_IF, STRICT, folder),
     )
 
 
