@@ -288,25 +288,50 @@ def dangling_conversions(leads: DataFrame, contacts: DataFrame, **join_options)
 # ---- the whole layer ----
 
 
+def mark_shared(records: DataFrame, shared: DataFrame) -> DataFrame:
+    """Add what depends on other records: the shared e-mail, the repaired link, the issue count."""
+    columns = [c for c in records.columns if c != "other_issues"]
+    marked = records.join(shared, ENTITY, "left").selectExpr(
+        "*", f"{true_flag('_shared')} AS dq_duplicate_email"
+    )
+    return marked.selectExpr(
+        *columns,
+        "dq_duplicate_email",
+        "IF(dq_broken_conversion, _email_contact_id, NULL) AS resolved_contact_id",
+        "other_issues + CAST(dq_duplicate_email AS int) AS dq_issue_count",
+    )
+
+
 class CleaningResult(NamedTuple):
-    """``people`` holds leads and contacts as one lazy frame; the two views filter it."""
+    """Leads and contacts with their flags, as lazy frames.
+
+    ``records`` holds both with all flags that need no other record, ``shared`` the few records that
+    share an e-mail. ``people`` is the two together, ``leads`` and ``contacts`` are views of it.
+    """
 
     accounts: DataFrame
-    people: DataFrame
+    records: DataFrame
+    shared: DataFrame
     campaign_members: DataFrame
     sightings: DataFrame
 
+    @property
+    def people(self) -> DataFrame:
+        return mark_shared(self.records, self.shared)
+
     @property
     def leads(self) -> DataFrame:
         wanted = LEAD_DETAILS + SHARED_DETAILS + LEAD_EXCLUSIONS + ["is_excluded"] + LEAD_DQ
         wanted += ["dq_issue_count", "resolved_contact_id"]
-        return self.people.filter("entity_type = 'lead'").select(present(self.people, wanted))
+        people = self.people
+        return people.filter("entity_type = 'lead'").select(present(people, wanted))
 
     @property
     def contacts(self) -> DataFrame:
         wanted = CONTACT_DETAILS + SHARED_DETAILS + CONTACT_EXCLUSIONS + ["is_excluded"]
         wanted += CONTACT_DQ + ["dq_issue_count"]
-        return self.people.filter("entity_type = 'contact'").select(present(self.people, wanted))
+        people = self.people
+        return people.filter("entity_type = 'contact'").select(present(people, wanted))
 
     def stats(self) -> DataFrame:
         """One row of totals."""
@@ -326,8 +351,8 @@ class CleaningResult(NamedTuple):
 def clean(tables: CrmTables, config: JobConfig = JobConfig(), **join_options) -> CleaningResult:
     """Flag every lead and contact and repair what an e-mail can link.
 
-    The wide records meet the shared-e-mail marks by (entity_type, entity_id), the key by which the
-    features join later, so they are shuffled once in the whole pipeline.
+    The records meet the shared-e-mail marks by (entity_type, entity_id), the key by which the
+    features join later, so they are shuffled once before they are ranked.
     """
     leads = flag_lead_rows(flag_lead_exclusions(tables.leads, config.competitors))
     leads = flag_etl_dates(leads, detect_etl_dates(tables.leads, config.lead_etl_threshold))
@@ -344,20 +369,20 @@ def clean(tables: CrmTables, config: JobConfig = JobConfig(), **join_options) ->
         contacts, detect_etl_dates(tables.contacts, config.contact_etl_threshold)
     )
 
-    people = leads.selectExpr("'lead' AS entity_type", "lead_id AS entity_id", "*").unionByName(
+    records = leads.selectExpr("'lead' AS entity_type", "lead_id AS entity_id", "*").unionByName(
         contacts.selectExpr("'contact' AS entity_type", "contact_id AS entity_id", "*"),
         allowMissingColumns=True,
     )
-    sightings = email_sightings(tables.leads, tables.contacts)
-    shared = shared_email_records(sightings, **join_options)
-    columns = people.columns
-    marked = people.join(shared, ENTITY, "left").selectExpr(
-        *columns,
-        f"{true_flag('_shared')} AS dq_duplicate_email",
-        "IF(dq_broken_conversion, _email_contact_id, NULL) AS resolved_contact_id",
+    issues = " + ".join(
+        f"CAST({true_flag(c)} AS int)" for c in LEAD_DQ if c != "dq_duplicate_email"
     )
-    issues = " + ".join(f"CAST({true_flag(c)} AS int)" for c in LEAD_DQ)
     if config.legacy_dq_count:
         issues += " + IF(entity_type = 'lead', 2, 0)"
-    people = add_columns(marked, {"dq_issue_count": issues})
-    return CleaningResult(tables.accounts, people, tables.campaign_members, sightings)
+    sightings = email_sightings(tables.leads, tables.contacts)
+    return CleaningResult(
+        tables.accounts,
+        add_columns(records, {"other_issues": issues}),
+        shared_email_records(sightings, **join_options),
+        tables.campaign_members,
+        sightings,
+    )

@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from callrank.config import JobConfig
 from callrank.functions.exprs import add_columns, cap, days_ago, lookup, quoted, true_flag
-from callrank.operators.clean import ENTITY, CleaningResult
+from callrank.operators.clean import (
+    ACCOUNT_DETAILS,
+    CONTACT_DETAILS,
+    ENTITY,
+    EXCLUSIONS,
+    LEAD_DETAILS,
+    LEAD_DQ,
+    SHARED_DETAILS,
+    CleaningResult,
+    mark_shared,
+)
+from callrank.sources.crm import present
 from callrank.sources.schemas import (
     CAMPAIGN_TYPES,
     LEVEL_SCORES,
@@ -165,13 +176,31 @@ STAND_INS = {
 }
 
 
+# What stays beside the features; every other detail travels packed in ``record``.
+OPEN_DETAILS = ["is_excluded", "dq_broken_conversion", "other_issues"]
+PACKED_DETAILS = [
+    c
+    for c in LEAD_DETAILS + CONTACT_DETAILS + SHARED_DETAILS + ACCOUNT_DETAILS + EXCLUSIONS + LEAD_DQ
+    if c not in ("dq_broken_conversion", "dq_duplicate_email")
+]
+
+
 def engineer_features(cleaned: CleaningResult, config: JobConfig = JobConfig()) -> DataFrame:
-    """Feature columns beside the record details, one row per record."""
+    """Features of every record, one row each, with the record's details in the struct ``record``.
+
+    Features of the row itself come before the join, and the details cross the join, the sort and the
+    intermediate table as one column. With each of them a column of its own, the code Spark generates for
+    that stage outgrows what the JVM compiles.
+    """
     engagement = engagement_features(cleaned.campaign_members, config.reference_date)
-    people = cleaned.people
-    missing = {c: sql for c, sql in STAND_INS.items() if c not in people.columns}
-    people = add_columns(people, missing) if missing else people
-    return add_columns(
-        with_engagement(people, engagement),
-        profile_columns() | account_columns(config.missing_intent),
+    records = cleaned.records
+    missing = {c: sql for c, sql in STAND_INS.items() if c not in records.columns}
+    own = profile_columns() | account_columns(config.missing_intent)
+    packed = add_columns(records, missing) if missing else records
+    packed = packed.selectExpr(
+        *ENTITY,
+        *[f"{sql} AS {name}" for name, sql in own.items()],
+        *OPEN_DETAILS,
+        f"struct({', '.join(present(records, PACKED_DETAILS))}) AS record",
     )
+    return with_engagement(mark_shared(packed, cleaned.shared), engagement)

@@ -92,9 +92,12 @@ def merge_record_details(
     return scored.join(records.drop(*overlap), ENTITY, "left")
 
 
-def final_columns(df: DataFrame, scores: Sequence[str] = COMPONENTS) -> list[str]:
+def final_columns(df: DataFrame, scores: Sequence[str] = COMPONENTS) -> dict[str, str]:
+    """Output columns in order, each with the SQL that reads it, packed or not."""
+    packed = df.schema["record"].dataType.names if "record" in df.columns else []
+    where = {c: f"record.{c}" for c in packed} | {c: c for c in df.columns}
     wanted = [*ENTITY, "readiness_score", "tier", *scores, *FEATURES, *DETAILS]
-    return present(df, list(dict.fromkeys(wanted)))
+    return {c: where[c] for c in dict.fromkeys(wanted) if c in where}
 
 
 def rank_and_tier(
@@ -103,7 +106,8 @@ def rank_and_tier(
     scores: Sequence[str] = COMPONENTS,
     folder: str | None = None,
 ) -> DataFrame:
-    """Tier, order and number the scored records; the result is the output table."""
+    """Tier, order and number the scored records; the result is the flat output table."""
     tiered = assign_tiers(scored, tiers)
     columns = final_columns(tiered, scores)
-    return add_rank(tiered.select(columns), folder=folder).select("rank", *columns)
+    ranked = add_rank(tiered, folder=folder)
+    return ranked.selectExpr("rank", *[f"{sql} AS {name}" for name, sql in columns.items()])
