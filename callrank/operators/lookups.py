@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # the bound on what is broadcast for them.
 HOT_KEY_ROWS = 1_000_000
 
+# What one task takes anyway: the size to which Spark's adaptive execution merges partitions.
+TASK_BYTES = 64 << 20
+
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate: file sizes carried upward, an upper bound through filters."""
@@ -27,13 +30,15 @@ def lookup_join(
     match_nulls: bool = False,
     hot_rows: int = HOT_KEY_ROWS,
     limit: int | None = None,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
     """Add the other columns of ``table`` (unique on ``key``) to every row of ``left``.
 
-    A table within the session's broadcast limit is broadcast. Beyond it the few hot keys are
-    counted and only their table rows are broadcast, while the rows that carry them (and rows whose
-    null key matches nothing) are spread by the expression ``spread`` in the shuffled join that serves
-    all other keys. Each left row is read once and kept once.
+    A table within the session's broadcast limit is broadcast. A left side that fits one task is
+    joined plainly: no key can make a task of it too large. Beyond both, the few hot keys are counted
+    and only their table rows are broadcast, while the rows that carry them (and rows whose null key
+    matches nothing) are spread by the expression ``spread`` in the shuffled join that serves all
+    other keys. Each left row is read once and kept once.
     """
     values = ", ".join(c for c in table.columns if c != key)
     # A null key of the table would otherwise match null keys on the left.
@@ -41,9 +46,11 @@ def lookup_join(
     packed = usable.selectExpr(f"{key} AS _key", f"struct({values}) AS _value")
     limit = broadcast_limit(left) if limit is None else limit
 
-    if estimated_bytes(packed) <= limit:
+    small_table = estimated_bytes(packed) <= limit
+    if small_table or estimated_bytes(left) <= task_bytes:
         same = F.expr(f"{key} <=> _key" if match_nulls else f"{key} = _key")
-        return left.join(F.broadcast(packed), same, "left").select(*left.columns, "_value.*")
+        right = F.broadcast(packed) if small_table else packed
+        return left.join(right, same, "left").select(*left.columns, "_value.*")
 
     hot_keys = (
         left.groupBy(F.col(key).alias("_hot_key"))
