@@ -1,0 +1,92 @@
+"""What the physical plans must look like, whatever the results."""
+
+import os
+import re
+
+import pytest
+
+import __spark_entry__ as entry
+from callrank.operators.clean import clean
+from callrank.operators.features import engagement_features, engineer_features
+from callrank.operators.rank import total_order
+from callrank.operators.scorers import assign_tiers, compute_scores
+from conftest import REFERENCE
+
+SF_DIR = "/root/testdata/sf0.001"
+
+# HotSpot leaves methods beyond this many bytes of bytecode interpreted.
+HUGE_METHOD = 8000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def static_plans(spark):
+    """Plans of the shuffled kind, as large tables get them."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_no_pairwise_joins_and_no_row_by_row_python(spark, static_plans, name):
+    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "BatchEvalPython" not in plan
+    if name != "custom_scorer":
+        assert "Python" not in plan
+
+
+def test_memberships_are_scanned_once_for_all_features(spark, tables, tmp_path, static_plans):
+    tables.campaign_members.write.parquet(str(tmp_path / "members"))
+    members = spark.read.parquet(str(tmp_path / "members"))
+    plan = plan_of(engagement_features(members, REFERENCE))
+    assert plan.count("FileScan") == 1
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+    # Both shuffles come after a partial aggregate, and only the needed columns are read.
+    assert plan.count("partial_") > 0 and "campaign_name" not in plan and "cm_id" not in plan
+
+
+def test_wide_records_are_shuffled_once_before_the_sort(tables, config, static_plans):
+    features = engineer_features(clean(tables, config, limit=-1), config)
+    plan = plan_of(features)
+    carrying = [
+        line
+        for line in plan.splitlines()
+        if "Exchange hashpartitioning(entity_type" in line and "rare_type" not in line
+    ]
+    # People, their shared-e-mail marks and their engagement meet on one key.
+    assert len(carrying) == 3
+    assert "Window" not in plan
+
+
+def test_generated_code_stays_compilable(spark, tables, config, static_plans):
+    scored = compute_scores(engineer_features(clean(tables, config), config))
+    ordered = assign_tiers(scored).orderBy(*total_order("readiness_score"))
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    parts = debug.codegenStringSeq(ordered._jdf.queryExecution().executedPlan()).iterator()
+    sizes = []
+    while parts.hasNext():
+        sizes.append(parts.next()._3().maxMethodCodeSize())
+    assert sizes and 0 < max(sizes) < HUGE_METHOD
+
+
+def test_filters_reach_the_ranked_table(spark, ranked, tmp_path):
+    from callrank.plans.analytics import fairness, ranked_list, top_callable
+
+    ranked.write.parquet(str(tmp_path / "ranked"))
+    table = spark.read.parquet(str(tmp_path / "ranked"))
+    plan = plan_of(ranked_list(table))
+    assert re.search(r"PushedFilters: \[[^\]]*In\(tier", plan)
+    assert "TakeOrderedAndProject" in plan_of(top_callable(table))
+    columns = re.search(r"ReadSchema: struct<([^>]*)>", plan_of(fairness(table))).group(1)
+    assert {c.split(":")[0] for c in columns.split(",")} == {
+        "entity_type", "readiness_score", "tier", "is_excluded",
+    }
