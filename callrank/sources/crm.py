@@ -54,8 +54,17 @@ def _typed(column: Column, have: T.DataType, want: T.DataType) -> Column:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Give the known columns their types by name; columns may be missing or in any order."""
+    """Give the known columns their types by name; columns may be missing or in any order.
+
+    A response that comes with its time of day keeps it: the days since are counted from it.
+    """
     known = {f.name: f.dataType for f in df.schema}
+    timed = (T.TimestampType, T.TimestampNTZType)
+    if isinstance(known.get("response_date"), timed):
+        fields = [
+            T.StructField(f.name, known[f.name]) if f.name == "response_date" else f for f in schema
+        ]
+        schema = T.StructType(fields)
     return df.select(
         [
             _typed(F.col(f.name), known[f.name], f.dataType).alias(f.name)

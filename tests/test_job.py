@@ -179,3 +179,16 @@ def test_tables_with_only_the_needed_columns(spark, config):
     rows = by_key(ReadinessJob(config).ranked(bare))
     assert rows["L"].readiness_score == 8.0
     assert rows["C"].score_account == 0.0 and rows["C"].readiness_score == 5.0
+
+
+def test_times_of_day_survive_parquet(spark, tables, tmp_path):
+    timed = tables.campaign_members.selectExpr(
+        "* EXCEPT (response_date)", "TIMESTAMP_NTZ '2025-05-10 12:00:00' AS response_date"
+    )
+    for name, df in tables._replace(campaign_members=timed)._asdict().items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    job = ReadinessJob(
+        JobConfig(input_dir=str(tmp_path), input_format="parquet", reference_date=REFERENCE)
+    )
+    rows = by_key(job.scored(job.read(spark)))
+    assert rows["L1"].days_since_last_engagement == 4

@@ -42,6 +42,10 @@ def test_no_pairwise_joins_and_no_row_by_row_python(spark, static_plans, name):
     assert "BatchEvalPython" not in plan
     if name != "custom_scorer":
         assert "Python" not in plan
+    # A window over everything runs only over one row per partition (ranks) or per day (dates).
+    for line in plan.splitlines():
+        unsplit = re.search(r"windowspecdefinition\((\w+)#\d+L? (?:ASC|DESC)", line)
+        assert not unsplit or unsplit.group(1) == "_part", line
 
 
 def test_memberships_are_scanned_once_for_all_features(spark, tables, tmp_path, static_plans):
