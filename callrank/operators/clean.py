@@ -210,6 +210,7 @@ def shared_email_records(sightings: DataFrame, **join_options) -> DataFrame:
         "email",
         "struct(entity_type, entity_id)",
         match_nulls=True,
+        counted="n_records",
         **join_options,
     )
     # Two unknown e-mails are counted as equal but never link two records.

@@ -28,6 +28,7 @@ def lookup_join(
     key: str,
     spread: str,
     match_nulls: bool = False,
+    counted: str | None = None,
     hot_rows: int = HOT_KEY_ROWS,
     limit: int | None = None,
     task_bytes: int = TASK_BYTES,
@@ -38,7 +39,8 @@ def lookup_join(
     joined plainly: no key can make a task of it too large. Beyond both, the few hot keys are counted
     and only their table rows are broadcast, while the rows that carry them (and rows whose null key
     matches nothing) are spread by the expression ``spread`` in the shuffled join that serves all
-    other keys. Each left row is read once and kept once.
+    other keys. Each left row is read once and kept once. ``counted`` names the column of ``table`` that
+    holds the number of left rows per key, when it is known; it saves counting them.
     """
     values = ", ".join(c for c in table.columns if c != key)
     # A null key of the table would otherwise match null keys on the left.
@@ -52,20 +54,25 @@ def lookup_join(
         right = F.broadcast(packed) if small_table else packed
         return left.join(right, same, "left").select(*left.columns, "_value.*")
 
-    hot_keys = (
-        left.groupBy(F.col(key).alias("_hot_key"))
-        .agg(F.expr("count(1) AS _rows"))
-        .filter(f"_rows > {hot_rows}")
-        .select("_hot_key")
-    )
-    hot_values = packed.join(
-        F.broadcast(hot_keys.withColumnRenamed("_hot_key", "_wanted")),
-        F.expr("_key <=> _wanted"),
-        "left_semi",
-    )
-    hot = hot_keys.join(hot_values, F.expr("_hot_key <=> _key"), "left").selectExpr(
-        "_hot_key", "_value AS _hot_value", "true AS _is_hot"
-    )
+    if counted:
+        hot = packed.filter(f"_value.{counted} > {hot_rows}").selectExpr(
+            "_key AS _hot_key", "_value AS _hot_value", "true AS _is_hot"
+        )
+    else:
+        hot_keys = (
+            left.groupBy(F.col(key).alias("_hot_key"))
+            .agg(F.expr("count(1) AS _rows"))
+            .filter(f"_rows > {hot_rows}")
+            .select("_hot_key")
+        )
+        hot_values = packed.join(
+            F.broadcast(hot_keys.withColumnRenamed("_hot_key", "_wanted")),
+            F.expr("_key <=> _wanted"),
+            "left_semi",
+        )
+        hot = hot_keys.join(hot_values, F.expr("_hot_key <=> _key"), "left").selectExpr(
+            "_hot_key", "_value AS _hot_value", "true AS _is_hot"
+        )
 
     # Slot 0 holds the ordinary keys. Comparing key and slot as one struct keeps the two together
     # as the partitioning key, and treats a null key inside it as a value.

@@ -46,6 +46,16 @@ def test_shuffled_path_equals_broadcast_path(left, table, match_nulls, hot_rows)
     assert found[None] == (2 if match_nulls else None)
 
 
+@pytest.mark.parametrize("match_nulls", [False, True])
+def test_known_counts_need_no_counting(spark, left, match_nulls):
+    table = left.groupBy("key").count().selectExpr("key", "count AS n", "max(key) OVER (PARTITION BY key) AS b")
+    options = dict(match_nulls=match_nulls, counted="n", hot_rows=100)
+    plain = rows_of(lookup_join(left, table, "key", "id", **options))
+    safe = lookup_join(left, table, "key", "id", **SPLIT, **options)
+    assert rows_of(safe) == plain
+    assert "_rows" not in safe._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hot_rows_are_spread(spark, left, table):
     joined = lookup_join(left, table, "key", "id", hot_rows=10, **SPLIT)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
