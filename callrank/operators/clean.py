@@ -225,8 +225,9 @@ def shared_email_records(sightings: DataFrame, **join_options) -> DataFrame:
 
 
 def detect_etl_dates(df: DataFrame, threshold: int = 20, column: str = "created_date") -> DataFrame:
-    """Dates on more than ``threshold`` records."""
-    counts = df.filter(f"{column} IS NOT NULL").groupBy(column).agg(F.expr("count(1) AS n_records"))
+    """Days on more than ``threshold`` records."""
+    days = df.selectExpr(f"CAST({column} AS date) AS {column}").filter(f"{column} IS NOT NULL")
+    counts = days.groupBy(column).agg(F.expr("count(1) AS n_records"))
     return counts.filter(f"n_records > {threshold}")
 
 

@@ -165,7 +165,8 @@ def duplicate_email_audit(leads: DataFrame, contacts: DataFrame) -> DataFrame:
 def etl_date_audit(df: DataFrame, threshold: int, column: str = "created_date") -> DataFrame:
     """Bulk-load dates with the share of all records on them and on any of them."""
     # One row per calendar day at most, so the totals over all days are small.
-    per_day = df.groupBy(column).agg(F.expr("count(1) AS n_records"))
+    days = df.selectExpr(f"CAST({column} AS date) AS {column}")
+    per_day = days.groupBy(column).agg(F.expr("count(1) AS n_records"))
     return (
         per_day.selectExpr("*", f"{column} IS NOT NULL AND n_records > {threshold} AS bulk")
         .selectExpr(
@@ -218,8 +219,8 @@ FINDINGS = [
 
 def score_field_quartiles(tables: CrmTables) -> DataFrame:
     """Evidence for DQ-5: the two imported score fields have different scales."""
-    return numeric_summary(tables.leads, ["mkto_lead_score"]).union(
-        numeric_summary(tables.contacts, ["mkto_contact_score"])
+    return wide_summary(tables.leads, ["mkto_lead_score"], width=1.0).union(
+        wide_summary(tables.contacts, ["mkto_contact_score"], width=1.0)
     )
 
 

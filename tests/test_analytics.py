@@ -52,7 +52,9 @@ def test_cohorts(ranked):
 def test_histogram_and_scatter(ranked, spark):
     bins = {(r.dimension, r.value): r.bin for r in A.score_histogram(ranked).collect()}
     assert bins["tier", "Hot"] == 23 and bins["entity_type", "contact"] == 19
-    full = spark.sql("SELECT 100D AS readiness_score, 'Hot' AS tier, 'lead' AS entity_type, false AS is_excluded")
+    full = spark.sql(
+        "SELECT 100D AS readiness_score, 'Hot' AS tier, 'lead' AS entity_type, false AS is_excluded"
+    )
     assert {r.bin for r in A.score_histogram(full).collect()} == {29}
     assert A.score_scatter(ranked).count() == 2
     assert A.score_scatter(ranked, fraction=0.0).count() == 0

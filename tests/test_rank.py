@@ -9,6 +9,8 @@ from callrank.plans.analytics import top_scored
 from callrank.sources.staging import discard, new_folder, stage
 from conftest import by_key
 
+KEYED = "readiness_score double, entity_type string, entity_id string"
+
 GOLDEN = {
     "L1": (1, 100.0, 100.0, 15.0, 60.0, 77.0, "Hot"),
     "C1": (2, 56.888718945, 100.0, 86.5, 0.0, 65.1, "Warm"),
@@ -88,12 +90,12 @@ def test_hot_score_is_split_over_tasks(spark):
 
 
 def test_rank_of_nothing(spark):
-    df = spark.createDataFrame([], "readiness_score double, entity_type string, entity_id string")
+    df = spark.createDataFrame([], KEYED)
     assert R.add_rank(df).count() == 0
 
 
 def test_repeated_keys_still_get_ranks_of_their_own(spark):
-    df = spark.createDataFrame([(1.0, "lead", "A")] * 3, "readiness_score double, entity_type string, entity_id string")
+    df = spark.createDataFrame([(1.0, "lead", "A")] * 3, KEYED)
     assert sorted(r["rank"] for r in R.add_rank(df).collect()) == [1, 2, 3]
 
 
@@ -125,7 +127,7 @@ def test_top_without_ranking(tables, config):
 def test_staging_lands_in_the_shared_folder(spark):
     folder = new_folder(spark)
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
-    df = spark.createDataFrame([(1.0, "lead", "A")], "readiness_score double, entity_type string, entity_id string")
+    df = spark.createDataFrame([(1.0, "lead", "A")], KEYED)
     assert R.add_rank(df, folder=folder).count() == 1
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
