@@ -212,15 +212,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of near-duplicates, the one of the smallest id; columns as they are.
 
-    Rows without an id are kept only if their group has no other; of rows repeated under that id one stays.
+    An id stands for its document: of rows that repeat a kept id one stays, and an id is kept if any of its rows is. Rows
+    without an id are kept, one of them, only if their group has no other. What joins the texts is the narrow list of
+    ids to drop, which Spark broadcasts while it is small.
     """
     found = near_duplicates(df, id_col, text_col)
-    keep = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = stage(keep, "keep", new_folder(df.sparkSession))
-    mark, count = unused(df, "keep__"), unused(df, "copies__")
-    kept = df.join(
-        keep.select(F.col("doc_id").alias(mark), F.col("n").alias(count)), df[id_col].cast("long").eqNullSafe(F.col(mark))
+    kept = F.expr("doc_id <=> component_id")
+    fate = found.groupBy("doc_id").agg(F.sum(kept.cast("long")).alias("n")).where("n <> 1")  # 0: dropped, 2 and more: repeated
+    fate = stage(fate, "fate", new_folder(df.sparkSession))
+    mark, count = unused(df, "fate_id__"), unused(df, "fate_n__")
+    known = df.join(
+        fate.select(F.col("doc_id").alias(mark), F.col("n").alias(count)), df[id_col].cast("long").eqNullSafe(F.col(mark)), "left"
     )
-    single = kept.where(F.col(count) == 1).select(*df.columns)
-    several = kept.where(F.col(count) > 1).dropDuplicates([mark]).select(*df.columns)
-    return single.unionByName(several)
+    single = known.where(F.col(count).isNull()).select(*df.columns)
+    if not fate.where("n > 1").limit(1).count():
+        return single
+    return single.unionByName(known.where(F.col(count) > 1).dropDuplicates([mark]).select(*df.columns))
