@@ -11,6 +11,9 @@ from callrank.sources.schemas import COMPETITORS
 WEIGHT_TOLERANCE = 0.001
 
 
+# Names and defaults below are those that users of the scoring model carry over.
+
+
 @dataclass(frozen=True)
 class Weights:
     """Share of each component in the readiness score.
@@ -110,6 +113,10 @@ class JobConfig:
 
     def __post_init__(self):
         self.weights.validate()
+        if not self.engagement.half_life_days > 0:
+            raise ValueError(f"the half-life must be above 0, it is {self.engagement.half_life_days}")
+        if not self.tiers.hot >= self.tiers.warm >= self.tiers.nurture:
+            raise ValueError(f"tier thresholds must not rise from hot to nurture: {self.tiers}")
         if self.missing_intent not in ("null", "zero"):
             raise ValueError("missing_intent is 'null' or 'zero'")
 

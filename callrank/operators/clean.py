@@ -225,7 +225,9 @@ def shared_email_records(sightings: DataFrame, **join_options) -> DataFrame:
 
 
 def detect_etl_dates(df: DataFrame, threshold: int = 20, column: str = "created_date") -> DataFrame:
-    """Days on more than ``threshold`` records."""
+    """Days on more than ``threshold`` records; none where the table has no such column."""
+    if column not in df.columns:
+        return df.sparkSession.createDataFrame([], f"{column} date, n_records bigint")
     days = df.selectExpr(f"CAST({column} AS date) AS {column}").filter(f"{column} IS NOT NULL")
     counts = days.groupBy(column).agg(F.expr("count(1) AS n_records"))
     return counts.filter(f"n_records > {threshold}")
@@ -233,6 +235,8 @@ def detect_etl_dates(df: DataFrame, threshold: int = 20, column: str = "created_
 
 def flag_etl_dates(df: DataFrame, dates: DataFrame, column: str = "created_date") -> DataFrame:
     """Bulk dates are by nature hot keys; a calendar has under 4 million days, so broadcast."""
+    if column not in df.columns:
+        return df.withColumn("dq_etl_timestamp", F.lit(False))
     marks = dates.selectExpr(f"CAST({column} AS date) AS _day", "true AS _bulk")
     joined = df.join(F.broadcast(marks), F.expr(f"CAST({column} AS date) = _day"), "left")
     return joined.selectExpr(*df.columns, f"{true_flag('_bulk')} AS dq_etl_timestamp")

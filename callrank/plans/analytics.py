@@ -237,11 +237,23 @@ def score_scatter(ranked: DataFrame, fraction: float | None = None, seed: int =
 # ---- what if ----
 
 
+def weighted_columns(df: DataFrame, weights: Weights) -> list[str]:
+    """Every component that has a weight, the four given ones first."""
+    names = [*COMPONENTS, *[name for name, weight in weights.extra if weight and name not in COMPONENTS]]
+    missing = [name for name in names if name not in df.columns]
+    if missing:
+        raise ValueError(f"weighted components that the table lacks: {missing}")
+    return names
+
+
 def what_if(
     ranked: DataFrame, weights: Weights, tiers: TierThresholds = TierThresholds()
 ) -> DataFrame:
-    """Score the callable pool again from its stored components; weights are normalised."""
-    score = round_half_even(weighted_sum(COMPONENTS, weights.normalised()), 2)
+    """Score the callable pool again from its stored components; weights are normalised.
+
+    Added dimensions count like the four given ones; a weighted one that the table lacks is an error.
+    """
+    score = round_half_even(weighted_sum(weighted_columns(ranked, weights), weights.normalised()), 2)
     rescored = add_columns(callable_pool(ranked), {"new_score": score})
     return add_columns(rescored, {"new_tier": tier_of("new_score", tiers)})
 
@@ -254,7 +266,7 @@ def what_if_ranks(
 ) -> DataFrame:
     """New rank in the callable pool against the old rank over all records."""
     kept = ["rank", *ENTITY, "first_name", "last_name", "title", "tier", "readiness_score"]
-    kept += [*COMPONENTS, "new_score", "new_tier"]
+    kept += [*weighted_columns(ranked, weights), "new_score", "new_tier"]
     rescored = what_if(ranked, weights, tiers)
     kept = present(rescored, kept)
     moved = add_rank(rescored.select(kept), "new_score", "new_rank", folder)
@@ -293,40 +305,30 @@ def rank_movers(moved: DataFrame, k: int = 10) -> DataFrame:
 
 
 def weight_sensitivity(scored: DataFrame, weight_sets: Mapping[str, Weights]) -> DataFrame:
-    """Mean readiness and hot records per weight set, all sets in one aggregate."""
-    aggregates = []
-    for name, weights in weight_sets.items():
-        score = round_half_even(weighted_sum(COMPONENTS, weights.validate()), 1)
-        aggregates += [f"avg({score}) AS {name}_mean", f"count_if({score} >= 70) AS {name}_hot"]
-    return rows_from(
-        scored.selectExpr(*aggregates),
-        [
-            {
-                "weight_set": f"'{name}'",
-                "mean_readiness": f"{name}_mean",
-                "hot_records": f"{name}_hot",
-            }
-            for name in weight_sets
-        ],
-    )
+    """Mean readiness and hot records per weight set, all sets in one aggregate. Names may be any text."""
+    aggregates, rows = [], []
+    for i, (name, weights) in enumerate(weight_sets.items()):
+        columns = weighted_columns(scored, weights)
+        score = round_half_even(weighted_sum(columns, weights.validate()), 1)
+        aggregates += [f"avg({score}) AS mean_{i}", f"count_if({score} >= 70) AS hot_{i}"]
+        rows.append(
+            {"weight_set": quoted(name), "mean_readiness": f"mean_{i}", "hot_records": f"hot_{i}"}
+        )
+    return rows_from(scored.selectExpr(*aggregates), rows)
 
 
 def tier_sensitivity(scored: DataFrame, tier_sets: Mapping[str, TierThresholds]) -> DataFrame:
-    """Tier sizes per threshold set, all sets in one aggregate."""
-    pairs = [(name, tier) for name in tier_sets for tier in TIERS]
-    counts = scored.selectExpr(
-        *[
-            f"count_if({tier_of('readiness_score', tier_sets[name])} = '{tier}') AS {name}_{tier}"
-            for name, tier in pairs
-        ]
-    )
-    return rows_from(
-        counts,
-        [
-            {"tier_set": f"'{name}'", "tier": f"'{tier}'", "records": f"{name}_{tier}"}
-            for name, tier in pairs
-        ],
-    )
+    """Tier sizes per threshold set, all sets in one aggregate. Names may be any text."""
+    counts, rows = [], []
+    for i, (name, thresholds) in enumerate(tier_sets.items()):
+        for tier in TIERS:
+            counts.append(
+                f"count_if({tier_of('readiness_score', thresholds)} = '{tier}') AS set_{i}_{tier}"
+            )
+            rows.append(
+                {"tier_set": quoted(name), "tier": f"'{tier}'", "records": f"set_{i}_{tier}"}
+            )
+    return rows_from(scored.selectExpr(*counts), rows)
 
 
 # ---- expectations ----
@@ -336,12 +338,14 @@ def persona_audit(ranked: DataFrame, expectations: DataFrame) -> DataFrame:
     """Does each expected record land where it should?
 
     ``expectations``: entity_type, entity_id, persona, allowed_tiers (array), expects_excluded.
+    A record that isn't there has the outcome MISSING and is not as expected.
     """
-    outcomes = ranked.select(*ENTITY, "readiness_score", "tier", "is_excluded")
-    return expectations.join(outcomes, ENTITY).selectExpr(
+    outcomes = ranked.select(*ENTITY, "readiness_score", "tier", "is_excluded", F.lit(True).alias("_there"))
+    return expectations.join(outcomes, ENTITY, "left").selectExpr(
         *ENTITY,
         "persona",
         "readiness_score",
-        "IF(is_excluded, 'EXCLUDED', tier) AS outcome",
-        "IF(is_excluded, expects_excluded, array_contains(allowed_tiers, tier)) AS as_expected",
+        "CASE WHEN _there IS NULL THEN 'MISSING' WHEN is_excluded THEN 'EXCLUDED' ELSE tier END AS outcome",
+        "CASE WHEN _there IS NULL THEN false WHEN is_excluded THEN expects_excluded "
+        "ELSE array_contains(allowed_tiers, tier) END AS as_expected",
     )

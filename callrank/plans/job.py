@@ -100,9 +100,11 @@ class ReadinessJob:
         if not self.config.output_dir:
             return self.ranked(tables)
         folder = new_folder(spark)
-        ranked = self.ranked(tables, folder)
-        write_ranked(ranked, self.config.output_dir, self.config.output_format)
-        discard(spark, folder)
+        try:
+            ranked = self.ranked(tables, folder)
+            write_ranked(ranked, self.config.output_dir, self.config.output_format)
+        finally:
+            discard(spark, folder)
         return read_ranked(
             spark, self.config.output_dir, self.config.output_format, ranked.schema
         )

@@ -53,6 +53,31 @@ def _typed(column: Column, have: T.DataType, want: T.DataType) -> Column:
     return column.try_cast(want)
 
 
+#: What stands for a missing value in exported text files.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def _without_missing(df: DataFrame) -> DataFrame:
+    """Text columns with null where a word for a missing value stands."""
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.select(
+        [F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns]
+    )
+
+
+def malformed(raw: DataFrame, typed: DataFrame) -> list[str]:
+    """SQL text of counts: values of a column that are given in ``raw`` and have no place in its type."""
+    have = {f.name: f.dataType for f in raw.schema}
+    return [
+        f"count_if(`{f.name}` IS NOT NULL AND try_cast(`{f.name}` AS {'double' if isinstance(f.dataType, T.LongType) else f.dataType.simpleString()}) IS NULL) AS `{f.name}`"
+        for f in typed.schema
+        if have[f.name] != f.dataType
+    ]
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Give the known columns their types by name; columns may be missing or in any order.
 
@@ -74,11 +99,22 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def read_tables(spark: SparkSession, input_dir: str, file_format: str = "csv") -> CrmTables:
+def read_tables(
+    spark: SparkSession,
+    input_dir: str,
+    file_format: str = "csv",
+    multi_line: bool = True,
+    on_malformed: str = "null",
+) -> CrmTables:
     """Load ``<input_dir>/<table>.<format>`` for the four tables.
 
-    Column types come from our schemas, never from a look at the data.
+    Column types come from our schemas, never from a look at the data. In CSV the words of ``MISSING`` are null, and
+    ``multi_line`` keeps line breaks in quotes inside their record; without it, which quoted line breaks forbid, a file
+    is split over tasks. A value that doesn't fit its column's type is null, or an error that names the column and the
+    number of values if ``on_malformed`` is ``"fail"``.
     """
+    if on_malformed not in ("null", "fail"):
+        raise ValueError("on_malformed is 'null' or 'fail'")
     if file_format not in ("csv", "parquet"):
         raise ValueError("input format is 'csv' or 'parquet'")
 
@@ -86,12 +122,19 @@ def read_tables(spark: SparkSession, input_dir: str, file_format: str = "csv") -
         path = f"{input_dir.rstrip('/')}/{name}.{file_format}"
         reader = spark.read
         if file_format == "csv":
-            reader = reader.option("header", True).option("escape", '"')
+            reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
         try:
             df = reader.format(file_format).load(path)
         except AnalysisException as error:
             raise ValueError(f"input not found: {path}") from error
-        return require_columns(conform(df, SCHEMAS[name]), S.REQUIRED[name], name)
+        if file_format == "csv":
+            df = _without_missing(df)
+        typed = require_columns(conform(df, SCHEMAS[name]), S.REQUIRED[name], name)
+        if on_malformed == "fail" and (counts := malformed(df, typed)):
+            bad = {c: n for c, n in df.selectExpr(*counts).first().asDict().items() if n}
+            if bad:
+                raise ValueError(f"{name}: values that don't fit their column: {bad}")
+        return typed
 
     return CrmTables(*[load(name) for name in CrmTables._fields])
 

@@ -200,8 +200,8 @@ def readiness(spark, sf_dir):
     return rounded(out, *M.COMPONENTS)
 
 
-def custom_scorer(spark, sf_dir):
-    """A dimension in Python beside the four built ones, with a weight of its own."""
+def with_depth(spark, sf_dir):
+    """Scored records with a dimension in Python beside the four built ones, with a weight of its own."""
     depth = M.pandas_scorer(
         "score_depth",
         ["real_engagements", "total_engagements"],
@@ -209,7 +209,17 @@ def custom_scorer(spark, sf_dir):
     )
     weights = Weights(0.35, 0.25, 0.20, 0.10, extra=(("score_depth", 0.10),))
     job = ReadinessJob(JobConfig(reference_date=REFERENCE_DATE, weights=weights)).with_scorer(depth)
-    out = job.scored(tables(spark, sf_dir))
+    return job.scored(tables(spark, sf_dir))
+
+
+def what_if_custom(spark, sf_dir):
+    """Five dimensions re-weighted; the weights sum to 4."""
+    weights = Weights(1.0, 1.0, 0.5, 0.5, extra=(("score_depth", 1.0),))
+    return A.what_if(with_depth(spark, sf_dir), weights).select(*C.ENTITY, "new_score", "new_tier")
+
+
+def custom_scorer(spark, sf_dir):
+    out = with_depth(spark, sf_dir)
     return rounded(out.select(*C.ENTITY, "score_depth", "readiness_score"), "score_depth")
 
 
@@ -415,6 +425,7 @@ ALL: dict[str, Query] = {
         entity_features,
         readiness,
         custom_scorer,
+        what_if_custom,
         score_metrics,
         tier_distribution,
         ranked_records,

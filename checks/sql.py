@@ -491,6 +491,16 @@ ALL: dict[str, str] = {
           + score_momentum * 0.1e0 + depth * 0.1e0) * 10e0, 0) / 10e0 AS readiness_score
         FROM deep"""
     ),
+    "what_if_custom": on_scored(
+        """, deep AS (SELECT *, real_engagements * 100e0 / greatest(total_engagements, 1)
+          AS depth FROM scored WHERE NOT is_excluded),
+        again AS (SELECT *, round_even((score_engagement * 0.25e0 + score_profile * 0.25e0
+          + score_account * 0.125e0 + score_momentum * 0.125e0 + depth * 0.25e0) * 100e0, 0) / 100e0
+          AS new_score FROM deep)
+        SELECT entity_type, entity_id, new_score, CASE WHEN new_score >= 70 THEN 'Hot'
+          WHEN new_score >= 45 THEN 'Warm' WHEN new_score >= 20 THEN 'Nurture' ELSE 'Cold' END AS new_tier
+        FROM again"""
+    ),
     "score_metrics": on_scored(
         """SELECT round(avg(readiness_score), 6) AS mean_score,
         round(median(readiness_score), 6) AS median_score,

@@ -59,37 +59,40 @@ MEMBERS = (
     "is_active boolean"
 )
 
-# The small world of FIXTURES.md section 2.
+# The small world of FIXTURES.md section 2: a maker of harbour equipment, four firms, three leads, three contacts.
 ACCOUNT_ROWS = [
-    ("ACC-001", "TargetCorp", "Technology", 5000, 500e6, True, True, 80.0, False, "US"),
-    ("ACC-002", "SmallBiz", "Retail", 50, 1e6, False, False, 10.0, False, "US"),
-    ("ACC-003", "BlockedInc", "Finance", 1000, 100e6, True, False, 50.0, True, "UK"),
+    ("harbour", "Harbour Cranes", "Logistics", 2000, 3e8, True, False, 60.0, False, "NL"),
+    ("orchard", "Orchard Foods", "Food", 400, 2e7, False, False, 25.0, False, "ES"),
+    ("quarry", "Quarry Stone", "Mining", 9000, 8e8, False, True, 35.0, False, "SE"),
+    ("shutter", "Shutter Media", "Media", 120, 4e6, True, True, 90.0, True, "IT"),
 ]
 LEAD_ROWS = [
-    ("L1", "vp@target.com", "Sarah", "Chen", "VP of Security", "TargetCorp", "MQL", "Web", "CISO",
-     "VP", day("2025-04-01"), day("2025-05-10"), False, None, 85, False, None, None, False, False),
-    ("L2", "spy@crowdstrike.com", "James", "Bond", "Solutions Engineer", "CrowdStrike", "New",
-     "Event", "Non-Prospect", "Individual Contributor", day("2025-03-15"), None, False, None, 70,
-     False, None, None, False, False),
-    ("L3", "bounced@gone.com", "Ghost", "User", None, "UnknownCo", "Attempted", "Purchased List",
-     None, None, day("2025-01-15"), None, True, None, 30, False, None, None, True, True),
+    ("ada", "ada@dock.test", "Ada", "Moreau", "Yard Planner", "Dock Nine", "Working", "Referral",
+     "Security Engineer", "Manager", day("2024-11-02"), None, False, None, 12, False, None, None, False, False),
+    ("bo", "bo@pier.test", "Bo", "Lindqvist", "Head of Ports", "Pier Two", "Recycled", "Webinar",
+     "Technical Buyer", "C-Level", day("2025-02-20"), None, True, None, 64, False, None, None, False, False),
+    ("cy", "cy@mole.test", "Cy", None, None, None, "New", "List", None, None, day("2025-02-20"), None,
+     None, None, None, True, "student", day("2025-03-01"), None, None),
 ]
 CONTACT_ROWS = [
-    ("C1", "ACC-001", "director@target.com", "Mike", "Johnson", "Director of IT", "Active",
-     "Technical Buyer", "Director", day("2024-06-01"), day("2025-05-12"), 75, True, False, None,
-     False, False),
-    ("C2", "ACC-003", "left@blocked.com", "Former", "Employee", "Manager", "Nurture",
-     "IT Operations", "Manager", day("2023-01-01"), None, 20, False, True, "L3", True, False),
+    ("dee", "harbour", "dee@crane.test", "Dee", "Okafor", "Crane Lead", "Active", "IT Operations", "VP",
+     day("2023-09-09"), day("2025-04-04"), 41, True, True, "ada", False, False),
+    ("eli", "shutter", "eli@shut.test", "Eli", "Banks", "Editor", "Nurture", "CISO", "Director",
+     day("2024-01-31"), None, 5, False, False, None, False, True),
+    ("fay", "quarry", "bo@pier.test", "Fay", "Stein", None, "Active", "Financial Buyer", "Individual Contributor",
+     day("2024-07-07"), None, 77, False, False, None, False, False),
 ]
 MEMBER_ROWS = [
-    ("cm-1", "L1", "lead", "Webinar_A", "Webinar", "Attended", True, day("2025-05-10"), True),
-    ("cm-2", "L1", "lead", "Webinar_B", "Webinar", "Attended", True, day("2025-05-05"), False),
-    ("cm-3", "L1", "lead", "Event_A", "Event", "Attended", True, day("2025-04-28"), False),
-    ("cm-4", "L2", "lead", "Webinar_C", "Webinar", "Attended", True, day("2025-05-12"), True),
-    ("cm-5", "C1", "contact", "Paper_A", "Content Syndication", "Downloaded", True,
-     day("2025-05-14"), True),
-    ("cm-6", "C1", "contact", "Drip_A", "Email", "Sent", False, day("2025-05-01"), False),
-    ("cm-7", "C1", "contact", "Drip_B", "Email", "Sent", False, day("2025-04-15"), False),
+    ("m1", "ada", "lead", "Tide Talk", "Webinar", "Registered", True, day("2025-03-01"), False),
+    ("m2", "ada", "lead", "Dock Day", "Event", "Attended", True, day("2025-05-05"), True),
+    ("m3", "bo", "lead", "News 1", "Email", "Sent", False, day("2025-05-01"), False),
+    ("m4", "bo", "lead", "News 2", "Email", "Sent", False, day("2025-05-08"), False),
+    ("m5", "bo", "lead", "News 3", "Email", "Clicked", True, day("2025-05-09"), True),
+    ("m6", "dee", "contact", "Crane Guide", "Content Syndication", "Downloaded", True, day("2025-02-14"), False),
+    ("m7", "dee", "contact", "Port Fair", "Event", "Attended", True, day("2025-04-20"), False),
+    ("m8", "dee", "contact", "Port Night", "Event", "Attended", True, day("2025-05-02"), True),
+    ("m9", "dee", "contact", "Load Clinic", "Webinar", "Attended", True, day("2025-05-12"), True),
+    ("m10", "fay", "contact", "News 1", "Email", "Sent", False, day("2025-04-30"), False),
 ]
 
 

@@ -15,25 +15,25 @@ def test_statuses(tables):
         (r.entity_type, r.measure, r.value): (r.records, r.pct)
         for r in Q.status_distribution(tables.leads, tables.contacts).collect()
     }
-    assert rows["lead", "lead_status", "MQL"] == (1, pytest.approx(100 / 3))
+    assert rows["lead", "lead_status", "Working"] == (1, pytest.approx(100 / 3))
     assert rows["lead", "is_converted", "true"] == (1, pytest.approx(100 / 3))
-    assert rows["contact", "has_lead_origin", "true"] == (1, 50.0)
-    assert rows["lead", "is_disqualified", "true"] == (0, 0.0)
+    assert rows["contact", "has_lead_origin", "true"] == (1, pytest.approx(100 / 3))
+    assert rows["lead", "has_opted_out", "true"] == (0, 0.0)
 
 
 def test_memberships(tables):
     rows = by_key(Q.engagement_summary(tables.campaign_members), "metric")
-    assert (rows["total"].n, rows["total"]["max"], rows["real"].q50) == (3, 3.0, 1.0)
+    assert (rows["total"].n, rows["total"]["max"], rows["real"].q50) == (4, 4.0, 1.5)
     recency = Q.recency_summary(tables.campaign_members, REFERENCE).first()
-    assert (recency.n, recency["min"], recency["max"], recency.pct_30d) == (5, 1, 17, 100.0)
+    assert (recency.n, recency["min"], recency["max"], recency.pct_30d) == (7, 3, 90, pytest.approx(500 / 7))
     audit = Q.automation_audit(tables.campaign_members).first()
-    assert (audit.email_memberships, audit.auto_sends, audit.responded) == (2, 2, 5)
+    assert (audit.email_memberships, audit.auto_sends, audit.responded) == (4, 3, 7)
 
 
 def test_accounts(tables):
     profile = Q.account_profile(tables.accounts).first()
-    assert (profile.accounts, profile.n_is_icp_qualified, profile.n_do_not_contact) == (3, 2, 1)
-    assert Q.intent_summary(tables.accounts).first().q50 == 50.0
+    assert (profile.accounts, profile.n_is_icp_qualified, profile.n_do_not_contact) == (4, 2, 1)
+    assert Q.intent_summary(tables.accounts).first().q50 == 47.5
 
 
 def test_null_rates(tables):
@@ -44,26 +44,27 @@ def test_null_rates(tables):
 
 def test_prevalence(cleaned):
     rows = {(r.entity_type, r.flag): r.records for r in Q.flag_prevalence(cleaned).collect()}
-    assert rows["lead", "exclude_bounced"] == 1 and rows["lead", "is_excluded"] == 2
+    assert rows["lead", "exclude_disqualified"] == 1 and rows["lead", "is_excluded"] == 1
     assert rows["contact", "exclude_dnc_account"] == 1
-    assert rows["lead", "issues_0"] == 2 and rows["lead", "issues_1_or_more"] == 1
+    assert rows["lead", "issues_0"] == 1 and rows["lead", "issues_1_or_more"] == 2
     assert ("contact", "dq_broken_conversion") not in rows
 
 
 def test_emails_and_dates(spark, tables):
     audit = Q.duplicate_email_audit(tables.leads.union(tables.leads), tables.contacts).first()
-    assert tuple(audit) == (8, 6, 3)
+    assert tuple(audit) == (9, 7, 3)
     dates = Q.etl_date_audit(tables.leads.union(tables.leads).union(tables.leads.limit(1)), 2)
-    row = dates.first()
-    assert (row.n_records, dates.count()) == (3, 1)
-    assert row.pct_of_records == row.pct_on_bulk_dates == pytest.approx(300 / 7)
+    rows = {str(r.created_date): r for r in dates.collect()}
+    assert {k: r.n_records for k, r in rows.items()} == {"2024-11-02": 3, "2025-02-20": 4}
+    assert rows["2024-11-02"].pct_of_records == pytest.approx(300 / 7)
+    assert rows["2024-11-02"].pct_on_bulk_dates == 100.0
 
 
 def test_score_summaries(tables, ranked):
     rows = by_key(Q.score_summary(ranked), "metric")
-    assert rows["readiness_score"].q50 == 37.5 and rows["score_account"]["max"] == 86.5
+    assert rows["readiness_score"].q50 == 41.5 and rows["score_account"]["max"] == 82.12
     fields = by_key(Q.score_field_quartiles(tables), "metric")
-    assert fields["mkto_lead_score"].q50 == 70.0 and fields["mkto_contact_score"].q50 == 47.5
+    assert fields["mkto_lead_score"].q50 == 38.0 and fields["mkto_contact_score"].q50 == 41.0
 
 
 def test_findings(cleaned):
@@ -72,14 +73,14 @@ def test_findings(cleaned):
     got = {k: (r.population, r.affected) for k, r in rows.items()}
     assert got == {
         "DQ-1": (1, 1),
-        "DQ-2": (5, 0),
+        "DQ-2": (6, 2),
         "DQ-3": (3, 0),
-        "DQ-4": (5, 0),
-        "DQ-5": (5, 5),
-        "DQ-6": (5, 1),
-        "DQ-7": (5, 1),
-        "DQ-8": (7, 2),
-        "DQ-9": (5, 2),
+        "DQ-4": (6, 0),
+        "DQ-5": (6, 5),
+        "DQ-6": (6, 0),
+        "DQ-7": (6, 2),
+        "DQ-8": (10, 3),
+        "DQ-9": (6, 1),
         "DQ-10": (3, 0),
     }
     assert rows["DQ-9"].severity == "Critical" and rows["DQ-1"].prevalence_pct == 100.0

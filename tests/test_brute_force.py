@@ -16,6 +16,7 @@ from callrank.operators.scorers import compute_scores
 from callrank.sources.crm import CrmTables
 from conftest import ACCOUNTS, CONTACTS, LEADS, MEMBERS, REFERENCE
 
+# Fixed values of the scoring model that the plain computation uses.
 LEVELS = {"C-Level": 1.0, "VP": 0.85, "Director": 0.7, "Manager": 0.5, "Individual Contributor": 0.3}
 PERSONAS = {"CISO": 1.0, "Technical Buyer": 0.9, "Non-Prospect": 0.0}
 TYPES = ["Webinar", "Event", "Content Syndication", "Email", "Podcast", None]

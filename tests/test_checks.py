@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks import queries as registered
+from checks import sql as twins
 from checks.compare import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -18,14 +20,14 @@ def connection():
 
 
 def test_all_queries_have_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registered.ALL) == set(twins.ALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.ALL))
 def test_query_equals_sql(spark, connection, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = registered.ALL[name](spark, SF_DIR)
     assert len(set(df.columns)) == len(df.columns)
-    rows, problems = compare(df, connection, entry.oracle_sql()[name])
+    rows, problems = compare(df, connection, twins.ALL[name])
     assert not problems
     assert rows > 0 or name in {"cohorts"}
 
@@ -36,5 +38,5 @@ def test_entry_keeps_its_schema(spark):
 
 
 def test_ranks_are_a_permutation(spark):
-    ranks = [r["rank"] for r in entry.queries()["ranked_records"](spark, SF_DIR).collect()]
+    ranks = [r["rank"] for r in registered.ALL["ranked_records"](spark, SF_DIR).collect()]
     assert sorted(ranks) == list(range(1, len(ranks) + 1))

@@ -22,22 +22,26 @@ def test_counts_per_entity(spark):
     found = engaged(
         spark,
         [
-            ("L1", "lead", "Webinar", "Attended", True, date(2025, 5, 10)),
-            ("L1", "lead", "Email", "Sent", False, date(2025, 5, 1)),
-            ("L1", "lead", "Event", "Attended", True, date(2025, 4, 20)),
-            ("L2", "lead", "Email", "Sent", False, date(2024, 1, 1)),
-            ("C1", "contact", "Content Syndication", "Downloaded", True, date(2025, 5, 14)),
+            ("pia", "contact", "Event", "Attended", True, date(2025, 3, 30)),
+            ("pia", "contact", "Event", "Attended", True, date(2025, 5, 3)),
+            ("pia", "contact", "Content Syndication", "Downloaded", True, date(2025, 5, 7)),
+            ("pia", "contact", "Email", "Sent", False, date(2025, 5, 13)),
+            ("quo", "lead", "Email", "Sent", False, date(2025, 5, 2)),
+            ("quo", "lead", "Email", "Sent", False, date(2025, 5, 3)),
+            ("rex", "lead", "Webinar", "Attended", True, date(2025, 1, 5)),
         ],
     )
-    one, two, three = found["L1"], found["L2"], found["C1"]
-    assert (one.total_engagements, one.real_engagements, one.engagement_last_30d) == (3, 2, 2)
-    assert (one.webinar_attendances, one.event_attendances, one.content_responses) == (1, 1, 0)
-    assert one.days_since_last_engagement == 5 and one.campaign_type_diversity == 3
-    assert one.automation_ratio == 1 / 3
+    one, two, three = found["pia"], found["quo"], found["rex"]
+    assert (one.total_engagements, one.real_engagements, one.engagement_last_30d) == (4, 3, 2)
+    assert (one.webinar_attendances, one.event_attendances, one.content_responses) == (0, 2, 1)
+    assert one.days_since_last_engagement == 8 and one.campaign_type_diversity == 3
+    assert one.automation_ratio == 1 / 4
+    # two in the last month against one in the month before
     assert (one.momentum_score, one.is_accelerating) == (1.0, True)
     assert (two.real_engagements, two.days_since_last_engagement) == (0, 999)
     assert (two.automation_ratio, two.momentum_score, two.is_accelerating) == (1.0, 0.0, False)
-    assert three.content_responses == 1 and three.momentum_score == 0.0
+    assert (three.webinar_attendances, three.engagement_last_90d, three.engagement_last_180d) == (1, 0, 1)
+    assert three.momentum_score == 0.0
 
 
 def test_same_id_in_both_tables_is_two_entities(spark):
@@ -124,13 +128,14 @@ def test_profile(spark):
 
 def test_features_of_the_small_world(tables, config):
     rows = by_key(E.engineer_features(clean(tables, config), config))
-    assert len(rows) == 5
+    assert len(rows) == 6
     golden = {
-        "L1": (3, 3, 3, 3, 5, 0.0, 2, 2, 1, 0),
-        "C1": (3, 1, 1, 1, 1, 2 / 3, 2, 0, 0, 1),
-        "L2": (1, 1, 1, 1, 3, 0.0, 1, 1, 0, 0),
-        "C2": (0, 0, 0, 0, 999, 0.0, 0, 0, 0, 0),
-        "L3": (0, 0, 0, 0, 999, 0.0, 0, 0, 0, 0),
+        "ada": (2, 2, 1, 2, 10, 0.0, 2, 0, 1, 0),
+        "bo": (3, 1, 1, 1, 6, 2 / 3, 1, 0, 0, 0),
+        "dee": (4, 4, 3, 4, 3, 0.0, 3, 1, 2, 1),
+        "fay": (1, 0, 0, 0, 999, 1.0, 1, 0, 0, 0),
+        "cy": (0, 0, 0, 0, 999, 0.0, 0, 0, 0, 0),
+        "eli": (0, 0, 0, 0, 999, 0.0, 0, 0, 0, 0),
     }
     columns = [
         "total_engagements", "real_engagements", "engagement_last_30d", "engagement_last_90d",
@@ -139,9 +144,9 @@ def test_features_of_the_small_world(tables, config):
     ]
     assert {k: tuple(r[c] for c in columns) for k, r in rows.items()} == golden
     account = {k: tuple(r[c] for c in E.ACCOUNT) for k, r in rows.items()}
-    assert account["C1"] == (1, 1, 0.8, 0.5, 0.5, 1)
-    assert account["C2"] == (1, 0, 0.5, 0.1, 0.1, 1)
-    assert account["L1"] == (0, 0, 0.0, 0.0, 0.0, 0)
+    assert account["dee"] == (1, 0, 0.6, 0.2, 0.3, 1)
+    assert account["fay"] == (0, 1, 0.35, 0.9, 0.8, 1)
+    assert account["ada"] == (0, 0, 0.0, 0.0, 0.0, 0)
 
 
 def contact_world(spark, tables, rows):

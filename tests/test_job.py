@@ -10,7 +10,7 @@ from callrank.plans.job import ReadinessJob
 from callrank.sources.crm import CrmTables, read_ranked, read_tables, require_columns
 from conftest import REFERENCE, by_key
 
-ORDER = ["L1", "C1", "L2", "C2", "L3"]
+ORDER = ["dee", "ada", "bo", "eli", "fay", "cy"]
 
 
 @pytest.fixture(scope="module")
@@ -51,25 +51,25 @@ def test_parquet_in_csv_out(spark, tables, config, tmp_path):
     assert os.path.isdir(tmp_path / "out" / "scored_records.csv")
     rows = by_key(out)
     assert [r.entity_id for r in sorted(rows.values(), key=lambda r: r["rank"])] == ORDER
-    assert rows["C2"].readiness_score == 27.0 and rows["L1"].mql_date.isoformat() == "2025-05-10"
-    assert rows["L1"].exclude_no_longer is None and rows["L2"].is_excluded is True
+    assert rows["fay"].readiness_score == 25.6 and rows["dee"].mql_date.isoformat() == "2025-04-04"
+    assert rows["ada"].exclude_no_longer is None and rows["cy"].is_excluded is True
 
 
 def test_csv_in_parquet_out(spark, csv_dir, config, tmp_path):
     job = ReadinessJob(replace(config, input_dir=csv_dir, output_dir=str(tmp_path)))
     out = job.run(spark)
-    assert out.count() == 5
+    assert out.count() == 6
     again = read_ranked(spark, str(tmp_path))
     scores = [r.readiness_score for r in again.orderBy("rank").collect()]
     assert scores == sorted(scores, reverse=True) and all(0 <= s <= 100 for s in scores)
     assert {r.tier for r in again.collect()} <= {"Hot", "Warm", "Nurture", "Cold"}
-    assert again.filter("is_excluded").count() == 3
+    assert again.filter("is_excluded").count() == 2
     # Running again replaces the table.
-    assert job.run(spark).count() == 5
+    assert job.run(spark).count() == 6
 
 
 def test_without_output_nothing_is_written(spark, csv_dir, config):
-    assert ReadinessJob(replace(config, input_dir=csv_dir)).run(spark).count() == 5
+    assert ReadinessJob(replace(config, input_dir=csv_dir)).run(spark).count() == 6
 
 
 def test_custom_weights_and_tiers(spark, csv_dir):
@@ -80,8 +80,8 @@ def test_custom_weights_and_tiers(spark, csv_dir):
         tiers=TierThresholds(90, 60, 30),
     )
     rows = by_key(ReadinessJob(config).run(spark))
-    assert len(rows) == 5 and all(r.readiness_score is not None for r in rows.values())
-    assert rows["L1"].tier == "Warm"
+    assert len(rows) == 6 and all(r.readiness_score is not None for r in rows.values())
+    assert rows["dee"].tier == "Warm"
 
 
 def test_input_checks(spark, tmp_path, tables, config):
@@ -111,13 +111,13 @@ def test_stages_report_metrics(tables, config):
     cleaned = job.clean(tables)
     assert cleaned.metrics().first().total_leads == 3
     features = job.features(cleaned.data)
-    assert features.metrics().first().records == 5
+    assert features.metrics().first().records == 6
     scored = job.score(features.data)
     metrics = scored.metrics().first()
-    assert metrics.median_score == 37.5 and metrics.mean_score == pytest.approx(42.92)
+    assert metrics.median_score == 41.5 and metrics.mean_score == pytest.approx(260.9 / 6)
     ranked = job.rank(scored.data)
     tiers = {r.tier: r.records for r in ranked.metrics().collect()}
-    assert tiers == {"Hot": 1, "Warm": 1, "Nurture": 2, "Cold": 1}
+    assert tiers == {"Hot": 1, "Warm": 1, "Nurture": 3, "Cold": 1}
     assert [s.name for s in (cleaned, features, scored, ranked)] == [
         "clean", "features", "score", "rank",
     ]
@@ -126,8 +126,8 @@ def test_stages_report_metrics(tables, config):
 def test_half_life_reaches_the_scorer(tables, config):
     fast = replace(config, engagement=EngagementParams(half_life_days=5))
     slow, quick = (by_key(ReadinessJob(c).scored(tables)) for c in (config, fast))
-    assert quick["L1"].score_engagement <= slow["L1"].score_engagement
-    assert quick["L2"].score_engagement < slow["L2"].score_engagement
+    assert quick["ada"].score_engagement < slow["ada"].score_engagement
+    assert quick["bo"].score_engagement < slow["bo"].score_engagement
 
 
 def test_scorers_swap_without_touching_the_original(tables, config):
@@ -135,7 +135,7 @@ def test_scorers_swap_without_touching_the_original(tables, config):
     fast = engagement_scorer(EngagementParams(half_life_days=1))
     swapped = by_key(job.replacing_scorer("score_engagement", fast).scored(tables))
     plain = by_key(job.scored(tables))
-    assert swapped["L2"].score_engagement < plain["L2"].score_engagement
+    assert swapped["bo"].score_engagement < plain["bo"].score_engagement
     extra = Scorer("score_tech", lambda: engagement_scorer().expr() * 0)
     with_extra = job.with_scorer(extra).ranked(tables)
     assert "score_tech" in with_extra.columns and "score_tech" not in job.scored(tables).columns
@@ -145,7 +145,7 @@ def test_reference_date_moves_the_window(tables, config):
     from datetime import date
 
     later = by_key(ReadinessJob(replace(config, reference_date=date(2026, 5, 15))).scored(tables))
-    assert later["L1"].engagement_last_90d == 0 and later["L1"].days_since_last_engagement == 370
+    assert later["ada"].engagement_last_90d == 0 and later["ada"].days_since_last_engagement == 375
 
 
 def test_exclusion_never_changes_a_score(tables, config):
@@ -154,7 +154,7 @@ def test_exclusion_never_changes_a_score(tables, config):
     )
     before = by_key(ReadinessJob(config).scored(tables))
     after = by_key(ReadinessJob(config).scored(tables._replace(leads=blocked)))
-    assert after["L1"].is_excluded and not before["L1"].is_excluded
+    assert after["ada"].is_excluded and not before["ada"].is_excluded
     assert {k: r.readiness_score for k, r in after.items()} == {
         k: r.readiness_score for k, r in before.items()
     }
@@ -164,11 +164,10 @@ def test_tables_with_only_the_needed_columns(spark, config):
     bare = CrmTables(
         spark.createDataFrame([("A", False)], "account_id string, do_not_contact boolean"),
         spark.createDataFrame(
-            [("L", "a@x", None)], "lead_id string, email string, created_date date"
+            [("L", "a@x")], "lead_id string, email string"
         ),
         spark.createDataFrame(
-            [("C", "b@x", "A", None)],
-            "contact_id string, email string, account_id string, created_date date",
+            [("C", "b@x", "A")], "contact_id string, email string, account_id string"
         ),
         spark.createDataFrame(
             [],
@@ -191,4 +190,48 @@ def test_times_of_day_survive_parquet(spark, tables, tmp_path):
         JobConfig(input_dir=str(tmp_path), input_format="parquet", reference_date=REFERENCE)
     )
     rows = by_key(job.scored(job.read(spark)))
-    assert rows["L1"].days_since_last_engagement == 4
+    assert rows["ada"].days_since_last_engagement == 4
+
+
+def test_csv_with_line_breaks_and_words_for_missing(spark, tables, tmp_path):
+    for name, df in tables._asdict().items():
+        with open(tmp_path / f"{name}.csv", "w", newline="") as out:
+            writer = csv.writer(out)
+            writer.writerow(df.columns)
+            for row in df.collect():
+                writer.writerow(["N/A" if c is None else f"{c}\nmore" if n == "title" else c for n, c in row.asDict().items()])
+    read = read_tables(spark, str(tmp_path))
+    leads = by_key(read.leads, "lead_id")
+    assert set(leads) == {"ada", "bo", "cy"} and leads["ada"].title == "Yard Planner\nmore"
+    assert leads["cy"].job_persona is None and leads["cy"].title is None
+
+
+def test_malformed_values_can_fail(spark, tables, tmp_path):
+    for name, df in tables._asdict().items():
+        df.write.option("header", True).csv(f"{tmp_path}/{name}.csv")
+    assert read_tables(spark, str(tmp_path), on_malformed="fail").leads.count() == 3
+    bad = tables.leads.selectExpr("* EXCEPT (is_converted)", "'perhaps' AS is_converted")
+    bad.write.mode("overwrite").option("header", True).csv(f"{tmp_path}/leads.csv")
+    assert read_tables(spark, str(tmp_path)).leads.count() == 3
+    with pytest.raises(ValueError, match="is_converted"):
+        read_tables(spark, str(tmp_path), on_malformed="fail")
+
+
+def test_a_failing_write_leaves_no_work_folder(spark, tables, config, tmp_path, monkeypatch):
+    from callrank.plans import job as J
+
+    for name, df in tables._asdict().items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = f"{tmp_path}/work"
+    monkeypatch.setattr(J, "new_folder", lambda spark: folder)
+    monkeypatch.setattr(J, "write_ranked", lambda *a: 1 / 0)
+    settings = replace(config, input_dir=str(tmp_path), input_format="parquet", output_dir=str(tmp_path / "out"))
+    with pytest.raises(ZeroDivisionError):
+        ReadinessJob(settings).run(spark)
+    assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("bad", [{"engagement": EngagementParams(half_life_days=0)}, {"tiers": TierThresholds(40, 50, 10)}])
+def test_parameters_are_checked(bad):
+    with pytest.raises(ValueError):
+        JobConfig(**bad)

@@ -12,12 +12,14 @@ from conftest import by_key
 KEYED = "readiness_score double, entity_type string, entity_id string"
 
 GOLDEN = {
-    "L1": (1, 100.0, 100.0, 15.0, 60.0, 77.0, "Hot"),
-    "C1": (2, 56.888718945, 100.0, 86.5, 0.0, 65.1, "Warm"),
-    "L2": (3, 70.694038916, 25.0, 15.0, 0.0, 37.5, "Nurture"),
-    # A rounding tie: 27.05 goes down.
-    "C2": (4, 0.0, 75.0, 41.5, 0.0, 27.0, "Nurture"),
-    "L3": (5, 0.0, 20.0, 15.0, 0.0, 8.0, "Cold"),
+    "dee": (1, 100.0, 92.5, 46.75, 60.0, 81.5, "Hot"),
+    # 40 % of 2 ** (-10 / 45), 30 % of 30 for volume, two types, one event.
+    "ada": (2, 40 * 2 ** (-10 / 45) + 9 + 20 + 20, 70.0, 15.0, 60.0, 62.8, "Warm"),
+    "bo": (3, 40 * 2 ** (-6 / 45) + 7.5 + 10 - 20, 100.0, 15.0, 0.0, 41.6, "Nurture"),
+    "eli": (4, 0.0, 100.0, 82.12, 0.0, 41.4, "Nurture"),
+    # A rounding tie: 25.65 goes down.
+    "fay": (5, 0.0, 60.0, 53.25, 0.0, 25.6, "Nurture"),
+    "cy": (6, 0.0, 20.0, 15.0, 0.0, 8.0, "Cold"),
 }
 
 
@@ -30,21 +32,22 @@ def test_golden_ranking(ranked):
         assert (r.score_profile, r.score_account, r.score_momentum) == (profile, account, momentum)
     excluded = {k: {c for c in r.asDict() if c.startswith("exclude_") and r[c]} for k, r in rows.items()}
     assert excluded == {
-        "L1": set(),
-        "C1": set(),
-        "L2": {"exclude_competitor", "exclude_non_prospect"},
-        "C2": {"exclude_no_longer", "exclude_dnc_account"},
-        "L3": {"exclude_opted_out", "exclude_bounced"},
+        "dee": set(),
+        "ada": set(),
+        "bo": set(),
+        "fay": set(),
+        "eli": {"exclude_opted_out", "exclude_dnc_account"},
+        "cy": {"exclude_disqualified"},
     }
 
 
 def test_details_travel_with_the_record(ranked):
     rows = by_key(ranked)
-    assert (rows["C1"].account_name, rows["C1"].industry, rows["C1"].intent_score) == (
-        "TargetCorp", "Technology", 80.0,
+    assert (rows["fay"].account_name, rows["fay"].industry, rows["fay"].intent_score) == (
+        "Quarry Stone", "Mining", 35.0,
     )
-    assert rows["L1"].company == "TargetCorp" and rows["L1"].account_name is None
-    assert rows["C1"].exclude_competitor is None
+    assert rows["ada"].company == "Dock Nine" and rows["ada"].account_name is None
+    assert rows["dee"].exclude_competitor is None
 
 
 @pytest.mark.parametrize("partitions", [1, 7, 40])
@@ -116,12 +119,12 @@ def test_layer_by_layer_with_separate_details(tables, config, ranked):
 def test_strict_tiers(tables, config):
     scored = M.compute_scores(engineer_features(clean(tables, config), config))
     tiers = {r.entity_id: r.tier for r in R.rank_and_tier(scored, TierThresholds(90, 60, 30)).collect()}
-    assert tiers == {"L1": "Warm", "C1": "Warm", "L2": "Nurture", "C2": "Cold", "L3": "Cold"}
+    assert tiers == {"dee": "Warm", "ada": "Warm", "bo": "Nurture", "eli": "Nurture", "fay": "Cold", "cy": "Cold"}
 
 
 def test_top_without_ranking(tables, config):
     scored = M.compute_scores(engineer_features(clean(tables, config), config))
-    assert [r.entity_id for r in top_scored(scored, 2).collect()] == ["L1", "C1"]
+    assert [r.entity_id for r in top_scored(scored, 2).collect()] == ["dee", "ada"]
 
 
 def test_staging_lands_in_the_shared_folder(spark):
