@@ -4,7 +4,7 @@ Four sources of evidence give a posterior over languages: how likely each langua
 that the markup declares, the suffix of the address (top-level domain, or a language as the first step of the path), and
 a prior of the host. The host prior is smoothed hierarchically: counts of a host, by grouped aggregation over all rows, are
 shrunk to those of its parent domain, and these to all rows. Text models are hashed character trigrams, learned from a
-bounded number of labelled rows a language; the trust in a declared language and in a suffix is how often each agrees with
+bounded expected number of labelled rows a language; the trust in a declared language and in a suffix is how often each agrees with
 the text, counted over all rows.
 
 Evidence that is missing (null text, no markup, no address) leaves the posterior as it is; a row without any gets the
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callrank.llm.common import by_size, strings
 from callrank.sources.staging import new_folder, stage
 
-#: Labelled rows a language to learn from; trigram hashes; weight of a parent against a child's counts; and the most that
+#: Labelled rows a language to learn from, as expected; trigram hashes; weight of a parent against a child's counts; and the most that
 #: a text's log likelihoods may differ, as trigrams overlap and aren't independent.
 LABELLED, HASHES, SHRINK, TEMPER = 1_000, 1 << 13, 5.0, 0.2
 
@@ -43,9 +43,10 @@ def _trigrams(text: str) -> np.ndarray:
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probabilities of hashes for each, from ``lang`` and ``text`` (and ``id`` to choose rows by)."""
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    few = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("n__", F.row_number().over(by))
-    few = few.where(F.col("n__") <= LABELLED).select("lang", "text")
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    # rows are chosen by a hash of their id, each language at its own rate, so no task gathers a language
+    rates = usable.groupBy("lang").agg((F.lit(1e9 * LABELLED) / F.count("*")).alias("rate"))
+    few = usable.join(rates, "lang").where(F.expr("pmod(xxhash64(id), 1000000000L) < rate")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,10 +138,16 @@ def identified(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame
         ]).alias("host_log"),
     )
     markup, address = table("markup"), table("suffix")
+
+    def key(column: str) -> Column:
+        """The value to join by; missing ones are spread under keys that match nothing."""
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*carried, "host"), F.lit(1024)).cast("string"))
+        return F.coalesce(seen[column].cast("string"), spread)
+
     fused = (
-        seen.join(markup, seen.markup == F.col("markup__"), "left")
-        .join(address, seen["suffix"] == F.col("suffix__"), "left")
-        .join(shared, seen.host == F.col("host__"), "left")
+        seen.join(markup, key("markup") == F.col("markup__"), "left")
+        .join(address, key("suffix") == F.col("suffix__"), "left")
+        .join(shared, key("host") == F.col("host__"), "left")
     )
     prior = F.array(*[F.log(F.lit(v)) for v in whole])
     parts = [F.coalesce("likely", zeros), F.coalesce("markup_log", zeros), F.coalesce("suffix_log", zeros), F.coalesce("host_log", prior)]
