@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from callrank.config import TierThresholds
@@ -13,9 +15,9 @@ KEYED = "readiness_score double, entity_type string, entity_id string"
 
 GOLDEN = {
     "dee": (1, 100.0, 92.5, 46.75, 60.0, 81.5, "Hot"),
-    # 40 % of 2 ** (-10 / 45), 30 % of 30 for volume, two types, one event.
-    "ada": (2, 40 * 2 ** (-10 / 45) + 9 + 20 + 20, 70.0, 15.0, 60.0, 62.8, "Warm"),
-    "bo": (3, 40 * 2 ** (-6 / 45) + 7.5 + 10 - 20, 100.0, 15.0, 0.0, 41.6, "Nurture"),
+    # 40 % of the decay over ten days, 30 % of 30 for volume, two types, one event.
+    "ada": (2, 40 * math.exp(-M.DECAY_RATE * 10 / 45) + 9 + 20 + 20, 70.0, 15.0, 60.0, 62.8, "Warm"),
+    "bo": (3, 40 * math.exp(-M.DECAY_RATE * 6 / 45) + 7.5 + 10 - 20, 100.0, 15.0, 0.0, 41.6, "Nurture"),
     "eli": (4, 0.0, 100.0, 82.12, 0.0, 41.4, "Nurture"),
     # A rounding tie: 25.65 goes down.
     "fay": (5, 0.0, 60.0, 53.25, 0.0, 25.6, "Nurture"),
