@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key on more left rows than this is hot. At most |left| / HOT_KEY_ROWS keys can be, which is
-# the bound on what is broadcast for them.
-HOT_KEY_ROWS = 1_000_000
-
-# What one task takes anyway: the size to which Spark's adaptive execution merges partitions.
-TASK_BYTES = 64 << 20
+# A key on more than this share of the left rows is hot. At most 1 / HOT_KEY_SHARE keys can be, however
+# many rows there are, which bounds what is broadcast for them.
+HOT_KEY_SHARE = 1e-4
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -29,18 +26,17 @@ def lookup_join(
     spread: str,
     match_nulls: bool = False,
     counted: str | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_share: float = HOT_KEY_SHARE,
     limit: int | None = None,
-    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
     """Add the other columns of ``table`` (unique on ``key``) to every row of ``left``.
 
-    A table within the session's broadcast limit is broadcast. A left side that fits one task is
-    joined plainly: no key can make a task of it too large. Beyond both, the few hot keys are counted
-    and only their table rows are broadcast, while the rows that carry them (and rows whose null key
-    matches nothing) are spread by the expression ``spread`` in the shuffled join that serves all
-    other keys. Each left row is read once and kept once. ``counted`` names the column of ``table`` that
-    holds the number of left rows per key, when it is known; it saves counting them.
+    A table within the session's broadcast limit is broadcast. Beyond it the hot keys, those on more than
+    ``hot_share`` of the left rows, are counted and only their table rows are broadcast, while the rows
+    that carry them (and rows whose null key matches nothing) are spread by the expression ``spread`` in
+    the shuffled join that serves all other keys. Each left row is kept once; the counts read its key once
+    more. ``counted`` names the column of ``table`` that holds the number of left rows per key, when it is
+    known; then only the total is counted.
     """
     values = ", ".join(c for c in table.columns if c != key)
     # A null key of the table would otherwise match null keys on the left.
@@ -48,21 +44,20 @@ def lookup_join(
     packed = usable.selectExpr(f"{key} AS _key", f"struct({values}) AS _value")
     limit = broadcast_limit(left) if limit is None else limit
 
-    small_table = estimated_bytes(packed) <= limit
-    if small_table or estimated_bytes(left) <= task_bytes:
+    if estimated_bytes(packed) <= limit:
         same = F.expr(f"{key} <=> _key" if match_nulls else f"{key} = _key")
-        right = F.broadcast(packed) if small_table else packed
-        return left.join(right, same, "left").select(*left.columns, "_value.*")
+        return left.join(F.broadcast(packed), same, "left").select(*left.columns, "_value.*")
 
+    least = F.lit(float(hot_share)) * left.selectExpr("count(1)").scalar()
     if counted:
-        hot = packed.filter(f"_value.{counted} > {hot_rows}").selectExpr(
+        hot = packed.filter(F.col(f"_value.{counted}") > least).selectExpr(
             "_key AS _hot_key", "_value AS _hot_value", "true AS _is_hot"
         )
     else:
         hot_keys = (
             left.groupBy(F.col(key).alias("_hot_key"))
             .agg(F.expr("count(1) AS _rows"))
-            .filter(f"_rows > {hot_rows}")
+            .filter(F.col("_rows") > least)
             .select("_hot_key")
         )
         hot_values = packed.join(

@@ -21,7 +21,7 @@ from callrank.operators.features import FEATURES
 from callrank.operators.lookups import lookup_join
 from callrank.operators.scorers import COMPONENTS, assign_tiers
 from callrank.sources.crm import present
-from callrank.sources.staging import stage
+from callrank.sources.staging import new_folder, stage
 
 DETAILS = (
     LEAD_DETAILS
@@ -106,8 +106,13 @@ def rank_and_tier(
     scores: Sequence[str] = COMPONENTS,
     folder: str | None = None,
 ) -> DataFrame:
-    """Tier, order and number the scored records; the result is the flat output table."""
-    tiered = assign_tiers(scored, tiers)
+    """Tier, order and number the scored records; the result is the flat output table.
+
+    They are written before they are ordered: a range sort reads its input twice, once for its boundaries,
+    and would score every record twice.
+    """
+    folder = folder or new_folder(scored.sparkSession)
+    tiered = stage(assign_tiers(scored, tiers), "scored", folder)
     columns = final_columns(tiered, scores)
     ranked = add_rank(tiered, folder=folder)
     return ranked.selectExpr("rank", *[f"{sql} AS {name}" for name, sql in columns.items()])

@@ -69,6 +69,19 @@ def ranked_list(
     return with_flags(kept if include_excluded else callable_pool(kept))
 
 
+def ranked_page(
+    ranked: DataFrame,
+    tiers: Sequence[str] = ("Hot", "Warm"),
+    entity_types: Sequence[str] = ("lead", "contact"),
+    include_excluded: bool = False,
+    max_rows: int = 100,
+) -> DataFrame:
+    """The first ``max_rows`` of the filtered list in rank order, with how many rows the filters match."""
+    listed = ranked_list(ranked, tiers, entity_types, include_excluded)
+    total = listed.selectExpr("count(1)").scalar()
+    return listed.orderBy("rank").limit(max_rows).withColumn("matching", total)
+
+
 def top_callable(ranked: DataFrame, k: int = 500) -> DataFrame:
     """The first ``k`` records to call: each task keeps its ``k`` best, one merges them."""
     return with_flags(callable_pool(ranked)).orderBy("rank").limit(k)
@@ -106,6 +119,14 @@ def cohorts(ranked: DataFrame, tests: Mapping[str, str] = COHORTS) -> DataFrame:
     )
 
 
+def cohort_leaders(ranked: DataFrame, tests: Mapping[str, str] = COHORTS) -> DataFrame:
+    """Size and best record of each named group, without a sort: one row per group and task is shuffled."""
+    best = f"min(struct(rank, {', '.join(ENTITY)}, readiness_score, tier))"
+    grouped = cohorts(ranked, tests).groupBy("cohort")
+    leaders = grouped.agg(F.expr("count(1) AS members"), F.expr(f"{best} AS _best"))
+    return leaders.select("cohort", "members", "_best.*")
+
+
 def record_cards(ranked: DataFrame) -> DataFrame:
     """Each record with the titles of its active exclusions and data-quality flags."""
     return add_columns(
@@ -131,20 +152,31 @@ def membership_split(members: DataFrame) -> DataFrame:
     )
 
 
+# Into how many parts a record's memberships are dealt, in turn, before they meet in one task.
+HISTORY_PARTS = (4096, 64)
+
+
 def engagement_history(
     members: DataFrame, latest: int = 20, records: DataFrame | None = None
 ) -> DataFrame:
     """Newest memberships of each record (or of ``records``), with the record's totals.
 
-    Spark cuts every group to ``latest`` rows before the shuffle as well, so a record with a third of all
-    memberships sends few of them.
+    Up to its group-limit threshold Spark cuts every group to ``latest`` rows before the shuffle as well, so
+    a record with a third of all memberships sends few of them. Beyond it the rows of a record are dealt
+    into parts, each cut to ``latest`` rows, before they meet: no task holds more of one record than that.
     """
     if records is not None:
         members = members.join(records.select(*ENTITY).distinct(), ENTITY, "left_semi")
-    newest = (
-        f"PARTITION BY {', '.join(ENTITY)} ORDER BY response_date DESC NULLS LAST, cm_id"
-    )
-    shown = members.selectExpr(
+    entity, order = ", ".join(ENTITY), "ORDER BY response_date DESC NULLS LAST, cm_id"
+    newest = f"PARTITION BY {entity} {order}"
+    kept = members
+    threshold = members.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    if int(latest) >= int(threshold):
+        for parts in HISTORY_PARTS:
+            part = f"pmod(xxhash64(cm_id, response_date), {parts}L)"
+            place = f"row_number() OVER (PARTITION BY {entity}, {part} {order}) AS _place"
+            kept = kept.selectExpr("*", place).filter(f"_place <= {int(latest)}").drop("_place")
+    shown = kept.selectExpr(
         *ENTITY,
         "cm_id",
         "campaign_type",

@@ -270,6 +270,14 @@ def ranked_list(spark, sf_dir):
     return rounded(everyone, *M.COMPONENTS)
 
 
+def ranked_page(spark, sf_dir):
+    return rounded(A.ranked_page(ranked(spark, sf_dir), max_rows=100), *M.COMPONENTS)
+
+
+def cohort_leaders(spark, sf_dir):
+    return A.cohort_leaders(ranked(spark, sf_dir))
+
+
 def population(spark, sf_dir):
     return A.population(ranked(spark, sf_dir))
 
@@ -431,8 +439,10 @@ ALL: dict[str, Query] = {
         ranked_records,
         top_callable,
         ranked_list,
+        ranked_page,
         population,
         cohorts,
+        cohort_leaders,
         record_lookup,
         record_labels,
         engagement_history,

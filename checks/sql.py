@@ -417,6 +417,12 @@ round(account_intent, 6) AS account_intent,
 round(account_employee_score, 6) AS account_employee_score,
 round(account_revenue_score, 6) AS account_revenue_score, has_account"""
 
+TAGGED = """, tagged AS (
+  SELECT 'active_vp' AS cohort, * FROM ranked WHERE job_level = 'VP' AND score_engagement > 60
+  UNION ALL SELECT 'ghost', * FROM ranked WHERE score_engagement < 10 AND score_profile > 60
+  UNION ALL SELECT 'bot', * FROM ranked WHERE automation_ratio > 0.7e0
+  UNION ALL SELECT 'excluded_competitor', * FROM ranked WHERE is_excluded AND exclude_competitor)"""
+
 LEAD_EXCLUSIONS = ["exclude_competitor", "exclude_opted_out", "exclude_bounced",
                    "exclude_non_prospect", "exclude_disqualified"]
 CONTACT_EXCLUSIONS = ["exclude_opted_out", "exclude_no_longer", "exclude_non_prospect",
@@ -523,19 +529,22 @@ ALL: dict[str, str] = {
         """SELECT count(*) AS total, count(*) FILTER (is_excluded) AS excluded,
         count(*) FILTER (NOT is_excluded) AS scorable FROM ranked"""
     ),
+    "ranked_page": on_scored(
+        f"""SELECT {LISTED}, (SELECT count(*) FROM ranked WHERE tier IN ('Hot', 'Warm')
+          AND NOT is_excluded) AS matching FROM ranked
+        WHERE tier IN ('Hot', 'Warm') AND NOT is_excluded ORDER BY rank LIMIT 100"""
+    ),
     "cohorts": on_scored(
-        """, tagged AS (
-          SELECT 'active_vp' AS cohort, * FROM ranked
-            WHERE job_level = 'VP' AND score_engagement > 60
-          UNION ALL SELECT 'ghost', * FROM ranked
-            WHERE score_engagement < 10 AND score_profile > 60
-          UNION ALL SELECT 'bot', * FROM ranked WHERE automation_ratio > 0.7e0
-          UNION ALL SELECT 'excluded_competitor', * FROM ranked
-            WHERE is_excluded AND exclude_competitor)
-        SELECT cohort, rank, entity_type, entity_id, readiness_score,
+        f"""{TAGGED} SELECT cohort, rank, entity_type, entity_id, readiness_score,
           round(score_engagement, 6) AS score_engagement, round(score_profile, 6) AS score_profile,
           tier FROM tagged"""
     ),
+    "cohort_leaders": on_scored(
+        f"""{TAGGED} SELECT cohort, members, rank, entity_type, entity_id, readiness_score, tier FROM (
+          SELECT *, count(*) OVER (PARTITION BY cohort) AS members,
+            row_number() OVER (PARTITION BY cohort ORDER BY rank) AS place FROM tagged)
+        WHERE place = 1"""
+    ),
     "record_lookup": on_scored(
         f"""SELECT entity_type, entity_id, rank,
         {titles([*LEAD_EXCLUSIONS, 'exclude_no_longer', 'exclude_dnc_account'])}

@@ -88,6 +88,39 @@ def test_history_cuts_groups_before_the_shuffle(tables):
     assert plan.toString().count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("latest", [20, 1500])
+def test_history_of_a_hot_record_is_cut_before_it_meets(spark, latest):
+    """One record has most memberships; dates tie. Beyond Spark's own cut its rows are cut in parts."""
+    members = spark.range(6000).selectExpr(
+        "'lead' AS entity_type", "IF(id % 6 < 4, 'hot', concat('e', id % 50)) AS entity_id", "id AS cm_id",
+        "'Email' AS campaign_type", "'c' AS campaign_name", "'Sent' AS member_status", "id % 2 = 0 AS is_responded",
+        "date_sub(DATE '2025-05-15', int(id % 97)) AS response_date",
+    )
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(r.entity_id, []).append(r)
+    expected = set()
+    for name, rows in groups.items():
+        rows.sort(key=lambda r: r.cm_id)
+        rows.sort(key=lambda r: r.response_date, reverse=True)
+        expected |= {(name, i + 1, r.cm_id, len(rows)) for i, r in enumerate(rows[:latest])}
+    history = A.engagement_history(members, latest)
+    found = {(r.entity_id, r.position, r.cm_id, r.total_memberships) for r in history.collect()}
+    assert found == expected
+    plan = history._jdf.queryExecution().executedPlan().toString()
+    assert ("WindowGroupLimit" in plan) == (latest < 1000)
+    assert all(f"{parts}" in plan for parts in A.HISTORY_PARTS) or latest < 1000
+
+
+def test_ranked_page_and_cohort_leaders(ranked):
+    page = A.ranked_page(ranked, ["Hot", "Warm", "Nurture"], max_rows=2).collect()
+    assert [(r.entity_id, r["rank"], r.matching) for r in page] == [("dee", 1, 4), ("ada", 2, 4)]
+    none = A.ranked_page(ranked, [], max_rows=2)
+    assert none.count() == 0 and "matching" in none.columns
+    leaders = A.cohort_leaders(ranked, {"all": "true", "low": "rank > 3", "none": "rank < 0"}).collect()
+    assert {(r.cohort, r.members, r.entity_id, r["rank"]) for r in leaders} == {("all", 6, "dee", 1), ("low", 3, "eli", 4)}
+
+
 def test_what_if(moved):
     rows = by_key(moved)
     # Weights are halved each: engagement and account only.

@@ -128,7 +128,7 @@ def expected(accounts, leads, contacts, members):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("options", [{}, {"limit": -1, "task_bytes": -1, "hot_rows": 3}])
+@pytest.mark.parametrize("options", [{}, {"limit": -1}, {"limit": -1, "hot_share": 0.05}])
 def test_pipeline(spark, seed, options):
     rows = make(seed)
     tables = CrmTables(*[

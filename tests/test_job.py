@@ -5,7 +5,7 @@ from dataclasses import replace
 import pytest
 
 from callrank.config import JobConfig, TierThresholds, Weights
-from callrank.operators.scorers import EngagementParams, Scorer, engagement_scorer
+from callrank.operators.scorers import EngagementParams, Scorer, engagement_scorer, pandas_scorer
 from callrank.plans.job import ReadinessJob
 from callrank.sources.crm import CrmTables, read_ranked, read_tables, require_columns
 from conftest import REFERENCE, by_key
@@ -55,6 +55,18 @@ def test_parquet_in_csv_out(spark, tables, config, tmp_path):
     assert rows["ada"].exclude_no_longer is None and rows["cy"].is_excluded is True
 
 
+def test_each_record_is_scored_once(spark, tables, config, tmp_path):
+    scored = spark.sparkContext.accumulator(0)
+
+    def depth(batch):
+        scored.add(len(batch))
+        return batch["real_engagements"] * 10.0
+
+    job = ReadinessJob(config).with_scorer(pandas_scorer("score_depth", ["real_engagements"], depth))
+    assert job.ranked(tables, str(tmp_path / "work")).count() == 6
+    assert scored.value == 6
+
+
 def test_csv_in_parquet_out(spark, csv_dir, config, tmp_path):
     job = ReadinessJob(replace(config, input_dir=csv_dir, output_dir=str(tmp_path)))
     out = job.run(spark)

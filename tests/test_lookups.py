@@ -7,8 +7,8 @@ import pytest
 from callrank.operators.clean import shared_email_records
 from callrank.operators.lookups import lookup_join
 
-# Neither side is small.
-SPLIT = {"limit": -1, "task_bytes": -1}
+# No table is small enough to broadcast.
+SPLIT = {"limit": -1}
 
 
 @pytest.fixture(scope="module")
@@ -33,13 +33,12 @@ def rows_of(df):
 
 
 @pytest.mark.parametrize("match_nulls", [False, True])
-@pytest.mark.parametrize("hot_rows", [10, 150, 10_000])
-def test_shuffled_path_equals_broadcast_path(left, table, match_nulls, hot_rows):
-    options = dict(match_nulls=match_nulls, hot_rows=hot_rows)
+@pytest.mark.parametrize("hot_share", [0.0, 0.007, 0.1, 1.0])
+def test_shuffled_path_equals_broadcast_path(left, table, match_nulls, hot_share):
+    options = dict(match_nulls=match_nulls, hot_share=hot_share)
     plain = rows_of(lookup_join(left, table, "key", "id", limit=1 << 40, **options))
     safe = rows_of(lookup_join(left, table, "key", "id", **SPLIT, **options))
     assert safe == plain
-    assert rows_of(lookup_join(left, table, "key", "id", limit=-1, **options)) == plain
     assert len(safe) == 1500
     found = {r.key: r.a for r in safe}
     assert found["hot"] == 1 and found["lost"] is None
@@ -49,7 +48,7 @@ def test_shuffled_path_equals_broadcast_path(left, table, match_nulls, hot_rows)
 @pytest.mark.parametrize("match_nulls", [False, True])
 def test_known_counts_need_no_counting(spark, left, match_nulls):
     table = left.groupBy("key").count().selectExpr("key", "count AS n", "upper(key) AS b")
-    options = dict(match_nulls=match_nulls, counted="n", hot_rows=100)
+    options = dict(match_nulls=match_nulls, counted="n", hot_share=0.07)
     plain = rows_of(lookup_join(left, table, "key", "id", **options))
     safe = lookup_join(left, table, "key", "id", **SPLIT, **options)
     assert rows_of(safe) == plain
@@ -57,7 +56,7 @@ def test_known_counts_need_no_counting(spark, left, match_nulls):
 
 
 def test_hot_rows_are_spread(spark, left, table):
-    joined = lookup_join(left, table, "key", "id", hot_rows=10, **SPLIT)
+    joined = lookup_join(left, table, "key", "id", **SPLIT)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in plan and "_rows" in plan
 
@@ -69,7 +68,7 @@ def test_shared_emails_take_both_paths_alike(spark):
     rows += [("contact", f"D{i}", f"u{i}@x") for i in range(0, 200, 2)]
     sightings = spark.createDataFrame(rows, "entity_type string, entity_id string, email string")
     plain = sorted(shared_email_records(sightings, limit=1 << 40).collect())
-    safe = sorted(shared_email_records(sightings, hot_rows=50, **SPLIT).collect())
+    safe = sorted(shared_email_records(sightings, hot_share=0.07, **SPLIT).collect())
     assert plain == safe
     assert len(plain) == 300 + 200 + 100 + 100
     linked = {r.entity_id: r._email_contact_id for r in plain}
@@ -78,6 +77,6 @@ def test_shared_emails_take_both_paths_alike(spark):
 
 def test_nothing_on_either_side(spark, left, table):
     none = spark.createDataFrame([], table.schema)
-    assert rows_of(lookup_join(left, none, "key", "id", hot_rows=10, **SPLIT))[0].a is None
+    assert rows_of(lookup_join(left, none, "key", "id", hot_share=0.007, **SPLIT))[0].a is None
     empty = spark.createDataFrame([], left.schema)
     assert lookup_join(empty, table, "key", "id", **SPLIT).count() == 0
