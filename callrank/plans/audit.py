@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callrank.functions.exprs import days_ago, percent, share, true_flag
+from callrank.functions.exprs import days_ago, percent, quoted, share, true_flag
 from callrank.operators.clean import (
     CONTACT_DQ,
     CONTACT_EXCLUSIONS,
@@ -202,32 +202,59 @@ def automation_audit(members: DataFrame) -> DataFrame:
 # ---- the findings report ----
 
 # Fixed texts of the report: id, name, severity, recommended handling, effect on the score,
-# effect on the sales team.
+# effect on the sales team, how sure the detection is, what is counted.
 FINDINGS = [
-    ("DQ-1", "Broken entity links", "High", "Resolve", "Distorts", "Misses prospects"),
-    ("DQ-2", "Email duplication", "Medium", "Flag", "Distorts", "Wastes calls"),
-    ("DQ-3", "Temporal field overwrites", "Low", "Flag", "Neutral", "None"),
-    ("DQ-4", "ETL-dominated timestamps", "Medium", "Flag", "Neutral", "None"),
-    ("DQ-5", "Score field asymmetry", "Medium", "Filter", "Distorts", "None"),
-    ("DQ-6", "Non-prospect contamination", "High", "Exclude", "Inflates", "Wastes calls"),
-    ("DQ-7", "Data completeness gaps", "Medium", "Flag", "Deflates", "Misses prospects"),
-    ("DQ-8", "Automation-inflated engagement", "High", "Filter", "Inflates", "Wastes calls"),
-    ("DQ-9", "Structural contact blocks", "Critical", "Exclude", "Neutral", "Legal risk"),
-    ("DQ-10", "Qualification cycling", "Low", "Flag", "Inflates", "Wastes calls"),
-]
+    ("DQ-1", "Broken entity links", "High", "Resolve", "Distorts", "Misses prospects",
+     "High", "converted leads without a contact"),
+    ("DQ-2", "Email duplication", "Medium", "Flag", "Distorts", "Wastes calls",
+     "High", "records that share an e-mail"),
+    ("DQ-3", "Temporal field overwrites", "Low", "Flag", "Neutral", "None",
+     "Medium", "leads with an MQL date in an undone status"),
+    ("DQ-4", "ETL-dominated timestamps", "Medium", "Flag", "Neutral", "None",
+     "Medium", "records created on a bulk-load date"),
+    ("DQ-5", "Score field asymmetry", "Medium", "Filter", "Distorts", "None",
+     "Medium", "median and upper quartile of imported scores"),
+    ("DQ-6", "Non-prospect contamination", "High", "Exclude", "Inflates", "Wastes calls",
+     "High", "non-prospects and competitors"),
+    ("DQ-7", "Data completeness gaps", "Medium", "Flag", "Deflates", "Misses prospects",
+     "High", "records without title, persona or phone"),
+    ("DQ-8", "Automation-inflated engagement", "High", "Filter", "Inflates", "Wastes calls",
+     "High", "automatic e-mail sends"),
+    ("DQ-9", "Structural contact blocks", "Critical", "Exclude", "Neutral", "Legal risk",
+     "High", "records that opted out, bounced or belong to a blocked account"),
+    ("DQ-10", "Qualification cycling", "Low", "Flag", "Inflates", "Wastes calls",
+     "Medium", "leads qualified again after disqualification"),
+]
+
+# Imported scores of leads and contacts have one scale if medians and upper quartiles differ by less than this factor.
+SCALE_RATIO = 1.5
 
 
 def score_field_quartiles(tables: CrmTables) -> DataFrame:
     """Evidence for DQ-5: the two imported score fields have different scales."""
-    return wide_summary(tables.leads, ["mkto_lead_score"], width=1.0).union(
-        wide_summary(tables.contacts, ["mkto_contact_score"], width=1.0)
+    return wide_summary(tables.leads, ["mkto_lead_score"]).union(
+        wide_summary(tables.contacts, ["mkto_contact_score"])
     )
 
 
+def imported_scales(records: DataFrame) -> DataFrame:
+    """One row: median and upper quartile of the imported scores of leads and of contacts, null where there are none."""
+    names = {"lead": "mkto_lead_score", "contact": "mkto_contact_score"}
+    found = {f"{kind}_{q}": "CAST(NULL AS double)" for kind in names for q in ("q50", "q75")}
+    columns = present(records, list(names.values()))
+    if not columns:
+        return records.selectExpr("count(1) AS n").selectExpr(*[f"{sql} AS {c}" for c, sql in found.items()])
+    for kind, name in names.items():
+        if name in columns:
+            found |= {f"{kind}_{q}": f"max(IF(metric = '{name}', {q}, NULL))" for q in ("q50", "q75")}
+    return wide_summary(records, columns).selectExpr(*[f"{sql} AS {c}" for c, sql in found.items()])
+
+
 def dq_findings(cleaned: CleaningResult) -> DataFrame:
-    """One row per finding: population, affected records, prevalence and how to handle it.
+    """One row per finding: population, affected records, prevalence, how to handle it and the evidence.
 
-    People and memberships are each read once; every finding is a counter of those two aggregates.
+    Every finding is a counter of one aggregate over people or memberships. DQ-5 also compares the imported scores of
+    leads and contacts: if their scales agree, none is affected, else all records that have one.
     """
     people = cleaned.people
 
@@ -241,7 +268,7 @@ def dq_findings(cleaned: CleaningResult) -> DataFrame:
     if "mql_date" in people.columns and "dq_date" in people.columns:
         cycling = "mql_date > dq_date"
     lead = "entity_type = 'lead'"
-    # DQ-5: an imported score cannot be compared with the other table's, so all that have one count.
+    incomplete = "dq_incomplete OR phone IS NULL" if "phone" in people.columns else "dq_incomplete"
     tests = {
         "DQ-1": (f"{lead} AND {flag('is_converted')}", "dq_broken_conversion"),
         "DQ-2": ("true", "dq_duplicate_email"),
@@ -249,7 +276,7 @@ def dq_findings(cleaned: CleaningResult) -> DataFrame:
         "DQ-4": ("true", "dq_etl_timestamp"),
         "DQ-5": ("true", f"{has('mkto_lead_score')} OR {has('mkto_contact_score')}"),
         "DQ-6": ("true", f"{flag('exclude_non_prospect')} OR {flag('exclude_competitor')}"),
-        "DQ-7": ("true", "dq_incomplete"),
+        "DQ-7": ("true", incomplete),
         "DQ-9": (
             "true",
             f"{flag('exclude_opted_out')} OR {flag('exclude_bounced')} "
@@ -263,6 +290,25 @@ def dq_findings(cleaned: CleaningResult) -> DataFrame:
             *[f"count_if({everyone}) AS `{key} all`" for key, (everyone, _) in counted.items()],
             *[f"count_if({hit}) AS `{key} hit`" for key, (_, hit) in counted.items()],
         )
+        proof = {key: f"concat({quoted(rule + ': ')}, `{key} hit`, ' of ', `{key} all`)" for key, *_, rule in FINDINGS}
+        if "DQ-5" in counted:
+            both = "struct(lead_q50, lead_q75, contact_q50, contact_q75)"
+            scales = imported_scales(cleaned.records).selectExpr(both)
+            totals = totals.withColumn("scales", scales.scalar())
+            apart = " OR ".join(
+                f"abs(scales.lead_{q} - scales.contact_{q}) > "
+                f"{SCALE_RATIO - 1}D * least(abs(scales.lead_{q}), abs(scales.contact_{q}))"
+                for q in ("q50", "q75")
+            )
+            totals = totals.withColumn("DQ-5 hit", F.expr(f"IF({true_flag(apart)}, `DQ-5 hit`, 0L)"))
+            shown = {
+                kind: ", ', ', ".join(
+                    f"coalesce(CAST(CAST(scales.{kind}_{q} AS decimal(18,2)) AS string), 'none')" for q in ("q50", "q75")
+                )
+                for kind in ("lead", "contact")
+            }
+            rule = next(rule for key, *_, rule in FINDINGS if key == "DQ-5")
+            proof["DQ-5"] = f"concat({quoted(rule + ': leads ')}, {shown['lead']}, '; contacts ', {shown['contact']})"
         return rows_from(
             totals,
             [
@@ -276,8 +322,10 @@ def dq_findings(cleaned: CleaningResult) -> DataFrame:
                     "handling": f"'{handling}'",
                     "scoring_impact": f"'{scoring}'",
                     "operational_impact": f"'{operational}'",
+                    "confidence": f"'{confidence}'",
+                    "evidence": proof[key],
                 }
-                for key, issue, severity, handling, scoring, operational in FINDINGS
+                for key, issue, severity, handling, scoring, operational, confidence, _ in FINDINGS
                 if key in counted
             ],
         )

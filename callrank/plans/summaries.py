@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+# Into how many buckets a range is cut at a time to find a quantile, and how often the bucket found is cut again.
+BUCKETS, LEVELS = 4096, 3
 
 
 def rows_from(df: DataFrame, rows: Sequence[Mapping[str, str]], keep: Sequence[str] = ()) -> DataFrame:
@@ -42,56 +44,70 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.selectExpr("metric", "n", "mean", "std", "min", *quartiles, "max")
 
 
-def exact_quantiles(values: DataFrame, probabilities: Mapping[str, float], width: float) -> DataFrame:
+def exact_quantiles(
+    values: DataFrame, probabilities: Mapping[str, float], buckets: int = BUCKETS
+) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``metric``, with no group in one task.
 
-    Equal values are counted first. Counts are then summed over buckets of ``width``, whose number is
-    (range / width) whatever the rows; running totals over the buckets tell which ones hold the wanted
-    positions, and only the distinct values in those are put in order.
+    Equal values are counted first. The range from least to greatest value is cut into ``buckets``, and running totals
+    over them tell which ones hold the wanted places. Those are cut again, from the least to the greatest value that
+    is in them, ``LEVELS`` times in all, so neither the width of the range nor values far off decide how many are
+    left. Only the distinct values in the last buckets are put in order. A metric has at most two buckets for each
+    quantile, which bounds the broadcasts.
     """
     counts = (
-        values.filter("value IS NOT NULL")
-        .groupBy("metric", "value")
-        .agg(F.expr("count(1) AS n"))
-        .selectExpr("*", f"floor(value / {float(width)!r}D) AS bucket")
+        values.filter("value IS NOT NULL").groupBy("metric", "value").agg(F.expr("count(1) AS n"))
     )
-    earlier = "PARTITION BY metric ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    buckets = (
-        counts.groupBy("metric", "bucket")
-        .agg(F.expr("sum(n) AS size"))
-        .selectExpr(
-            "*",
-            f"coalesce(sum(size) OVER ({earlier}), 0) AS first",
-            "sum(size) OVER (PARTITION BY metric) AS total",
-        )
-    )
-    wanted = [
-        {"name": f"'{name}'", "spot": f"{p!r}D * (total - 1)", "side": f"'{side}'"}
+    places = {
+        (name, side): f"{side}({p!r}D * (total - 1))"
         for name, p in probabilities.items()
         for side in ("floor", "ceil")
-    ]
-    targets = (
-        rows_from(buckets, wanted, keep=["metric", "bucket", "size", "first"])
-        .selectExpr("*", "IF(side = 'floor', floor(spot), ceil(spot)) AS place")
-        .filter("place >= first AND place < first + size")
-        .selectExpr("metric", "bucket", "first", "name", "side", "place", "spot % 1D AS part")
-    )
-    so_far = "PARTITION BY metric, bucket ORDER BY value"
-    placed = counts.join(
-        F.broadcast(targets.select("metric", "bucket").distinct()), ["metric", "bucket"]
-    ).selectExpr("*", f"sum(n) OVER ({so_far}) - n AS skip")
-    found = placed.join(F.broadcast(targets), ["metric", "bucket"]).filter(
-        "place >= first + skip AND place < first + skip + n"
+    }
+
+    def holds(first: str, size: str) -> str:
+        """Whether one of the wanted places is among ``size`` rows after the ``first`` ones."""
+        return " OR ".join(f"({p} >= {first} AND {p} < {first} + {size})" for p in places.values())
+
+    def inside(boxes: DataFrame) -> DataFrame:
+        boxes = boxes.withColumnRenamed("metric", "_metric")
+        within = F.expr("metric = _metric AND value >= low AND value <= high")
+        return counts.join(F.broadcast(boxes), within).drop("_metric")
+
+    boxes = counts.groupBy("metric").agg(
+        F.expr("0L AS box"),
+        F.expr("min(value) AS low"),
+        F.expr("max(value) AS high"),
+        F.expr("0L AS first"),
+        F.expr("sum(n) AS total"),
     )
+    part = f"IF(high > low, least(floor((value - low) / (high - low) * {buckets}), {buckets - 1}L), 0L)"
+    earlier = "PARTITION BY metric, box ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    for _ in range(LEVELS):
+        parts = inside(boxes).selectExpr("metric", "box", "value", "n", "first", "total", f"{part} AS part")
+        boxes = (
+            parts.groupBy("metric", "box", "part", "first", "total")
+            .agg(F.expr("sum(n) AS size"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
+            .selectExpr("*", f"first + coalesce(sum(size) OVER ({earlier}), 0L) AS start")
+            .filter(holds("start", "size"))
+            .selectExpr("metric", f"box * {buckets} + part AS box", "low", "high", "start AS first", "total")
+        )
+    so_far = "PARTITION BY metric, box ORDER BY value"
+    placed = inside(boxes).selectExpr("*", f"first + sum(n) OVER ({so_far}) - n AS skip")
+    wanted = [
+        {"name": f"'{name}'", "side": f"'{side}'", "place": place, "part": f"{probabilities[name]!r}D * (total - 1) % 1D"}
+        for (name, side), place in places.items()
+    ]
+    found = rows_from(placed.filter(holds("skip", "n")), wanted, keep=["metric", "value", "n", "skip"])
     low, high = "max(IF(side = 'floor', value, NULL))", "max(IF(side = 'ceil', value, NULL))"
-    return found.groupBy("metric", "name").agg(
-        F.expr(f"{low} + ({high} - {low}) * max(part) AS quantile")
+    return (
+        found.filter("place >= skip AND place < skip + n")
+        .groupBy("metric", "name")
+        .agg(F.expr(f"{low} + ({high} - {low}) * max(part) AS quantile"))
     )
 
 
-def wide_summary(df: DataFrame, columns: Sequence[str], width: float = 0.01) -> DataFrame:
-    """Exact summary of continuous columns; ``width`` should cut their range into under a million
-    buckets."""
+def wide_summary(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Exact summary of continuous columns of any range."""
     values = rows_from(
         df, [{"metric": f"'{c}'", "value": f"CAST({c} AS double)"} for c in columns]
     )
@@ -103,7 +119,7 @@ def wide_summary(df: DataFrame, columns: Sequence[str], width: float = 0.01) ->
         F.expr("max(value) AS max"),
     )
     quantiles = (
-        exact_quantiles(values, QUARTILES, width)
+        exact_quantiles(values, QUARTILES, buckets)
         .groupBy("metric")
         .agg(*[F.expr(f"max(IF(name = '{q}', quantile, NULL)) AS {q}") for q in QUARTILES])
     )

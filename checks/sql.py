@@ -359,13 +359,35 @@ def prevalence_part(table: str, kind: str, flags: list[str]) -> str:
     )
 
 
-def finding(key, issue, severity, handling, scoring, operational, table, population, hit) -> str:
+def finding(key, issue, severity, handling, scoring, operational, table, population, hit, confidence, rule) -> str:
     return f"""SELECT '{key}' AS finding, '{issue}' AS issue,
     count(*) FILTER ({population}) AS population, count(*) FILTER ({hit}) AS affected,
     round(CASE WHEN count(*) FILTER ({population}) = 0 THEN 0e0 ELSE
       count(*) FILTER ({hit}) * 100e0 / count(*) FILTER ({population}) END, 6) AS prevalence_pct,
     '{severity}' AS severity, '{handling}' AS handling, '{scoring}' AS scoring_impact,
-    '{operational}' AS operational_impact FROM {table}"""
+    '{operational}' AS operational_impact, '{confidence}' AS confidence,
+    '{rule}: ' || count(*) FILTER ({hit}) || ' of ' || count(*) FILTER ({population}) AS evidence FROM {table}"""
+
+
+def scale_finding(key, issue, severity, handling, scoring, operational, confidence, rule) -> str:
+    """Imported scores count if medians or upper quartiles of leads and contacts are more than half apart."""
+    quantiles = ", ".join(
+        f"quantile_cont(CAST(mkto_{kind}_score AS DOUBLE), 0.{p}) AS {kind}_{p}" for kind in ("lead", "contact") for p in (50, 75)
+    )
+    apart = " OR ".join(
+        f"abs(lead_{p} - contact_{p}) > 0.5e0 * least(abs(lead_{p}), abs(contact_{p}))" for p in (50, 75)
+    )
+    lead, contact = (
+        " || ', ' || ".join(f"coalesce(CAST(CAST({kind}_{p} AS DECIMAL(18,2)) AS VARCHAR), 'none')" for p in (50, 75))
+        for kind in ("lead", "contact")
+    )
+    return f"""SELECT '{key}' AS finding, '{issue}' AS issue, population, affected,
+    round(CASE WHEN population = 0 THEN 0e0 ELSE affected * 100e0 / population END, 6) AS prevalence_pct,
+    '{severity}' AS severity, '{handling}' AS handling, '{scoring}' AS scoring_impact,
+    '{operational}' AS operational_impact, '{confidence}' AS confidence,
+    '{rule}: leads ' || {lead} || '; contacts ' || {contact} AS evidence
+    FROM (SELECT *, CASE WHEN {apart} THEN given ELSE 0 END AS affected FROM (SELECT count(*) AS population,
+      count(*) FILTER (mkto_lead_score IS NOT NULL OR mkto_contact_score IS NOT NULL) AS given, {quantiles} FROM people))"""
 
 
 def etl_part(kind: str, table: str, days: str) -> str:
@@ -728,27 +750,37 @@ ALL: dict[str, str] = {
             finding(*f)
             for f in [
                 ("DQ-1", "Broken entity links", "High", "Resolve", "Distorts", "Misses prospects",
-                 "clean_leads", "is_converted", "dq_broken_conversion"),
+                 "clean_leads", "is_converted", "dq_broken_conversion",
+                 "High", "converted leads without a contact"),
                 ("DQ-2", "Email duplication", "Medium", "Flag", "Distorts", "Wastes calls",
-                 "people", "true", "dq_duplicate_email"),
+                 "people", "true", "dq_duplicate_email",
+                 "High", "records that share an e-mail"),
                 ("DQ-3", "Temporal field overwrites", "Low", "Flag", "Neutral", "None",
-                 "clean_leads", "true", "dq_mql_overwritten"),
+                 "clean_leads", "true", "dq_mql_overwritten",
+                 "Medium", "leads with an MQL date in an undone status"),
                 ("DQ-4", "ETL-dominated timestamps", "Medium", "Flag", "Neutral", "None",
-                 "people", "true", "dq_etl_timestamp"),
-                ("DQ-5", "Score field asymmetry", "Medium", "Filter", "Distorts", "None",
-                 "people", "true", "mkto_lead_score IS NOT NULL OR mkto_contact_score IS NOT NULL"),
+                 "people", "true", "dq_etl_timestamp",
+                 "Medium", "records created on a bulk-load date"),
                 ("DQ-6", "Non-prospect contamination", "High", "Exclude", "Inflates", "Wastes calls",
-                 "people", "true", "exclude_non_prospect OR exclude_competitor"),
+                 "people", "true", "exclude_non_prospect OR exclude_competitor",
+                 "High", "non-prospects and competitors"),
                 ("DQ-7", "Data completeness gaps", "Medium", "Flag", "Deflates", "Misses prospects",
-                 "people", "true", "dq_incomplete"),
+                 "people", "true", "dq_incomplete",
+                 "High", "records without title, persona or phone"),
                 ("DQ-8", "Automation-inflated engagement", "High", "Filter", "Inflates",
                  "Wastes calls", "campaign_members", "true",
-                 "campaign_type = 'Email' AND member_status = 'Sent'"),
+                 "campaign_type = 'Email' AND member_status = 'Sent'",
+                 "High", "automatic e-mail sends"),
                 ("DQ-9", "Structural contact blocks", "Critical", "Exclude", "Neutral", "Legal risk",
-                 "people", "true", "exclude_opted_out OR exclude_bounced OR exclude_dnc_account"),
+                 "people", "true", "exclude_opted_out OR exclude_bounced OR exclude_dnc_account",
+                 "High", "records that opted out, bounced or belong to a blocked account"),
                 ("DQ-10", "Qualification cycling", "Low", "Flag", "Inflates", "Wastes calls",
-                 "clean_leads", "true", "mql_date > dq_date"),
+                 "clean_leads", "true", "mql_date > dq_date",
+                 "Medium", "leads qualified again after disqualification"),
             ]
         )
+        + " UNION ALL "
+        + scale_finding("DQ-5", "Score field asymmetry", "Medium", "Filter", "Distorts", "None",
+                        "Medium", "median and upper quartile of imported scores")
     ),
 }

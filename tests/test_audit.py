@@ -76,7 +76,7 @@ def test_findings(cleaned):
         "DQ-2": (6, 2),
         "DQ-3": (3, 0),
         "DQ-4": (6, 0),
-        "DQ-5": (6, 5),
+        "DQ-5": (6, 0),  # the two imported scores have one scale here
         "DQ-6": (6, 0),
         "DQ-7": (6, 2),
         "DQ-8": (10, 3),
@@ -84,3 +84,27 @@ def test_findings(cleaned):
         "DQ-10": (3, 0),
     }
     assert rows["DQ-9"].severity == "Critical" and rows["DQ-1"].prevalence_pct == 100.0
+
+
+def test_imported_scores_of_one_scale_are_no_finding(cleaned):
+    def scored(lead, contact):
+        records = cleaned.records.selectExpr(
+            *[c for c in cleaned.records.columns if not c.startswith("mkto_")],
+            f"IF(entity_type = 'lead', {lead}, NULL) AS mkto_lead_score",
+            f"IF(entity_type = 'contact', {contact}, NULL) AS mkto_contact_score",
+        )
+        return by_key(Q.dq_findings(cleaned._replace(records=records)), "finding")["DQ-5"]
+
+    one = scored(40, 50)
+    assert (one.affected, one.prevalence_pct) == (0, 0.0)
+    assert one.evidence.endswith("leads 40.00, 40.00; contacts 50.00, 50.00")
+    two = scored(40, 90)
+    assert (two.affected, two.confidence) == (6, "Medium")
+    none = scored("CAST(NULL AS int)", 90)
+    assert none.affected == 0 and "leads none, none" in none.evidence
+
+
+def test_missing_phone_is_a_gap(cleaned):
+    records = cleaned.records.selectExpr("*", "CAST(NULL AS string) AS phone")
+    row = by_key(Q.dq_findings(cleaned._replace(records=records)), "finding")["DQ-7"]
+    assert row.affected == 6 and row.evidence == "records without title, persona or phone: 6 of 6"

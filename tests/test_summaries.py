@@ -43,10 +43,22 @@ def test_narrow_summary(frame):
     check(pdf, numeric_summary(df, COLUMNS), COLUMNS)
 
 
-@pytest.mark.parametrize("width", [0.01, 1.0, 50.0])
-def test_wide_summary_is_exact_whatever_the_buckets(frame, width):
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_wide_summary_is_exact_whatever_the_buckets(frame, buckets):
     pdf, df = frame
-    check(pdf, wide_summary(df, COLUMNS, width), COLUMNS)
+    check(pdf, wide_summary(df, COLUMNS, buckets), COLUMNS)
+
+
+def test_wide_summary_of_any_range(spark):
+    """All values within a thousandth, a range of 1e12, and both: one value far off from all others."""
+    rng = np.random.default_rng(5)
+    close, broad = 7 + rng.random(400) / 1000, rng.random(400) * 1e12
+    pdf = pd.DataFrame({"close": close, "broad": broad, "outlier": np.append(close[1:], 1e12)})
+    df = spark.createDataFrame(pdf)
+    found = {r.metric: r for r in wide_summary(df, list(pdf)).collect()}
+    for c in pdf:
+        expected = pdf[c].quantile([0.25, 0.5, 0.75]).tolist()
+        assert [found[c].q25, found[c].q50, found[c].q75] == pytest.approx(expected, rel=1e-12), c
 
 
 def test_single_value_and_pair(spark):
