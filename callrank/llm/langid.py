@@ -80,8 +80,8 @@ def likelihoods(spark, langs: list[str], logs: np.ndarray, text: Column) -> Colu
 
 
 def declared(html: Column) -> Column:
-    """The language that the markup names, two letters."""
-    return F.nullif(F.lower(F.regexp_extract(F.substring(html, 1, 4000), r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2})\b", 1)), F.lit(""))
+    """The language that the first ``<html lang=...>`` names, two letters, however much comes before it."""
+    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2})\b", 1)), F.lit(""))
 
 
 def suffix(url: Column) -> Column:

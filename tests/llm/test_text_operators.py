@@ -160,6 +160,12 @@ def test_languages_and_missing_evidence(spark):
     assert all(0.4 <= r.confidence <= 1 for r in got.values())
 
 
+def test_declared_language_after_a_long_opening(spark):
+    pages = ["<!-- licence -->" * 1000 + "<!doctype html>\n<HTML class=a Lang='De'>", " " * 9000 + "<html lang=fr>", "<html><p lang=en>", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string").select("id", langid.declared(F.col("html")).alias("lang"))
+    assert {r.id: r.lang for r in df.collect()} == {0: "de", 1: "fr", 2: None, 3: None}
+
+
 def test_language_query(spark, sf_dir):
     want = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op9_langid(spark, sf_dir).collect()
