@@ -8,8 +8,10 @@ the same automaton and cancel the hits inside them. The score is a logistic func
 weight in proportion to the text's length.
 
 Texts are scored whole. Null texts count as empty; an empty text gets the score of no hits. Labels that are null are not
-used; of several labels of a document the larger counts. Without any usable label the lexicon is empty and all scores
-are the prior, one half.
+used; of several labels of a document the larger counts. A table with more labels than can be learned from is drawn by
+class, so rare toxic rows are all there, and the intercept is corrected for it. Where labels tell nothing (none, one class
+only, or no entry found) the lexicon is empty and all scores are the base rate, or one under the threshold if that is
+unknown or higher, so nothing is called toxic without evidence.
 """
 
 from __future__ import annotations
@@ -30,14 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callrank.llm.common import strings
+from callrank.sources.staging import new_folder, stage
 
-#: Labelled rows to learn from (the smallest hashes of their ids), entries of the lexicon, exception phrases: at most.
+#: Labelled rows to learn from, entries of the lexicon, exception phrases: at most. If there are more labels, those of the
+#: smallest hashes of their ids are taken in each class: half of LABELLED, and what the other class leaves of its half.
 LABELLED, ENTRIES, PHRASES = 40_000, 5_000, 1_000
 #: An entry needs that many toxic documents and, two standard errors below its log odds, that much; a phrase that many
 #: harmless documents.
 FEWEST, LEAST_ODDS, FEWEST_HARMLESS = 5, 2.0, 3
 SHORTEST, LONGEST = 3, 9  # beginnings of words, in letters
 THRESHOLD = 0.3
+NO_EVIDENCE = -5.0  # log odds without evidence, at most; far under the threshold's
 
 #: Letters that look like Latin ones, and what stands for letters inside words. L and I fold together, as 1
 #: stands for either.
@@ -72,7 +77,7 @@ class Lexicon:
     words: tuple[tuple[str, float], ...] = ()
     beginnings: tuple[tuple[str, float], ...] = ()
     phrases: tuple[str, ...] = ()
-    logistic: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    logistic: tuple[float, float, float] = (NO_EVIDENCE, 0.0, 0.0)
 
 
 @lru_cache(4)
@@ -189,24 +194,42 @@ def _pruned(rows: list, toxic: int, other: int) -> list[tuple[str, float]]:
     return sorted(kept.items())
 
 
+def shares(other: int, toxic: int, most: int | None = None) -> tuple[int, int]:
+    """Labels to draw of the others and of the toxic ones: ``most`` in all, half of them or what the other class leaves."""
+    most = LABELLED if most is None else most
+    return min(other, max(most - most // 2, most - toxic)), min(toxic, max(most // 2, most - other))
+
+
+def base_rate(toxic: int, other: int, favour: float = 0.0) -> Lexicon:
+    """The empty lexicon, by which every text scores the base rate, NO_EVIDENCE at most."""
+    odds = math.log((toxic + 0.5) / (other + 0.5)) - favour if toxic or other else NO_EVIDENCE
+    return Lexicon(logistic=(min(odds, NO_EVIDENCE), 0.0, 0.0))
+
+
 def learn(documents: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """The lexicon from labelled documents whose label row is ``usable`` (a condition on ``labels``)."""
-    chosen = (
-        labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    )
+    known = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = stage(known, "labels", new_folder(documents.sparkSession))  # two numbers a label
+    there = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    drawn = shares(there.get(0, 0), there.get(1, 0))
+    parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(drawn[k]) for k in (0, 1)]
+    chosen = parts[0].unionAll(parts[1])
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # broadcast: LABELLED rows of two numbers, under 1 MB
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
-        return Lexicon()
+        return base_rate(toxic, other)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     terms = _counted(rows, _terms).where((F.col("toxic") >= FEWEST) & (odds - 2 * error >= LEAST_ODDS))
     entries = _pruned(terms.orderBy((-odds * F.col("toxic")), "term").limit(ENTRIES).collect(), toxic, other)
+    # how many times likelier a toxic label was drawn than another, as log odds
+    favour = math.log(drawn[1] * there[0] / (drawn[0] * there[1]))
+    if not entries:
+        return base_rate(toxic, other, favour)
     words = tuple((t[:-1], w) for t, w in entries if t.endswith(" "))
     lexicon = Lexicon(words, tuple((t, w) for t, w in entries if not t.endswith(" ")))
 
@@ -222,7 +245,8 @@ def learn(documents: DataFrame, labels: DataFrame, usable: Column, id_col: str =
     lexicon = Lexicon(lexicon.words, lexicon.beginnings, tuple(r.term for r in phrases))
     measured = rows.select("toxic", _measure(lexicon)("text").alias("x")).select("toxic", "x.*").toPandas()  # LABELLED rows
     measured = measured.sort_values(list(measured.columns))  # one order, so one sum
-    logistic = fit_logistic(measured[["weight", "density"]].to_numpy(), measured.toxic.to_numpy(float))
+    a, b, c = fit_logistic(measured[["weight", "density"]].to_numpy(), measured.toxic.to_numpy(float))
+    logistic = (a - favour, b, c)
     return Lexicon(lexicon.words, lexicon.beginnings, lexicon.phrases, tuple(round(v, 9) for v in logistic))
 
 

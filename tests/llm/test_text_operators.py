@@ -111,6 +111,26 @@ def test_exception_phrases_and_no_labels(spark, documents):
     assert toxicity.learn(df, labels.limit(0), F.lit(True)) == toxicity.Lexicon()
 
 
+def test_stage_keeps_clean_documents_without_usable_labels(spark, documents, tmp_path):
+    df, labels = labelled(spark, documents)
+    known = labels.where("toxic IS NOT NULL")
+    for k, some in enumerate([known.limit(0), known.where("toxic = 0"), known.where("toxic = 1"), known.where("doc_id < 3")]):
+        some.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, df, f"{tmp_path}/{k}").count() == df.count()
+
+
+def test_rare_toxic_labels_are_all_drawn_and_the_intercept_corrected(spark, documents, monkeypatch):
+    clean = [f"w{i % 50} w{i % 47} w{i % 43} text" for i in range(3000)]
+    df = documents([*clean, *[f"w{i} nastyword w{i + 1} text" for i in range(8)]])
+    labels = spark.createDataFrame([(i, int(i >= 3000)) for i in range(3008)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "LABELLED", 300)
+    assert toxicity.shares(3000, 8) == (292, 8) and toxicity.shares(8, 3000) == (8, 292) and toxicity.shares(999, 999) == (150, 150)
+    lexicon = toxicity.learn(df, labels, F.lit(True))
+    scores = {r.doc_id: r.s for r in df.select("doc_id", toxicity.score(lexicon, F.col("text")).alias("s")).collect()}
+    assert all((s >= toxicity.THRESHOLD) == (i >= 3000) for i, s in scores.items())
+    assert max(s for i, s in scores.items() if i < 3000) < 0.01  # 8 of 300 were toxic in the draw
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
