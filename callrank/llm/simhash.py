@@ -13,6 +13,7 @@ crowded by near copies is cut into a grid of blocks. A block returns links that
 
 Null texts count as empty; empty texts have fingerprint zero and link like any others. Rows with a null id get a
 component of null only if no other id is reachable. Repeated rows get the same answer, each on its own row.
+:func:`deduplicated` decides by row, so neither a missing nor a repeated id costs a text that has no near-duplicate.
 """
 
 from __future__ import annotations
@@ -190,41 +191,64 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.groupBy("tree", "shard", "h", "q").applyInPandas(match, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (long) and ``component_id`` (smallest id reachable, itself included) of every row."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id``, ``fp``) and, for each ``fp``, its ``component`` (a number) and the smallest ``id``.
+
+    ``by_text``: rows have the text's ``hash`` as well, and fingerprints that share an id aren't linked by it.
+    """
     folder = new_folder(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"))
+    of_text = [F.xxhash64(F.col(text_col)).alias("hash")] if by_text else []
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), *of_text)
     rows = stage(rows, "fingerprints", folder)
     first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", folder)
     # a fingerprint that only rows without an id have takes part under a number of its own, below every id
-    number = "coalesce(id, -9223372036854775807L + pmod(xxhash64(fp), 1000000000000000L))"
+    number = "fp" if by_text else "coalesce(id, -9223372036854775807L + pmod(xxhash64(fp), 1000000000000000L))"
     found = components(links(first.selectExpr("fp", f"{number} AS id")))
     of_print = first.withColumn("node", F.expr(number)).join(found, "node", "left")
+    return rows, of_print.select("fp", "id", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``fp`` (long) and ``component_id`` (smallest id reachable, itself included) of every row."""
+    rows, of_print = _grouped(df, id_col, text_col)
     if rows.where("doc_id IS NULL").limit(1).count():
         # the smallest real id of the component
-        named = of_print.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("id").alias("least"))
-        of_print = of_print.withColumn("component", F.coalesce("component", "node")).join(named, "component")
+        named = of_print.groupBy("component").agg(F.min("id").alias("least"))
+        of_print = of_print.join(named, "component")
     else:
-        of_print = of_print.withColumn("least", F.coalesce("component", "id"))
+        of_print = of_print.withColumn("least", F.col("component"))
     return rows.join(of_print.selectExpr("fp", "least AS component_id"), "fp")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group of near-duplicates, the one of the smallest id; columns as they are.
+    """``df`` with one row of each group of near-duplicates; columns as they are.
 
-    An id stands for its document: of rows that repeat a kept id one stays, and an id is kept if any of its rows is. Rows
-    without an id are kept, one of them, only if their group has no other. What joins the texts is the narrow list of
-    ids to drop, which Spark broadcasts while it is small.
+    The row that stays is the first by id (missing ones last), fingerprint and hash of the text; of exact copies of it
+    one stays. So rows without an id, and texts that share an id, each count by their own text. What joins the texts is
+    the narrow list of ids that are dropped or repeated, which Spark broadcasts while it is small. Only rows of repeated
+    ids, and without an id, are told apart by fingerprint and text.
     """
-    found = near_duplicates(df, id_col, text_col)
-    kept = F.expr("doc_id <=> component_id")
-    fate = found.groupBy("doc_id").agg(F.sum(kept.cast("long")).alias("n")).where("n <> 1")  # 0: dropped, 2 and more: repeated
-    fate = stage(fate, "fate", new_folder(df.sparkSession))
-    mark, count = unused(df, "fate_id__"), unused(df, "fate_n__")
-    known = df.join(
-        fate.select(F.col("doc_id").alias(mark), F.col("n").alias(count)), df[id_col].cast("long").eqNullSafe(F.col(mark)), "left"
-    )
-    single = known.where(F.col(count).isNull()).select(*df.columns)
-    if not fate.where("n > 1").limit(1).count():
-        return single
-    return single.unionByName(known.where(F.col(count) > 1).dropDuplicates([mark]).select(*df.columns))
+    rows, of_print = _grouped(df, id_col, text_col, by_text=True)
+    folder = new_folder(df.sparkSession)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "hash")
+    least = rows.groupBy("fp").agg(F.min(order).alias("least")).join(of_print, "fp")
+    kept = stage(least.groupBy("component").agg(F.min("least").alias("least")).select("least.*"), "kept", folder)
+    both = rows.selectExpr("doc_id", "1L AS n", "0L AS k").unionAll(kept.selectExpr("doc_id", "0L AS n", "1L AS k"))
+    fate = both.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    # dropped, or repeated; the others have one row, which stays
+    fate = stage(fate.where("k = 0 OR n > 1").selectExpr("doc_id", "k > 0 AS some"), "fate", folder)
+    mark, some, fp, text = (unused(df, f"fate_{c}__") for c in ("id", "some", "fp", "hash"))
+    as_long = df[id_col].cast("long")
+    known = df.where(as_long.isNotNull()).join(fate.select(F.col("doc_id").alias(mark), F.col("some").alias(some)), as_long == F.col(mark), "left")
+    single = known.where(F.col(some).isNull()).select(*df.columns)
+    unsure = []
+    if fate.where("some").limit(1).count():
+        unsure.append(known.where(F.col(some)).select(*df.columns, mark))
+    if kept.where("doc_id IS NULL").limit(1).count():
+        unsure.append(df.where(as_long.isNull()).select("*", F.lit(None).cast("long").alias(mark)))
+    for part in unsure:
+        part = part.withColumns({fp: fingerprint(F.col(text_col)), text: F.xxhash64(F.col(text_col))}).dropDuplicates([mark, fp, text])
+        chosen = kept.select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), F.col("hash").alias("k_hash"))
+        same = part[mark].eqNullSafe(chosen.k_id) & (part[fp] == chosen.k_fp) & (part[text] == chosen.k_hash)
+        single = single.unionByName(part.join(chosen, same, "left_semi").select(*df.columns))
+    return single

@@ -92,6 +92,20 @@ def test_repeated_rows_null_ids_and_extra_columns(spark, documents):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_missing_and_repeated_ids_count_by_their_text(spark):
+    rnd = random.Random(7)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    near = texts[0].upper()  # the same fingerprint
+    rows = [(0, texts[0]), (1, texts[1]), (None, near), (None, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (None, None)]
+    rows += [(5, texts[5]), (5, texts[6]), (5, texts[5]), (6, texts[6]), (7, texts[1]), (7, texts[7])]
+    want = [(0, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (None, None), (5, texts[5]), (5, texts[6]), (7, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in simhash.deduplicated(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    one = spark.createDataFrame([(3, texts[0]), (None, near)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicated(one).collect()] == [3]
+
+
 def test_query_against_all_pairs(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = {r.doc_id: r for r in queries.op4_simhash(spark, sf_dir).collect()}
