@@ -1,9 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Token counts are summed into cells of source, language and topic. Raking scales the cells, one margin after the other,
-until every margin has its target share. A cell's ratio of raked to given tokens, divided by the largest such ratio, is
-the probability with which its documents are sampled, so the sample's expected margins are the targets. A document's
-draw is a hash of its id: the same on every run and in SQL.
+until every margin has its target share: six sweeps, and more while a share is off by more than the tolerance and gets
+nearer. Targets that the cells can't meet together are warned of. A cell's weight is its ratio of raked to given tokens;
+over all tokens it is one on average. Divided by a level it is the expected number of copies of the cell's documents, so
+the sample's expected margins are the targets. The level is the largest weight, but two at most: documents of heavier
+cells are repeated, so a rare cell doesn't decide what is kept of the rest, half of all tokens at least. A document's
+draw is a hash of its id: the same on every run and in SQL (whose six sweeps and level hold for tables without such cells).
 
 The cells are as many as the data's combinations, so raking runs on Spark: each step sums one margin and joins it back.
 Null source, language or topic is a value of its own; null and empty texts have no tokens and are kept with their cell's
@@ -13,7 +16,9 @@ an output are replaced.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from callrank.sources.staging import new_folder, stage
 
 MARGINS, SWEEPS, POWER = ("source", "lang", "topic"), 6, 0.9
+#: Largest relative error of a share at which raking ends, sweeps at most, and level at most.
+TOLERANCE, MOST_SWEEPS, LEVEL = 0.005, 200, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,11 +71,15 @@ def rake(
     cells: DataFrame, margins: Sequence[str] = MARGINS, sweeps: int = SWEEPS,
     given: dict[str, dict[str, float]] | None = None, power: float = POWER,
 ) -> DataFrame:
-    """``cells`` (the margins and ``tokens``) with ``raked``: weights that sum to 1 and have the margins' targets."""
+    """``cells`` (the margins and ``tokens``) with ``raked``: weights that sum to 1 and have the margins' targets.
+
+    ``sweeps`` are made at least.
+    """
     folder = new_folder(cells.sparkSession)
     goals = {m: stage(targets(cells, m, (given or {}).get(m), power), f"goal_{m}", folder) for m in margins}
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
-    for sweep in range(sweeps):
+    last = float("inf")
+    for sweep in range(max(sweeps, MOST_SWEEPS)):
         for m in margins:
             sums = now.groupBy(F.col(m).alias("value")).agg(F.sum("raked").alias("now"))
             factor = sums.join(goals[m], sums.value.eqNullSafe(goals[m].value)).where("now > 0")
@@ -77,15 +88,36 @@ def rake(
                 *margins, "tokens", (F.col("raked") * F.coalesce("factor", F.lit(0.0))).alias("raked")
             )
             now = stage(now, f"sweep{sweep}_{m}", folder)
+        if sweep + 1 >= sweeps:
+            worst = largest_error(now, goals)
+            if worst <= TOLERANCE:
+                return now
+            if worst > 0.9999 * last:
+                break
+            last = worst
+    warnings.warn(f"raking ended with a share {last:.1%} off its target", stacklevel=2)
     return now
 
 
+def largest_error(raked: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """The largest relative error of a margin's share."""
+    errors = []
+    for m, goal in goals.items():
+        sums = raked.groupBy(F.col(m).alias("value")).agg(F.sum("raked").alias("now"))
+        met = goal.where("share > 0").join(sums, goal.value.eqNullSafe(sums.value), "left")
+        errors.append(met.select(F.abs(F.coalesce("now", F.lit(0.0)) / F.col("share") - 1).alias("error")))
+    return reduce(DataFrame.unionAll, errors).agg(F.max("error")).first()[0] or 0.0
+
+
 def mixed(
     df: DataFrame, given: dict[str, dict[str, float]] | None = None, power: float = POWER, sweeps: int = SWEEPS,
     id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None,
 ) -> DataFrame:
-    """``df`` with ``n_words``, ``topic``, ``weight`` (raked to given tokens), ``probability`` and ``sampled``."""
-    outputs = ("n_words", "topic", "weight", "probability", "sampled")
+    """``df`` with ``n_words``, ``topic``, ``weight`` (raked to given tokens), ``probability``, ``sampled`` and ``copies``.
+
+    ``copies`` is how often the sample holds the document, ``probability`` that it does at all.
+    """
+    outputs = ("n_words", "topic", "weight", "probability", "sampled", "copies")
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outputs]
     about = df.select(
         *kept, tokens(F.col(text_col)).alias("n_words"), (topic(F.col(text_col)) if topic_of is None else topic_of).alias("topic")
@@ -100,16 +132,20 @@ def mixed(
     )
     ratio = stage(ratio, "ratio", folder)
     most = ratio.agg(F.max("weight")).first()[0]
+    level = min(most, LEVEL) if most else None
     on = None
     for m in MARGINS:
         same = about[m].eqNullSafe(ratio[f"{m}__"])
         on = same if on is None else on & same
+    times = F.coalesce(F.col("weight") / F.lit(level), F.lit(1.0)) if level else F.lit(1.0)
+    copies = F.floor(times) + (draw(F.col(id_col)) < times - F.floor(times)).cast("long")
     # Spark broadcasts the cells while they are small and splits hot cells of a shuffled join otherwise
     return about.join(ratio, on, "left").select(
         *about.columns,
         F.coalesce("weight", F.lit(1.0)).alias("weight"),
-        (F.coalesce("weight", F.lit(most)) / F.lit(most)).alias("probability") if most else F.lit(1.0).alias("probability"),
-        (draw(F.col(id_col)) < (F.coalesce("weight", F.lit(most)) / F.lit(most) if most else F.lit(1.0))).alias("sampled"),
+        F.least(times, F.lit(1.0)).alias("probability"),
+        (copies > 0).alias("sampled"),
+        copies.alias("copies"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from callrank.llm import bpe, mixing, pii, simhash, toxicity  # noqa: E402
-from callrank.llm.common import ship_code  # noqa: E402
+from callrank.llm.common import ship_code, unused  # noqa: E402
 from callrank.llm.queries import RANKS  # noqa: E402
 from callrank.sources.staging import new_folder, stage  # noqa: E402
 
@@ -41,8 +41,10 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose source, language and topic shares are the flattened ones."""
-    return mixing.mixed(docs).where("sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """A sample whose source, language and topic shares are the flattened ones; documents of rare cells are repeated."""
+    mixed = mixing.mixed(docs).where("sampled")
+    again = unused(mixed, "again__")
+    return mixed.withColumn(again, F.explode(F.expr("array_repeat(0, int(copies))"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import corpus_pipeline
 from callrank.llm import edits, langid, mixing, pii, queries, sharding, simhash, sql, toxicity, wrappers
 from checks.compare import compare, duck
 
+SF = "/root/testdata/sf0.001"
+
 # ---- edit fingerprints ----
 
 
@@ -163,6 +165,28 @@ def test_mixing_edges(spark, documents):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_one_rare_document_does_not_thin_the_rest(spark):
+    rows = [(i, "word " * 100, "en", "web") for i in range(1000)] + [(5000, "five words of another language", "xx", "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "5 AS copies_left")
+    got = Counter(r.doc_id for r in corpus_pipeline.mix(spark, df, SF).collect())
+    rare = mixing.mixed(df).where("doc_id = 5000").first()
+    assert rare.weight > 2 and got.pop(5000) == rare.copies >= 1
+    assert set(got.values()) == {1} and len(got) > 450
+    flatter = mixing.mixed(df, power=0.5).where("doc_id = 5000").first()
+    assert abs(flatter.copies - flatter.weight / mixing.LEVEL) < 1 and flatter.copies > 10
+
+
+def test_raking_goes_on_until_the_margins_are_met(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOLERANCE", 0.022)  # 0.0237 after six sweeps
+    cells = [(f"s{i}", f"l{(i + k) % 5}", "prose", 1e6 / (i + 1) ** 2 * 0.3**k) for i in range(20) for k in (0, 1)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    goals = {m: mixing.targets(df, m) for m in mixing.MARGINS}
+    assert mixing.largest_error(mixing.rake(df), goals) <= mixing.TOLERANCE
+    given = {"source": {f"s{i}": 1.0 for i in range(20)}, "lang": {"l0": 1.0}}
+    with pytest.warns(UserWarning, match="off its target"):
+        assert mixing.rake(df, sweeps=1, given=given).count() == len(cells)
+
+
 # ---- languages ----
 
 
