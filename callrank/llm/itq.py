@@ -1,7 +1,8 @@
 """Embedding near-duplicates by iterative quantisation (ITQ) and multi-index Hamming tables.
 
-Rotations that make balanced binary codes are learned on a bounded sample: principal axes, then the alternation of codes
-and orthogonal Procrustes. Every vector is indexed: its code is cut into substrings, each the key of a hash table. The
+Rotations that make binary codes are learned on a bounded sample: principal axes, then the alternation of codes and
+orthogonal Procrustes. Vectors aren't centred: tables and cut follow from the angle at the threshold, and centring would
+widen it where vectors share a direction. There codes are less balanced and buckets fuller, which costs time, not pairs. Every vector is indexed: its code is cut into substrings, each the key of a hash table. The
 length of a substring follows the number of vectors, so tables' buckets stay small; the number of tables follows from the
 chance that a pair at the threshold agrees on a substring and the recall wanted, so found pairs are a known part of all.
 Within a bucket pairs are kept by the Hamming distance of whole codes, then reranked by the cosine of the original
@@ -32,12 +33,10 @@ COSINE, RECALL, SAMPLE, BUCKET_ROWS, BLOCK_ROWS, ITERATIONS, SEED = 0.9, 0.97, 2
 JOINT = 4  # buckets whose numbers differ in that many low bits are worked on together, as a group
 
 
-def rotations(sample: np.ndarray, bits: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The sample's mean and a projection to at least ``bits`` columns whose signs are the code."""
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    projected = centred @ axes
+def rotations(sample: np.ndarray, bits: int, seed: int = SEED) -> np.ndarray:
+    """A projection to at least ``bits`` columns whose signs are the code."""
+    _, axes = np.linalg.eigh(sample.T @ sample)
+    projected = sample @ axes
     rng, width = np.random.default_rng(seed), sample.shape[1]
     parts = []
     for _ in range(-(-bits // width)):
@@ -47,7 +46,7 @@ def rotations(sample: np.ndarray, bits: int, seed: int = SEED) -> tuple[np.ndarr
             u, _, v = np.linalg.svd(projected.T @ code)
             turn = u @ v
         parts.append(axes @ turn)
-    return mean, np.hstack(parts)
+    return np.hstack(parts)
 
 
 def plan(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -83,15 +82,14 @@ def candidates(classes: DataFrame, width: int, cosine: float = COSINE) -> DataFr
     rows = classes.orderBy(F.xxhash64("embedding"), "id").limit(SAMPLE).select("embedding").collect()  # bounded
     if not rows:
         return spark.createDataFrame([], "a long, b long")
-    mean, turn = rotations(_unit(_matrix([r.embedding for r in rows], width)), length * tables)
-    model = spark.sparkContext.broadcast((mean, turn[:, : max(length * tables, min(64, turn.shape[1]))]))
-    whole = model.value[1].shape[1]
+    turn = rotations(_unit(_matrix([r.embedding for r in rows], width)), length * tables)
+    model = spark.sparkContext.broadcast(turn[:, : max(length * tables, min(64, turn.shape[1]))])
+    whole = model.value.shape[1]
     limit = most_bits_apart(whole, cosine)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean, turn = model.value
         for batch in batches:
-            bits = ((_unit(_matrix(batch.embedding, width)) - mean) @ turn) > 0
+            bits = (_unit(_matrix(batch.embedding, width)) @ model.value) > 0
             packed = [row.tobytes() for row in np.packbits(bits, axis=1)]
             yield pd.DataFrame({"id": batch.id, "code": packed})
 

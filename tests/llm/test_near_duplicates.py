@@ -142,6 +142,20 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_on_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(8)
+    width, offset = 128, np.eye(128)[0] * 2.5
+    base = rng.standard_normal((300, width)) / np.sqrt(width)
+    # pairs just above the threshold
+    x = offset + np.vstack([base, base + 1.1 * rng.standard_normal((300, width)) / np.sqrt(width)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.linalg.norm(unit.mean(axis=0)) > 0.75
+    pairs = plain_links(x)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in itq.near_duplicates(df).collect()) / 2
+    assert len(pairs) > 100 and 0.95 * len(pairs) <= found <= len(pairs)
+
+
 def test_embedding_query_recall(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     pairs = plain_links(np.array([r.embedding for r in rows], float))
