@@ -3,7 +3,7 @@ import pytest
 from callrank.config import TierThresholds, Weights
 from callrank.plans import analytics as A
 from callrank.plans import personas as P
-from conftest import by_key
+from crm_world import by_key
 
 
 @pytest.fixture(scope="module")

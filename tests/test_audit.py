@@ -2,7 +2,7 @@ import pytest
 
 from callrank.operators.clean import clean
 from callrank.plans import audit as Q
-from conftest import REFERENCE, by_key
+from crm_world import REFERENCE, by_key
 
 
 @pytest.fixture(scope="module")

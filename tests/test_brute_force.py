@@ -14,7 +14,7 @@ from callrank.operators.features import engineer_features
 from callrank.operators.rank import rank_and_tier
 from callrank.operators.scorers import compute_scores
 from callrank.sources.crm import CrmTables
-from conftest import ACCOUNTS, CONTACTS, LEADS, MEMBERS, REFERENCE
+from crm_world import ACCOUNTS, CONTACTS, LEADS, MEMBERS, REFERENCE
 
 # Fixed values of the scoring model that the plain computation uses.
 LEVELS = {"C-Level": 1.0, "VP": 0.85, "Director": 0.7, "Manager": 0.5, "Individual Contributor": 0.3}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import types as T
 
 from callrank.functions import exprs as X
-from conftest import value
+from crm_world import value
 
 
 def test_clip_keeps_null_and_bounds(spark):

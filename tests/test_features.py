@@ -6,7 +6,7 @@ from callrank.config import JobConfig
 from callrank.operators import features as E
 from callrank.operators.clean import clean
 from callrank.sources.crm import CrmTables
-from conftest import REFERENCE, by_key
+from crm_world import REFERENCE, by_key
 
 MEMBERS = (
     "entity_id string, entity_type string, campaign_type string, member_status string, "

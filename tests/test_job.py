@@ -8,7 +8,7 @@ from callrank.config import JobConfig, TierThresholds, Weights
 from callrank.operators.scorers import EngagementParams, Scorer, engagement_scorer, pandas_scorer
 from callrank.plans.job import ReadinessJob
 from callrank.sources.crm import CrmTables, read_ranked, read_tables, require_columns
-from conftest import REFERENCE, by_key
+from crm_world import REFERENCE, by_key
 
 ORDER = ["dee", "ada", "bo", "eli", "fay", "cy"]
 

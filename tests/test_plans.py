@@ -10,7 +10,7 @@ from callrank.operators.features import engagement_features, engineer_features
 from callrank.operators.rank import total_order
 from callrank.operators.scorers import assign_tiers, compute_scores
 from checks import queries as registered
-from conftest import REFERENCE
+from crm_world import REFERENCE
 
 SF_DIR = "/root/testdata/sf0.001"
 

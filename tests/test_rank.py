@@ -9,7 +9,7 @@ from callrank.operators.clean import clean
 from callrank.operators.features import engineer_features
 from callrank.plans.analytics import top_scored
 from callrank.sources.staging import discard, new_folder, stage
-from conftest import by_key
+from crm_world import by_key
 
 KEYED = "readiness_score double, entity_type string, entity_id string"
 
