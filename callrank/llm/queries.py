@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callrank.llm import bpe, edits, itq, langid, mixing, pii, sharding, simhash, toxicity, wrappers
+from callrank.llm import bitslices, bpe, edits, itq, langid, merkle, mixing, periodic, pii, sharding, simhash, toxicity, wrappers
 from callrank.llm.common import ship_code, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -95,6 +95,41 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors whose id is divisible by 50 against all others: the five of the greatest inner product."""
+    vectors = documents(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bitslices.top(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof; a fifth of the documents are held against the manifest with lower-cased texts."""
+    docs = documents(spark, sf_dir)
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(drawn, F.translate("text", capitals, capitals.lower()))
+    now = [tampered if c == "text" else F.col(c) for c in fields]
+    leaves = docs.select(
+        "source", "doc_id", merkle.leaf(*map(F.col, fields)).alias("leaf"), F.when(drawn, merkle.leaf(*now)).alias("now")
+    )
+    return merkle.proven(leaves, group="source", key="doc_id").drop("source")
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words; by its id's check sum a tenth of the documents end in a periodic stretch."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    changed = F.when(number % 10 == 0, periodic.with_tail(F.col("text"), F.floor(number / 10))).otherwise(F.col("text"))
+    found = periodic.with_runs(documents(spark, sf_dir).select("doc_id", changed.alias("text")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        F.expr("-top.start").alias("start"), "top.length", F.expr("-top.period").alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 ALL: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_bpe": op2_bpe,
@@ -106,4 +141,7 @@ ALL: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
     "op10_sharding": op10_sharding,
+    "op11_bitslice": op11_bitslice,
+    "op12_merkle": op12_merkle,
+    "op13_periodic": op13_periodic,
 }
