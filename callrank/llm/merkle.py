@@ -114,6 +114,7 @@ def _by_tree(table: pa.Table) -> tuple[dict[int, list[dict]], pa.Table]:
     table = table.sort_by([("group_no", "ascending"), ("idx", "ascending")])
     trees: dict[int, list[dict]] = {}
     for row in table.select(["group_no", "idx", "size", "leaf", "now"]).to_pylist():
+        row["leaf"], row["now"] = row["leaf"].hex(), (row["now"] or row["leaf"]).hex()
         trees.setdefault(row["group_no"], []).append(row)
     return trees, table
 
@@ -158,9 +159,8 @@ def _expanded(groups: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for tree, leaves in trees.items():
             above = top.proof(tree)
             for row in leaves:
-                now = row["leaf"] if row["now"] is None else row["now"]
                 proof = paths[tree].proof(row["idx"]) + above
-                folded = top.fold(tree, paths[tree].fold(row["idx"], now))
+                folded = top.fold(tree, paths[tree].fold(row["idx"], row["now"]))
                 values = row["leaf"], paths[tree].root, hashlib.sha256(proof.encode()).hexdigest(), folded
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
@@ -197,7 +197,8 @@ def proven(leaves: DataFrame, group: str = "group", key: str = "key") -> DataFra
     """
     spark: SparkSession = leaves.sparkSession
     folder = new_folder(spark)
-    rows = leaves.select(F.col(f"`{group}`").alias("g"), F.col(f"`{key}`").alias("k"), "leaf", "now")
+    digests = [F.unhex(c).alias(c) for c in ("leaf", "now")]  # half as long as their text
+    rows = leaves.select(F.col(f"`{group}`").alias("g"), F.col(f"`{key}`").alias("k"), *digests)
     # equal rows are counted, then numbered: a range sort can't split what is equal
     counted = stage(rows.groupBy("g", "k", "leaf", "now").agg(F.count("*").alias("copies")), "counted", folder)
     copies = counted.selectExpr("g", "k", "leaf", "now", "explode(sequence(1L, copies)) AS copy")
