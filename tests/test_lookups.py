@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from callrank.operators.clean import shared_email_records
-from callrank.operators.lookups import lookup_join
+from callrank.operators.lookups import HOT_KEY_SHARE, lookup_join
 
 # No table is small enough to broadcast.
 SPLIT = {"limit": -1}
@@ -56,7 +57,7 @@ def test_known_counts_need_no_counting(spark, left, match_nulls):
 
 
 def test_hot_rows_are_spread(spark, left, table):
-    joined = lookup_join(left, table, "key", "id", **SPLIT)
+    joined = lookup_join(left, table, "key", "id", hot_share=HOT_KEY_SHARE, **SPLIT)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in plan and "_rows" in plan
 
@@ -79,4 +80,53 @@ def test_nothing_on_either_side(spark, left, table):
     none = spark.createDataFrame([], table.schema)
     assert rows_of(lookup_join(left, none, "key", "id", hot_share=0.007, **SPLIT))[0].a is None
     empty = spark.createDataFrame([], left.schema)
+    assert lookup_join(empty, table, "key", "id", hot_share=0.007, **SPLIT).count() == 0
     assert lookup_join(empty, table, "key", "id", **SPLIT).count() == 0
+
+
+@pytest.mark.parametrize("match_nulls", [False, True])
+def test_adaptive_path_equals_the_others(spark, left, table, match_nulls):
+    plain = rows_of(lookup_join(left, table, "key", "id", match_nulls, limit=1 << 40))
+    grouped = table.groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    joined = lookup_join(left, grouped, "key", "id", match_nulls, **SPLIT)
+    assert rows_of(joined) == plain
+    assert "_hot_key" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_keys_are_found_where_spark_does_not_split_them(spark, left, table):
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+        spark.conf.set(name, "false")
+        try:
+            joined = lookup_join(left, table, "key", "id", **SPLIT)
+            assert "_hot_key" in joined._jdf.queryExecution().optimizedPlan().toString()
+            assert len(rows_of(joined)) == 1500
+        finally:
+            spark.conf.unset(name)
+
+
+def test_adaptive_execution_splits_a_hot_key(spark, table):
+    """Partitions of more than 64 KB count as large here; the hot key's is shared among tasks."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    rows = spark.range(90_000).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN concat('k', id % 5000) END AS key", "uuid() AS pad")
+    for name, setting in settings.items():
+        spark.conf.set(name, setting)
+    try:
+        joined = lookup_join(rows, table.groupBy("key").agg(F.max("a").alias("a")), "key", "id", limit=-1)
+        tasks = joined.selectExpr("key", "a", "pad", "spark_partition_id() AS task").collect()
+        assert len(tasks) == 90_000 and {r.a for r in tasks if r.key == "hot"} == {1}
+        assert len({r.task for r in tasks if r.key == "hot"}) > 3 and len({r.task for r in tasks if r.key is None}) > 3
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_unused_lookups_are_dropped(spark, left, table):
+    grouped = table.groupBy("key").agg(F.max("a").alias("a"))
+    plan = lookup_join(left, grouped, "key", "id", **SPLIT).select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
