@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callrank.functions.exprs import days_ago, percent, quoted, share, true_flag
 from callrank.operators.clean import (
@@ -230,20 +231,29 @@ FINDINGS = [
 SCALE_RATIO = 1.5
 
 
+def _quartiles(df: DataFrame, column: str) -> DataFrame:
+    """Summary of an imported score. Whole numbers are points of a scale: one pass, a counter for each that occurs."""
+    whole = isinstance(df.schema[column].dataType, T.IntegralType)
+    return (numeric_summary if whole else wide_summary)(df, [column])
+
+
 def score_field_quartiles(tables: CrmTables) -> DataFrame:
     """Evidence for DQ-5: the two imported score fields have different scales."""
-    return wide_summary(tables.leads, ["mkto_lead_score"]).union(
-        wide_summary(tables.contacts, ["mkto_contact_score"])
-    )
+    return _quartiles(tables.leads, "mkto_lead_score").union(_quartiles(tables.contacts, "mkto_contact_score"))
 
 
 def imported_scales(records: DataFrame) -> DataFrame:
     """One row: median and upper quartile of the imported scores of leads and of contacts, null where there are none."""
     names = {"lead": "mkto_lead_score", "contact": "mkto_contact_score"}
-    found = {f"{kind}_{q}": "CAST(NULL AS double)" for kind in names for q in ("q50", "q75")}
     columns = present(records, list(names.values()))
-    if not columns:
-        return records.selectExpr("count(1) AS n").selectExpr(*[f"{sql} AS {c}" for c, sql in found.items()])
+    if all(isinstance(records.schema[c].dataType, T.IntegralType) for c in columns):
+        each = [
+            f"percentile({name}, {p}D) AS {kind}_{q}" if name in columns else f"CAST(NULL AS double) AS {kind}_{q}"
+            for kind, name in names.items()
+            for q, p in (("q50", 0.5), ("q75", 0.75))
+        ]
+        return records.selectExpr("count(1) AS n", *each).drop("n")
+    found = {f"{kind}_{q}": "CAST(NULL AS double)" for kind in names for q in ("q50", "q75")}
     for kind, name in names.items():
         if name in columns:
             found |= {f"{kind}_{q}": f"max(IF(metric = '{name}', {q}, NULL))" for q in ("q50", "q75")}

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -46,7 +48,31 @@ def test_narrow_summary(frame):
 @pytest.mark.parametrize("buckets", [1, 3, 4096])
 def test_wide_summary_is_exact_whatever_the_buckets(frame, buckets):
     pdf, df = frame
-    check(pdf, wide_summary(df, COLUMNS, buckets), COLUMNS)
+    check(pdf, wide_summary(df, COLUMNS, buckets=buckets), COLUMNS)
+
+
+def test_wide_summary_of_many_rows_and_coarse_sketches(spark):
+    """The smallest sketch errs by a tenth: brackets are wide and overlap, values repeat and are missing."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({
+        "even": rng.random(40_000), "steep": rng.lognormal(0, 4, 40_000), "few": rng.integers(0, 5, 40_000).astype(float),
+        "hot": np.where(rng.random(40_000) < 0.5, 1.0, rng.random(40_000)), "gaps": np.where(rng.random(40_000) < 0.3, np.nan, rng.random(40_000)),
+    })
+    df = spark.createDataFrame(pdf).repartition(7)
+    for k in (8, 64, 2048):
+        check(pdf, wide_summary(df, list(pdf), k), list(pdf))
+
+
+def test_wide_summary_reads_its_input_twice(spark, tmp_path):
+    spark.range(1000).selectExpr("rand(1) AS x", "rand(2) AS y").write.parquet(str(tmp_path / "t"))
+    summary = wide_summary(spark.read.parquet(str(tmp_path / "t")), ["x", "y"])
+    summary.collect()
+    plan = summary._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    run = [part.split("== Initial Plan ==")[0] for part in plan.split("== Final Plan ==")[1:]]
+    # the profile and the counts, each a subquery that ran once
+    assert sorted(len(re.findall(r"\+- Scan parquet", part)) for part in run) == [0, 1, 1]
 
 
 def test_wide_summary_of_any_range(spark):
