@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from datetime import date
 
-from callrank.sources.schemas import COMPETITORS
+from callrank.sources.schemas import COMPETITORS, CONTACTS, LEADS
 
 WEIGHT_TOLERANCE = 0.001
 
@@ -110,6 +110,12 @@ class JobConfig:
     legacy_dq_count: bool = False
     # Also call a conversion broken when its contact id exists in no contact.
     check_dangling: bool = False
+    # CSV: keep quoted line breaks inside their record, which makes each file one task; what to do with values
+    # that don't fit their column ("null" or "fail").
+    multi_line: bool = True
+    on_malformed: str = "null"
+    # Columns of leads or contacts beside the known ones, with their types, for added scorers.
+    own_columns: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self):
         self.weights.validate()
@@ -119,6 +125,11 @@ class JobConfig:
             raise ValueError(f"tier thresholds must not rise from hot to nurture: {self.tiers}")
         if self.missing_intent not in ("null", "zero"):
             raise ValueError("missing_intent is 'null' or 'zero'")
+        if self.on_malformed not in ("null", "fail"):
+            raise ValueError("on_malformed is 'null' or 'fail'")
+        known = {name for table in (LEADS, CONTACTS) for name in table.names}
+        if taken := sorted(known & {name for name, _ in self.own_columns}):
+            raise ValueError(f"own columns that the tables have anyway: {taken}")
 
     @classmethod
     def from_env(cls, env: Mapping[str, str], **overrides) -> JobConfig:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from callrank.config import JobConfig
@@ -198,12 +198,16 @@ def find_duplicate_emails(leads: DataFrame, contacts: DataFrame) -> DataFrame:
     return email_groups(email_sightings(leads, contacts)).filter("n_records > 1")
 
 
-def shared_email_records(sightings: DataFrame, **join_options) -> DataFrame:
+def shared_email_records(
+    sightings: DataFrame, watch: Observation | None = None, **join_options
+) -> DataFrame:
     """The records whose e-mail another record has, one row each.
 
-    Only three narrow columns are shuffled by e-mail; the wide records never are.
+    Only three narrow columns are shuffled by e-mail; the wide records never are. ``watch`` counts the shared e-mails.
     """
     shared = email_groups(sightings).filter("n_records > 1").selectExpr("*", "true AS _shared")
+    if watch is not None:
+        shared = shared.observe(watch, F.expr("count(1) AS duplicate_emails"))
     found = lookup_join(
         sightings,
         shared,
@@ -354,7 +358,9 @@ class CleaningResult(NamedTuple):
         return totals.withColumn("duplicate_emails", shared.scalar())
 
 
-def clean(tables: CrmTables, config: JobConfig = JobConfig(), **join_options) -> CleaningResult:
+def clean(
+    tables: CrmTables, config: JobConfig = JobConfig(), watch: Observation | None = None, **join_options
+) -> CleaningResult:
     """Flag every lead and contact and repair what an e-mail can link.
 
     The records meet the shared-e-mail marks by (entity_type, entity_id), the key by which the
@@ -388,7 +394,7 @@ def clean(tables: CrmTables, config: JobConfig = JobConfig(), **join_options) ->
     return CleaningResult(
         tables.accounts,
         add_columns(records, {"other_issues": issues}),
-        shared_email_records(sightings, **join_options),
+        shared_email_records(sightings, watch, **join_options),
         tables.campaign_members,
         sightings,
     )

@@ -190,17 +190,19 @@ def engineer_features(cleaned: CleaningResult, config: JobConfig = JobConfig())
 
     Features of the row itself come before the join, and the details cross the join, the sort and the
     intermediate table as one column. With each of them a column of its own, the code Spark generates for
-    that stage outgrows what the JVM compiles.
+    that stage outgrows what the JVM compiles. Columns of the input that added scorers read stay beside the features.
     """
     engagement = engagement_features(cleaned.campaign_members, config.reference_date)
     records = cleaned.records
     missing = {c: sql for c, sql in STAND_INS.items() if c not in records.columns}
+    missing |= {c: f"CAST(NULL AS {kind})" for c, kind in config.own_columns if c not in records.columns}
     own = profile_columns() | account_columns(config.missing_intent)
     packed = add_columns(records, missing) if missing else records
     packed = packed.selectExpr(
         *ENTITY,
         *[f"{sql} AS {name}" for name, sql in own.items()],
         *OPEN_DETAILS,
+        *[c for c, _ in config.own_columns],
         f"struct({', '.join(present(records, PACKED_DETAILS))}) AS record",
     )
     return with_engagement(mark_shared(packed, cleaned.shared), engagement)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callrank.sources import schemas as S
+from callrank.sources.staging import stage
 
 RANKED_NAME = "scored_records"
+REPORT_NAME = "run_report"
 
 
 class CrmTables(NamedTuple):
@@ -78,8 +81,8 @@ def malformed(raw: DataFrame, typed: DataFrame) -> list[str]:
     ]
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Give the known columns their types by name; columns may be missing or in any order.
+def conform(df: DataFrame, schema: T.StructType, own: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Give the known columns, and those of ``own``, their types by name; columns may be missing or in any order.
 
     A response that comes with its time of day keeps it: the days since are counted from it.
     """
@@ -90,53 +93,97 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             T.StructField(f.name, known[f.name]) if f.name == "response_date" else f for f in schema
         ]
         schema = T.StructType(fields)
+    wanted = [*schema, *[T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in own]]
     return df.select(
         [
             _typed(F.col(f.name), known[f.name], f.dataType).alias(f.name)
-            for f in schema
+            for f in wanted
             if f.name in known
         ]
     )
 
 
+def _load(
+    spark: SparkSession, input_dir: str, file_format: str, multi_line: bool, own: Sequence[tuple[str, str]]
+) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Each table as it is in its file and with the columns and types it should have."""
+    if file_format not in ("csv", "parquet"):
+        raise ValueError("input format is 'csv' or 'parquet'")
+    if file_format == "csv" and multi_line:
+        warnings.warn("multi_line: each CSV file is read by one task; turn it off if no record has a line break", stacklevel=3)
+    loaded = {}
+    for name in CrmTables._fields:
+        path = f"{input_dir.rstrip('/')}/{name}.{file_format}"
+        reader = spark.read
+        if file_format == "csv":
+            reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
+        try:
+            raw = reader.format(file_format).load(path)
+        except AnalysisException as error:
+            raise ValueError(f"input not found: {path}") from error
+        if file_format == "csv":
+            raw = _without_missing(raw)
+        typed = conform(raw, SCHEMAS[name], own if name in ("leads", "contacts") else ())
+        loaded[name] = raw, require_columns(typed, S.REQUIRED[name], name)
+    return loaded
+
+
+def _refuse(name: str, counts: Mapping[str, int]) -> None:
+    bad = {c: n for c, n in counts.items() if n}
+    if bad:
+        raise ValueError(f"{name}: values that don't fit their column: {bad}")
+
+
 def read_tables(
     spark: SparkSession,
     input_dir: str,
     file_format: str = "csv",
     multi_line: bool = True,
     on_malformed: str = "null",
+    own: Sequence[tuple[str, str]] = (),
 ) -> CrmTables:
-    """Load ``<input_dir>/<table>.<format>`` for the four tables.
+    """Load ``<input_dir>/<table>.<format>`` for the four tables, lazily.
 
     Column types come from our schemas, never from a look at the data. In CSV the words of ``MISSING`` are null, and
     ``multi_line`` keeps line breaks in quotes inside their record; without it, which quoted line breaks forbid, a file
     is split over tasks. A value that doesn't fit its column's type is null, or an error that names the column and the
-    number of values if ``on_malformed`` is ``"fail"``.
+    number of values if ``on_malformed`` is ``"fail"``. ``own`` names further columns of leads and contacts with their types.
     """
     if on_malformed not in ("null", "fail"):
         raise ValueError("on_malformed is 'null' or 'fail'")
-    if file_format not in ("csv", "parquet"):
-        raise ValueError("input format is 'csv' or 'parquet'")
+    loaded = _load(spark, input_dir, file_format, multi_line, own)
+    if on_malformed == "fail":
+        for name, (raw, typed) in loaded.items():
+            if counts := malformed(raw, typed):
+                _refuse(name, raw.selectExpr(*counts).first().asDict())
+    return CrmTables(*[typed for _, typed in loaded.values()])
 
-    def load(name: str) -> DataFrame:
-        path = f"{input_dir.rstrip('/')}/{name}.{file_format}"
-        reader = spark.read
-        if file_format == "csv":
-            reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
-        try:
-            df = reader.format(file_format).load(path)
-        except AnalysisException as error:
-            raise ValueError(f"input not found: {path}") from error
-        if file_format == "csv":
-            df = _without_missing(df)
-        typed = require_columns(conform(df, SCHEMAS[name]), S.REQUIRED[name], name)
-        if on_malformed == "fail" and (counts := malformed(df, typed)):
-            bad = {c: n for c, n in df.selectExpr(*counts).first().asDict().items() if n}
-            if bad:
-                raise ValueError(f"{name}: values that don't fit their column: {bad}")
-        return typed
 
-    return CrmTables(*[load(name) for name in CrmTables._fields])
+def ingest(
+    spark: SparkSession,
+    input_dir: str,
+    folder: str,
+    file_format: str = "csv",
+    multi_line: bool = True,
+    on_malformed: str = "null",
+    own: Sequence[tuple[str, str]] = (),
+) -> tuple[CrmTables, dict[str, dict[str, int]]]:
+    """The tables of ``read_tables``, written once as typed parquet in ``folder``, and per table and column how many values didn't fit.
+
+    Text is parsed in one pass, which counts those values too; all that follows reads columns of known size.
+    """
+    tables, misfits = [], {}
+    for name, (raw, typed) in _load(spark, input_dir, file_format, multi_line, own).items():
+        counts = malformed(raw, typed)
+        watch = Observation(f"ingest_{name}")
+        # the counts are made on the rows as they are parsed, the types given after that
+        watched = raw.observe(watch, *[F.expr(c) for c in counts]) if counts else raw
+        schema = SCHEMAS[name]
+        tables.append(stage(conform(watched, schema, own if name in ("leads", "contacts") else ()), name, folder))
+        misfits[name] = {c: n for c, n in watch.get.items() if n} if counts else {}
+        if on_malformed == "fail":
+            _refuse(name, misfits[name])
+    return CrmTables(*tables), misfits
 
 
 def write_ranked(df: DataFrame, output_dir: str, file_format: str = "parquet") -> str:
@@ -151,6 +198,17 @@ def write_ranked(df: DataFrame, output_dir: str, file_format: str = "parquet") -
     return path
 
 
+def write_report(spark: SparkSession, report: Mapping, output_dir: str) -> str:
+    """Write the report of a run, one JSON row, beside the ranked table."""
+    path = f"{output_dir.rstrip('/')}/{REPORT_NAME}.json"
+    misfits = report.get("malformed", {})
+    values = [F.lit(v).alias(name) for name, v in report.items() if name != "malformed"]
+    pairs = [F.lit(x) for pair in misfits.items() for x in pair]
+    found = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")
+    spark.range(1).select(*values, found.alias("malformed")).write.mode("overwrite").json(path)
+    return path
+
+
 def read_ranked(
     spark: SparkSession, output_dir: str, file_format: str = "parquet", schema: T.StructType = None
 ) -> DataFrame:

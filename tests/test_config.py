@@ -1,9 +1,10 @@
+from dataclasses import fields, replace
 from datetime import date
 
 import pytest
 
 from callrank.__main__ import parse
-from callrank.config import JobConfig, Weights
+from callrank.config import EngagementParams, JobConfig, Weights
 
 
 def test_defaults():
@@ -67,3 +68,31 @@ def test_command_line():
 def test_unknown_option_value():
     with pytest.raises(ValueError):
         JobConfig(missing_intent="maybe")
+
+
+@pytest.mark.parametrize(
+    ("options", "expected"),
+    [
+        (["--lead-baseline", "12"], {"lead_baseline": 12.0}),
+        (["--legacy-dq-count"], {"legacy_dq_count": True}),
+        (["--check-dangling"], {"check_dangling": True}),
+        (["--single-line"], {"multi_line": False}),
+        (["--on-malformed", "fail"], {"on_malformed": "fail"}),
+        (["--own-column", "tech:double", "--own-column", "note:string"], {"own_columns": (("tech", "double"), ("note", "string"))}),
+        (["--missing-intent", "zero"], {"missing_intent": "zero"}),
+        (["--lead-etl-threshold", "3", "--contact-etl-threshold", "4"], {"lead_etl_threshold": 3, "contact_etl_threshold": 4}),
+        (["--input-format", "parquet", "--output-format", "csv"], {"input_format": "parquet", "output_format": "csv"}),
+    ],
+)
+def test_options(options, expected):
+    given = ["score", "--data-dir", "in", "--output-dir", "out"]
+    plain, changed = parse(given, env={}), parse(given + options, env={})
+    assert {name: value for name, value in vars(changed).items() if value != vars(plain)[name]} == expected
+
+
+@pytest.mark.parametrize("name", [f.name for f in fields(EngagementParams) if f.name != "half_life_days"])
+def test_every_engagement_parameter_is_an_option(name):
+    config = parse(["score", "--data-dir", "in", "--output-dir", "out", f"--{name.replace('_', '-')}", "0.125"], env={})
+    assert config.engagement == replace(EngagementParams(), **{name: 0.125})
+    with pytest.raises(SystemExit):
+        parse(["score", "--data-dir", "in", "--output-dir", "out", "--own-column", "tech"], env={})

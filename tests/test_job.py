@@ -1,5 +1,6 @@
 import csv
 import os
+import warnings
 from dataclasses import replace
 
 import pytest
@@ -7,7 +8,7 @@ import pytest
 from callrank.config import JobConfig, TierThresholds, Weights
 from callrank.operators.scorers import EngagementParams, Scorer, engagement_scorer, pandas_scorer
 from callrank.plans.job import ReadinessJob
-from callrank.sources.crm import CrmTables, read_ranked, read_tables, require_columns
+from callrank.sources.crm import CrmTables, ingest, read_ranked, read_tables, require_columns
 from crm_world import REFERENCE, by_key
 
 ORDER = ["dee", "ada", "bo", "eli", "fay", "cy"]
@@ -247,3 +248,80 @@ def test_a_failing_write_leaves_no_work_folder(spark, tables, config, tmp_path,
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
         JobConfig(**bad)
+
+
+def test_report_of_a_run(spark, csv_dir, config, tables, tmp_path):
+    job = ReadinessJob(replace(config, input_dir=csv_dir, output_dir=str(tmp_path)))
+    result = job.run_and_report(spark)
+    cleaned, scored = job.clean(tables).data, job.scored(tables)
+    for name, value in cleaned.stats().first().asDict().items():
+        assert result.report[name] == value, name
+    metrics = scored.selectExpr("avg(readiness_score) AS mean_score", "stddev_samp(readiness_score) AS std_score").first()
+    assert result.report["mean_score"] == pytest.approx(metrics.mean_score)
+    assert result.report["std_score"] == pytest.approx(metrics.std_score)
+    tiers = {r.tier: r["count"] for r in result.ranked.groupBy("tier").count().collect()}
+    assert {f"tier_{t.lower()}": n for t, n in tiers.items()}.items() <= result.report.items()
+    assert result.report["malformed"] == {} and result.report["unscored"] == 0
+    written = spark.read.json(f"{tmp_path}/run_report.json").first()
+    assert (written.total_leads, written.tier_hot, written.duplicate_emails) == (3, 1, result.report["duplicate_emails"])
+    with pytest.raises(ValueError):
+        ReadinessJob(replace(config, input_dir=csv_dir)).run_and_report(spark)
+    with pytest.raises(ValueError):
+        ReadinessJob(replace(config, output_dir=csv_dir)).run_and_report(spark)
+
+
+def test_report_without_adaptive_execution(spark, csv_dir, config, tmp_path):
+    job = ReadinessJob(replace(config, input_dir=csv_dir, output_dir=str(tmp_path)))
+    with_it = job.run_and_report(spark).report
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert job.run_and_report(spark).report == with_it
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_csv_is_parsed_once_and_misfits_are_counted(spark, tables, config, tmp_path):
+    """The plan of the ranked table reads typed parquet; what didn't fit is in the report."""
+    for name, df in tables._asdict().items():
+        df.write.option("header", True).csv(f"{tmp_path}/{name}.csv")
+    bad = tables.leads.selectExpr("* EXCEPT (is_converted)", "IF(lead_id = 'ada', 'perhaps', 'false') AS is_converted")
+    bad.write.mode("overwrite").option("header", True).csv(f"{tmp_path}/leads.csv")
+    read, misfits = ingest(spark, str(tmp_path), str(tmp_path / "work"))
+    assert misfits == {"accounts": {}, "leads": {"is_converted": 1}, "contacts": {}, "campaign_members": {}}
+    plan = ReadinessJob(config).scored(read)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" not in plan and plan.count("FileScan parquet") >= 4
+    settings = replace(config, input_dir=str(tmp_path), output_dir=str(tmp_path / "out"))
+    assert ReadinessJob(settings).run_and_report(spark).report["malformed"] == {"leads.is_converted": 1}
+    with pytest.raises(ValueError, match="is_converted"):
+        ReadinessJob(replace(settings, on_malformed="fail")).run(spark)
+    with pytest.raises(ValueError, match="is_converted"):
+        ReadinessJob(replace(settings, on_malformed="fail")).read(spark)
+
+
+def test_reading_csv_in_one_task_is_said(spark, csv_dir, config):
+    with pytest.warns(UserWarning, match="one task"):
+        read_tables(spark, csv_dir)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert ReadinessJob(replace(config, input_dir=csv_dir, multi_line=False)).read(spark).leads.count() == 3
+
+
+def test_own_columns_reach_own_scorers(spark, csv_dir, config, tmp_path):
+    """The column ``unused`` of the files, text there, as a whole number for a scorer."""
+    for name in CrmTables._fields:
+        with open(f"{csv_dir}/{name}.csv", newline="") as given, open(tmp_path / f"{name}.csv", "w") as out:
+            out.write(given.read().replace("unused", "tech_match").replace(",x", ",7"))
+    tech = pandas_scorer("score_tech", ["tech_match"], lambda batch: batch["tech_match"] * 10)
+    own = replace(
+        config, input_dir=str(tmp_path), own_columns=(("tech_match", "double"), ("absent", "string")),
+        weights=Weights(0.3, 0.25, 0.2, 0.15, extra=(("score_tech", 0.1),)),
+    )
+    job = ReadinessJob(own).with_scorer(tech)
+    scored = by_key(job.scored(job.read(spark)))
+    assert {r.score_tech for r in scored.values()} == {70.0} and scored["dee"].absent is None
+    ranked = job.run(spark)
+    assert {r.score_tech for r in ranked.collect()} == {70.0}
+    with pytest.raises(ValueError, match="own columns"):
+        replace(config, own_columns=(("title", "string"),))
+    with pytest.raises(ValueError):
+        replace(config, on_malformed="guess")
