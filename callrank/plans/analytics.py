@@ -257,12 +257,26 @@ def score_histogram(ranked: DataFrame, bins: int = 30) -> DataFrame:
     )
 
 
-def score_scatter(ranked: DataFrame, fraction: float | None = None, seed: int = 0) -> DataFrame:
+def score_scatter(
+    ranked: DataFrame, fraction: float | None = None, seed: int = 0, per_cell: int | None = None, grid: int = 50
+) -> DataFrame:
+    """Points of the scatter plot: all of them, a random ``fraction``, or at most ``per_cell`` of each tier and grid cell.
+
+    The last choice bounds the answer, however many records there are, keeps thin regions whole and is the same on every
+    run: of each cell the records with the least hashes. Each task cuts its cells before anything is shuffled.
+    """
     points = (
         callable_pool(ranked)
         .select(*ENTITY, "tier", "score_engagement", "score_profile", "readiness_score")
         .dropna(subset=["score_engagement", "score_profile", "readiness_score"])
     )
+    if per_cell is not None:
+        cell = ", ".join(
+            f"least(greatest(floor({c} * {grid} / 100D), 0L), {grid - 1}L)" for c in ("score_engagement", "score_profile")
+        )
+        drawn = "md5(concat_ws(' ', entity_type, entity_id)), entity_type, entity_id"
+        place = f"row_number() OVER (PARTITION BY tier, {cell} ORDER BY {drawn}) AS _place"
+        points = points.selectExpr("*", place).filter(f"_place <= {int(per_cell)}").drop("_place")
     return points if fraction is None else points.sample(fraction=fraction, seed=seed)
 
 

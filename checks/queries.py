@@ -14,9 +14,10 @@ from callrank.config import JobConfig, TierThresholds, Weights
 from callrank.operators import clean as C
 from callrank.operators import features as E
 from callrank.operators import scorers as M
-from callrank.operators.rank import rank_and_tier
+from callrank.operators.rank import merge_record_details, rank_and_tier
 from callrank.plans import analytics as A
 from callrank.plans import audit as Q
+from callrank.plans import layouts as L
 from callrank.plans import personas as P
 from callrank.plans.job import ReadinessJob
 from callrank.sources.crm import CrmTables
@@ -304,6 +305,56 @@ def engagement_history(spark, sf_dir):
     return text(A.engagement_history(tables(spark, sf_dir).campaign_members, 20), "response_date")
 
 
+def by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked table laid out by record, written once like the table itself."""
+    key = (spark.sparkContext.applicationId, sf_dir, "by_record")
+    if key not in _ranked:
+        _ranked[key] = L.write_by_record(ranked(spark, sf_dir), f"{new_folder(spark)}/by_record")
+    return _ranked[key]
+
+
+def find_record(spark, sf_dir):
+    """The card of record 42, a lead or a contact."""
+    cards = A.find_record(by_record(spark, sf_dir), 42)
+    return cards.selectExpr(
+        *C.ENTITY, "rank", "tier", "readiness_score", "array_join(active_exclusions, ', ') AS active_exclusions",
+        "array_join(active_issues, ', ') AS active_issues",
+    )
+
+
+def merged_records(spark, sf_dir):
+    """Scores alone, joined with the details of their records."""
+    t, c = tables(spark, sf_dir), cleaned(spark, sf_dir)
+    scores = ranked(spark, sf_dir).select(*C.ENTITY, "readiness_score", "tier")
+    merged = merge_record_details(scores, c.leads, c.contacts, t.accounts).select(
+        *C.ENTITY, "tier", "readiness_score", "email", "title", "company", "lead_status", "contact_status", "job_level",
+        "account_name", "industry", "intent_score", "is_excluded", "dq_issue_count",
+    )
+    return merged
+
+
+_members: dict[tuple[str, str], L.StoredMembers] = {}
+
+
+def stored_members(spark: SparkSession, sf_dir: str) -> L.StoredMembers:
+    """Memberships stored by entity, written once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _members:
+        folder = new_folder(spark)
+        table = f"members_{folder.rsplit('/', 1)[-1]}"
+        _members[key] = L.store_members(tables(spark, sf_dir).campaign_members, table, f"{folder}/members")
+    return _members[key]
+
+
+def stored_history(spark, sf_dir):
+    return text(stored_members(spark, sf_dir).history(20), "response_date")
+
+
+def stored_engagement(spark, sf_dir):
+    found = stored_members(spark, sf_dir).engagement(REFERENCE_DATE)
+    return rounded(found.select(*C.ENTITY, *E.ENGAGEMENT), "automation_ratio")
+
+
 def tier_stats(spark, sf_dir):
     return A.tier_stats(ranked(spark, sf_dir))
 
@@ -320,6 +371,11 @@ def score_scatter(spark, sf_dir):
     return rounded(A.score_scatter(ranked(spark, sf_dir)), "score_engagement", "score_profile")
 
 
+def score_sample(spark, sf_dir):
+    sample = A.score_scatter(ranked(spark, sf_dir), per_cell=2, grid=10)
+    return rounded(sample, "score_engagement", "score_profile")
+
+
 def what_if_ranks(spark, sf_dir):
     out = A.what_if_ranks(ranked(spark, sf_dir), WHAT_IF, STRICT)
     return out.select(*C.ENTITY, "rank", "new_rank", "rank_change", "new_score", "new_tier")
@@ -446,10 +502,15 @@ ALL: dict[str, Query] = {
         record_lookup,
         record_labels,
         engagement_history,
+        stored_history,
+        stored_engagement,
+        find_record,
+        merged_records,
         tier_stats,
         fairness,
         score_histogram,
         score_scatter,
+        score_sample,
         what_if_ranks,
         what_if_impact,
         what_if_tiers,

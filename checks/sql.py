@@ -784,3 +784,29 @@ ALL: dict[str, str] = {
                         "Medium", "median and upper quartile of imported scores")
     ),
 }
+
+ALL |= {
+    "stored_history": ALL["engagement_history"],
+    "stored_engagement": on_scored(
+        f"SELECT entity_type, entity_id, {ENGAGEMENT} FROM features WHERE total_engagements > 0"
+    ),
+    "find_record": on_scored(
+        f"""SELECT entity_type, entity_id, rank, tier, readiness_score,
+        {titles([*LEAD_EXCLUSIONS, 'exclude_no_longer', 'exclude_dnc_account'])} AS active_exclusions,
+        {titles(LEAD_DQ)} AS active_issues FROM ranked WHERE entity_id = 42"""
+    ),
+    "merged_records": on_scored(
+        """SELECT entity_type, entity_id, tier, readiness_score, email, title, company, lead_status, contact_status,
+        job_level, account_name, industry, intent_score, is_excluded, dq_issue_count FROM ranked"""
+    ),
+    "score_sample": on_scored(
+        """, placed AS (SELECT *, row_number() OVER (
+            PARTITION BY tier, least(greatest(floor(score_engagement / 10e0), 0), 9),
+              least(greatest(floor(score_profile / 10e0), 0), 9)
+            ORDER BY md5(concat_ws(' ', entity_type, CAST(entity_id AS VARCHAR)))) AS place
+          FROM ranked WHERE NOT is_excluded AND readiness_score IS NOT NULL AND score_engagement IS NOT NULL
+            AND score_profile IS NOT NULL)
+        SELECT entity_type, entity_id, tier, round(score_engagement, 6) AS score_engagement,
+          round(score_profile, 6) AS score_profile, readiness_score FROM placed WHERE place <= 2"""
+    ),
+}
