@@ -52,8 +52,9 @@ def test_details_travel_with_the_record(ranked):
     assert rows["dee"].exclude_competitor is None
 
 
+@pytest.mark.parametrize("limits", [{}, {"group_rows": 100}, {"group_rows": 0}, {"most_groups": 5}])
 @pytest.mark.parametrize("partitions", [1, 7, 40])
-def test_rank_equals_a_plain_window(spark, partitions):
+def test_rank_equals_a_plain_window(spark, partitions, limits):
     """A third of the rows share one score, some have none, and the order is total."""
     df = spark.range(0, 3000, numPartitions=partitions).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 20.0D WHEN id % 11 = 0 THEN NULL ELSE (id * 37 % 1000) / 10D END "
@@ -69,7 +70,7 @@ def test_rank_equals_a_plain_window(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r.entity_id: r["rank"] for r in R.add_rank(df).collect()}
+        got = {r.entity_id: r["rank"] for r in R.add_rank(df, **limits).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -94,6 +95,20 @@ def test_hot_score_is_split_over_tasks(spark):
     assert len(sizes) == 8 and max(r["count"] for r in sizes) < 20000 / 4
 
 
+def test_only_large_groups_are_sorted_by_range(spark, tmp_path):
+    df = spark.range(4000).selectExpr(
+        "IF(id % 2 = 0, 20.0D, id % 100 / 10D) AS readiness_score", "'lead' AS entity_type", "id AS entity_id"
+    )
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    counted = R.add_rank(df, folder=str(tmp_path / "a"))
+    assert "rangepartitioning" not in counted._jdf.queryExecution().executedPlan().toString()
+    split = R.add_rank(df, folder=str(tmp_path / "b"), group_rows=1000)
+    assert spark.read.parquet(str(tmp_path / "b" / "rank")).count() == 2000
+    key = ["rank", "entity_id"]
+    assert sorted(counted.select(key).collect()) == sorted(split.select(key).collect())
+
+
 def test_rank_of_nothing(spark):
     df = spark.createDataFrame([], KEYED)
     assert R.add_rank(df).count() == 0
@@ -101,7 +116,11 @@ def test_rank_of_nothing(spark):
 
 def test_repeated_keys_still_get_ranks_of_their_own(spark):
     df = spark.createDataFrame([(1.0, "lead", "A")] * 3, KEYED)
-    assert sorted(r["rank"] for r in R.add_rank(df).collect()) == [1, 2, 3]
+    for limits in ({}, {"group_rows": 2}, {"most_groups": 0}):
+        assert sorted(r["rank"] for r in R.add_rank(df, **limits).collect()) == [1, 2, 3]
+    told = spark.createDataFrame([(1.0, "lead", "A", i) for i in range(50)], f"{KEYED}, mark int")
+    once, again = (sorted(R.add_rank(t).select("rank", "mark").collect()) for t in (told, told.repartition(9)))
+    assert once == again
 
 
 def test_layer_by_layer_with_separate_details(tables, config, ranked):
