@@ -8,7 +8,9 @@ bounded expected number of labelled rows a language; the trust in a declared lan
 the text, counted over all rows.
 
 Evidence that is missing (null text, no markup, no address) leaves the posterior as it is; a row without any gets the
-prior. Unknown declared languages count as missing. Repeated rows get the same answer.
+prior. Declared languages and suffixes that no text was seen with count as missing. Repeated rows get the same answer; of equally
+likely languages the first by name is taken. Without any labelled text no language is known: rows get a null language and
+confidence 0. An empty table gives none. Extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callrank.llm.common import by_size, strings
+from callrank.operators.lookups import lookup_join
 from callrank.sources.staging import new_folder, stage
 
-#: Labelled rows a language to learn from, as expected; trigram hashes; weight of a parent against a child's counts; and the most that
+#: Languages told apart: the commonest labels, in the order of their names. Labelled rows a language to learn from, as expected; trigram hashes; weight of a parent against a child's counts; and the most that
 #: a text's log likelihoods may differ, as trigrams overlap and aren't independent.
-LABELLED, HASHES, SHRINK, TEMPER = 1_000, 1 << 13, 5.0, 0.2
+LANGUAGES, LABELLED, HASHES, SHRINK, TEMPER = 256, 1_000, 1 << 13, 5.0, 0.2
 
 
 def _hashes(codes: np.ndarray) -> np.ndarray:
@@ -45,7 +48,8 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probabilities of hashes for each, from ``lang`` and ``text`` (and ``id`` to choose rows by)."""
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     # rows are chosen by a hash of their id, each language at its own rate, so no task gathers a language
-    rates = usable.groupBy("lang").agg((F.lit(1e9 * LABELLED) / F.count("*")).alias("rate"))
+    common = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rates = F.broadcast(common.select("lang", (F.lit(1e9 * LABELLED) / F.col("n")).alias("rate")))  # LANGUAGES rows at most
     few = usable.join(rates, "lang").where(F.expr("pmod(xxhash64(id), 1000000000L) < rate")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,61 +105,58 @@ def identified(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame
     ``host`` may be null. The parent of a host is the host less its first label.
     """
     spark, k = rows.sparkSession, len(langs)
-    names = F.array(*[F.lit(x) for x in langs])
+    evidence = ("text", "markup", "suffix", "host")
+    carried = [F.col(f"`{c}`").alias(f"carried__{i}") for i, c in enumerate(c for c in rows.columns if c not in evidence)]
+    names = [c for c in rows.columns if c not in evidence]
+    if not langs:
+        none = F.lit(None).cast("string")
+        return rows.select(*[F.col(f"`{c}`") for c in names], none.alias("language"), F.lit(0.0).alias("confidence"))
+    folder = new_folder(spark)
+    known = F.array(*[F.lit(x) for x in langs])
     zeros = F.array_repeat(F.lit(0.0), F.lit(k))
-    carried = [c for c in rows.columns if c not in ("text", "markup", "suffix", "host")]
-    seen = rows.select(
-        *carried, "markup", "suffix", "host", likelihoods(spark, langs, logs, F.col("text")).alias("likely")
-    )
-    seen = stage(seen, "seen", new_folder(spark))
     best = F.expr("array_position(likely, array_max(likely))").cast("int")
-    guess = seen.withColumn("guess", F.when(F.col("likely").isNotNull(), F.element_at(names, best)))
+    seen = rows.select(*carried, "markup", "suffix", "host", likelihoods(spark, langs, logs, F.col("text")).alias("likely"))
+    seen = stage(seen, "seen", folder)
+    guess = seen.where("likely IS NOT NULL").select("markup", "suffix", "host", F.element_at(known, best).alias("guess"))
+
+    def counted(column: str) -> DataFrame:
+        """Rows of each language, by their texts, for each value of an evidence column."""
+        sums = [F.count_if(F.col("guess") == x).alias(f"n{i}") for i, x in enumerate(langs)]
+        return guess.where(F.col(column).isNotNull()).groupBy(column).agg(*sums)
 
     def table(column: str) -> DataFrame:
         """Smoothed log P(value | language), as an array by language, for each value of an evidence column."""
-        counts = guess.where(F.col(column).isNotNull() & F.col("guess").isNotNull()).groupBy(column).agg(
-            *[F.sum((F.col("guess") == x).cast("long")).alias(f"n{i}") for i, x in enumerate(langs)]
-        )
+        counts = stage(counted(column), f"{column}_counts", folder)
         totals = [max(1, v or 0) for v in counts.agg(*[F.sum(f"n{i}") for i in range(k)]).first()]
         logs_ = [F.log((F.col(f"n{i}") + 0.5) / F.lit(t + 1.0)) for i, t in enumerate(totals)]
-        return counts.select(F.col(column).alias(f"{column}__"), F.array(*logs_).alias(f"{column}_log"))
+        return counts.select(column, F.array(*logs_).alias(f"{column}_log"))
 
-    hosts = guess.where(F.col("host").isNotNull() & F.col("guess").isNotNull()).groupBy("host").agg(
-        *[F.sum((F.col("guess") == x).cast("double")).alias(f"n{i}") for i, x in enumerate(langs)]
-    )
-    hosts = stage(hosts, "hosts", new_folder(spark))
+    hosts = stage(counted("host"), "hosts", folder)
     parent = F.regexp_replace("host", r"^[^.]*\.", "")
     domains = hosts.groupBy(parent.alias("domain")).agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(k)])
-    overall = guess.where(F.col("guess").isNotNull()).agg(*[F.sum((F.col("guess") == x).cast("double")) for x in langs]).first()
-    whole = [(v or 0.0) + 1.0 for v in overall]
+    whole = [v + 1.0 for v in guess.agg(*[F.count_if(F.col("guess") == x) for x in langs]).first()]
     whole = [v / sum(whole) for v in whole]
     d_sum, n_sum = (" + ".join(f"{p}{i}" for i in range(k)) for p in "dn")
     shared = hosts.join(domains, parent == F.col("domain")).select(
-        F.col("host").alias("host__"),
+        "host",
         F.array(*[
             F.expr(f"ln((n{i} + {SHRINK}D * (d{i} + {SHRINK}D * {whole[i]!r}D) / ({d_sum} + {SHRINK}D)) / ({n_sum} + {SHRINK}D))")
             for i in range(k)
         ]).alias("host_log"),
     )
-    markup, address = table("markup"), table("suffix")
-
-    def key(column: str) -> Column:
-        """The value to join by; missing ones are spread under keys that match nothing."""
-        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*carried, "host"), F.lit(1024)).cast("string"))
-        return F.coalesce(seen[column].cast("string"), spread)
-
-    fused = (
-        seen.join(markup, key("markup") == F.col("markup__"), "left")
-        .join(address, key("suffix") == F.col("suffix__"), "left")
-        .join(shared, key("host") == F.col("host__"), "left")
-    )
+    shared = stage(shared, "host_logs", folder)  # written, so that their size is known
+    ids = [f"carried__{i}" for i in range(len(names))]
+    spread = f"xxhash64({', '.join([*ids, 'host'])})"
+    fused = seen
+    for column, found in (("markup", table("markup")), ("suffix", table("suffix")), ("host", shared)):
+        fused = lookup_join(fused, found, column, spread)
     prior = F.array(*[F.log(F.lit(v)) for v in whole])
-    parts = [F.coalesce("likely", zeros), F.coalesce("markup_log", zeros), F.coalesce("suffix_log", zeros), F.coalesce("host_log", prior)]
-    total = parts[0]
-    for part in parts[1:]:
+    total = F.coalesce("likely", zeros)
+    for part in (F.coalesce("markup_log", zeros), F.coalesce("suffix_log", zeros), F.coalesce("host_log", prior)):
         total = F.zip_with(total, part, lambda a, b: a + b)
-    fused = fused.select(*carried, total.alias("total__")).withColumn("odds__", F.expr(_softmax("total__")))
+    fused = fused.select(*ids, total.alias("total__")).withColumn("odds__", F.expr(_softmax("total__")))
     top = F.expr("array_position(total__, array_max(total__))").cast("int")
     return fused.select(
-        *carried, F.element_at(names, top).alias("language"), F.expr("1 / aggregate(odds__, 0D, (a, x) -> a + x)").alias("confidence")
-    )
+        *[F.col(i).alias(c) for i, c in zip(ids, names, strict=True)],
+        F.element_at(known, top).alias("language"), F.expr("1 / aggregate(odds__, 0D, (a, x) -> a + x)").alias("confidence"),
+    )
