@@ -5,8 +5,9 @@ children, with runs and adjacent repeats of the same tags folded into repeated g
 disagree, children that only one of them has become optional groups, and text that differs becomes a text slot; text that
 all aligned pages share stays as the template's own. Only ``div?``, ``(p)+`` and slots arise, never a union.
 
-Equal pages count once. The other pages of a host are dealt to chunks by their hash, however many they are; each chunk gives a
-wrapper of its own, and wrappers are merged like pages, some at a time, until the host has one. A wrapper says where the
+Every page is first a wrapper of its own, made where the page is read: signs, hashes and lengths of texts, so the texts themselves
+aren't shuffled. Equal pages count once. The others of a host are dealt to chunks by their hash, however many they are; a chunk's
+wrappers are aligned into one, and these again, some at a time, until the host has one. A wrapper says where the
 article is (the article or main group, else the innermost group that holds most of the slots' text) and, by how many pages
 share it, which texts outside of articles are the template's own. What is there is the main text, without menus, headers, footers,
 sidebars, forms, scripts, notices, adverts and comments, which are known by tag, role, class or id, and lists of links.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -73,10 +75,10 @@ class Element:
     names: frozenset = frozenset()
     role: str = ""
     children: list = field(default_factory=list)  # elements and texts
+    sign: str = ""
 
-    @property
-    def sign(self) -> str:
-        return ".".join([self.tag, *sorted(n for n in self.names if n.isalpha())])
+    def __post_init__(self):
+        self.sign = ".".join([self.tag, *sorted(n for n in self.names if n.isalpha())]) if self.names else self.tag
 
 
 class _Builder(HTMLParser):
@@ -295,24 +297,31 @@ def align(wrapper: Group, elements: list[Element]) -> None:
         group, elements = todo.pop()
         new = group.pages == 0
         group.pages += 1
-        texts = {_own_text(e) for e in elements}
-        if len(texts) == 1:
-            group.count({_hash(t): 1 for t in texts})
-        group.chars += sum(map(len, map(_own_text, elements)))
+        texts = [_own_text(e) for e in elements]
+        if texts.count(texts[0]) == len(texts):
+            group.count({_hash(texts[0]): 1})
+        group.chars += sum(map(len, texts))
         members: dict[int, tuple[Group, list[Element]]] = {}
         for e in elements:
             runs = _runs(e)
+            if new:
+                group.children = [Group(sign) for sign, _, _ in runs]
+                members |= {id(c): (c, list(found)) for c, (_, found, _) in zip(group.children, runs, strict=True)}
+                for child, (_, _, repeated) in zip(group.children, runs, strict=True):
+                    child.repeated = repeated
+                new = False
+                continue
             children = []
             for child, k in _interleaved(group.children, [r[0] for r in runs]):
                 if child is None:
-                    child = Group(runs[k][0], optional=not new)  # the wrapper lacks it
+                    child = Group(runs[k][0], optional=True)  # the wrapper lacks it
                 elif k is None:
                     child.optional = True  # the page lacks it
                 children.append(child)
                 if k is not None:
                     child.repeated |= runs[k][2]
                     members.setdefault(id(child), (child, []))[1].extend(runs[k][1])
-            group.children, new = children, False
+            group.children = children
         todo += members.values()
 
 
@@ -487,7 +496,7 @@ def blocks(root: Element, place: str, template: dict[str, list[str]], whole: boo
         if closing:
             cut()
             continue
-        here = _in(at, item.sign)
+        here = _in(at, item.sign) if template else ""
         block = item.tag in BLOCKS
         if item is not root:
             if item.tag == "br":
@@ -562,22 +571,30 @@ def wrappers(pages: DataFrame) -> DataFrame:
     round: no task holds more of a host than that, on average.
     """
     folder = new_folder(pages.sparkSession)
+
+    def alone(html: pa.Array) -> pa.Array:
+        return pa.array([zlib.compress(dumped(infer([page])).encode(), 1) for page in strings(html)], pa.binary())
+
+    hashes = F.xxhash64("html").alias("h1"), F.xxhash64(F.reverse("html"), F.lit(1)).alias("h2")
+    each = pages.select("host", *hashes, F.arrow_udf(alone, "binary")("html").alias("page"))
     # copies tell nothing about the template, however many there are
-    different = pages.select("host", "html", F.xxhash64("html").alias("h1"), F.xxhash64(F.reverse("html"), F.lit(1)).alias("h2"))
-    once = different.groupBy("host", "h1", "h2").agg(F.any_value("html").alias("html"))
-    counts = different.groupBy("host").agg(F.approx_count_distinct("h1", 0.02).alias("n"))
-    counts = stage(counts.select("host", F.expr(f"greatest(1L, int(ceil(n / {CHUNK}D)))").cast("long").alias("chunks")), "chunks", folder)
-    dealt = lookup_join(once, counts, "host", "h1").selectExpr("host", "html", "pmod(h1, chunks) AS chunk", "h1", "chunks")
+    once = stage(each.groupBy("host", "h1", "h2").agg(F.any_value("page").alias("page")), "pages", folder)
+    counts = once.groupBy("host").agg(F.count("*").alias("n"))
+    counts = stage(counts.selectExpr("host", f"(n + {CHUNK - 1}L) div {CHUNK}L AS chunks"), "chunks", folder)
+    dealt = lookup_join(once, counts, "host", "h1").selectExpr("host", "page", "pmod(h1, chunks) AS chunk", "h1", "h2", "chunks")
+
+    def together(wrappers: list[Group]) -> str:
+        for other in wrappers[1:]:
+            merge(wrappers[0], other)
+        return dumped(wrappers[0])
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        pages = group.sort_values(["h1", "html"]).html
-        return group[["host", "chunk", "chunks"]].head(1).assign(wrapper=dumped(infer(list(pages))))
+        pages = [loaded(zlib.decompress(page)) for page in group.sort_values(["h1", "h2"]).page]
+        return group[["host", "chunk", "chunks"]].head(1).assign(wrapper=together(pages))
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        first, *more = map(loaded, group.sort_values("chunk").wrapper)
-        for other in more:
-            merge(first, other)
-        return group[["host", "part", "parts"]].head(1).assign(wrapper=dumped(first))
+        wrapper = together(list(map(loaded, group.sort_values("chunk").wrapper)))
+        return group[["host", "part", "parts"]].head(1).assign(wrapper=wrapper)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -589,7 +606,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     kind = "host string, chunk long, chunks long, wrapper string"
     now = stage(dealt.groupBy("host", "chunk").applyInPandas(learn, kind), "wrappers0", folder)
     done, level = [now.where("chunks = 1").select("host", "wrapper")], 0
-    most = counts.agg(F.max("chunks")).first()[0] or 0
+    most = counts.agg(F.max("chunks")).first()[0] or 0  # one number
     while most > 1:
         level, most = level + 1, -(-most // MERGED)
         parts = now.where("chunks > 1").selectExpr(
