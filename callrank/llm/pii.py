@@ -5,16 +5,21 @@ inside a row with array functions, so no text is shuffled.
 
 * Base: emails, IP addresses, card numbers and phone numbers by fixed patterns and checks. Base spans always stay.
 * Candidates: looser generators for each kind propose overlapping spans (written-out ``(at)``, IPv6, numbers without a
-  country code, ...).
-* Boosting: trees of depth two on yes/no features of format and context learn which candidates the base confirms. The
-  marks that the base itself asks for (a plus sign, a checksum, ``@``) are not features, so what looks and is placed like
-  confirmed data scores high without them. Features are yes/no, so all candidates of all rows fold into a table of counts
-  with a fixed bound (2 ** 9 cells a kind and fold), on which the trees are fitted exactly.
-* Thresholds: rows of one fold in five are held out; a kind's threshold is the lowest score whose
-  calibrated share of confirmed candidates, by pooling adjacent violators, reaches the wanted precision; where none does,
-  no span of that kind is added.
-
-Null texts count as empty: no spans. Repeated rows get the same spans.
+  country code, cards with other separators, ...). They take runs whole, however long; a run of a length that the kind can't have
+  is rejected, never cut.
+* Labels: a candidate is confirmed if a base span overlaps it, or if its format is valid once it is written plainly:
+  ``(at)`` and ``(dot)`` as signs, IPv6 with its eight groups, card digits by their checksum. Phone numbers have no such check, so
+  unconfirmed ones are unlabelled rather than wrong.
+* Boosting: trees of depth two on yes/no features of format and context learn which candidates are confirmed. The plus sign
+  that the base asks of phones is not a feature, so what looks and is placed like
+  confirmed numbers scores high without it. Features are yes/no, so all candidates of all rows fold into a table of counts
+  with a fixed bound (2 ** 10 cells a kind and fold), on which the trees are fitted exactly.
+* Thresholds: rows of one fold in five are held out; a kind's threshold is the lowest score whose calibrated share of true
+  candidates, by pooling adjacent violators, reaches the wanted precision; where none does, no span of that kind is added. The share of
+  true ones is that of confirmed ones over the share of true ones that get confirmed (Elkan and Noto), which is estimated
+  from the held-out confirmed ones and taken to be CONFIRMED at least.
+
+Of overlapping candidates with equal scores the earlier one counts, then the kind listed first. Null texts count as empty: no spans. Repeated rows get the same spans.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from callrank.llm.common import unused
 
 KINDS = ("email", "ip", "card", "phone")
-PRECISION, ROUNDS, RATE, FEWEST = 0.9, 25, 0.4, 20
+PRECISION, CONFIRMED, ROUNDS, RATE, FEWEST = 0.9, 0.8, 25, 0.4, 20
 
 #: The base patterns. A run of local characters, and of digits, is taken whole, which finds the same
 #: matches without going back over a long run. \G: a match may also begin where the last one ended.
@@ -47,16 +52,16 @@ GATE = {
 }
 LOOSE = {
     "email": r"[\p{L}0-9._%+-]++\x20?(?:@|[(\[{]at[)\]}])\x20?[\p{L}0-9-]++(?:\x20?(?:\.|[(\[{]dot[)\]}])\x20?[\p{L}0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}",
-    "card": r"[0-9][0-9\x20./-]{10,30}[0-9]",
-    "phone": r"[(+]{0,2}[0-9][0-9\x20()./-]{5,24}[0-9]",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]*+:)++[0-9A-Fa-f]++(?![:.])|(?<![0-9.])[0-9]++(?:\x20?\.\x20?[0-9]++)++",
+    "card": r"(?<![0-9])[0-9]{13,19}+(?![0-9])|(?<![0-9])[0-9](?:[\x20./-]{0,2}+[0-9])++",
+    "phone": r"[(+]{0,2}+[0-9](?:[\x20()./-]{0,3}+[0-9])++",
 }
 LOOSE_GATE = {
     "email": "(contains({t}, '@') OR contains({t}, '(at)') OR contains({t}, '[at]') OR contains({t}, '{{at}}'))",
     "ip": r"(contains({t}, ':') AND {t} RLIKE R'[0-9A-Fa-f]:[0-9A-Fa-f]{{0,4}}:' OR "
     r"{digits} AND {t} RLIKE R'[0-9]\x20?\.\x20?[0-9]{{1,3}}\x20?\.')",
-    "card": r"{digits} AND {t} RLIKE R'[0-9][0-9\x20./-]{{10,30}}[0-9]'",
-    "phone": r"{digits} AND {t} RLIKE R'[0-9][0-9\x20()./-]{{5,24}}[0-9]'",
+    "card": r"{digits} AND {t} RLIKE R'[0-9](?:[\x20./-]{{0,2}}[0-9]){{11}}'",
+    "phone": r"{digits} AND {t} RLIKE R'[0-9](?:[\x20()./-]{{0,3}}[0-9]){{6}}'",
 }
 _DIGITS = "regexp_replace({v}, '[^0-9]', '')"
 _LUHN = (
@@ -70,6 +75,26 @@ CHECK = {
     "card": f"CASE WHEN length({_DIGITS.format(v='x.v')}) BETWEEN 12 AND 19 THEN {_LUHN} ELSE false END",
     "phone": f"length({_DIGITS.format(v='x.v')}) BETWEEN 9 AND 15",
 }
+#: What a candidate x (v: its text) must be, by its kind, to be looked at; and plainly written valid data of its kind.
+_PLAIN_EMAIL = r"regexp_replace(regexp_replace(regexp_replace(x.v, R'\x20', ''), R'[(\[{]at[)\]}]', '@'), R'[(\[{]dot[)\]}]', '.')"
+_IP4 = r"regexp_replace(x.v, R'\x20', '') RLIKE R'^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$'"
+_PARTS = r"forall(split(regexp_replace(x.v, R'\x20', ''), '[.]'), p -> coalesce(try_cast(p AS bigint) <= 255, false))"
+_IP6 = (
+    r"(x.v RLIKE R'^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$' OR x.v RLIKE R'^(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}$' "
+    "AND size(split(x.v, '::')) = 2 AND NOT x.v LIKE '%:::%')"
+)
+ALLOWED = {
+    "email": "true",
+    "ip": f"{_IP4} OR x.v LIKE '%:%' AND length(x.v) <= 39",
+    "card": f"length({_DIGITS.format(v='x.v')}) BETWEEN 12 AND 19",
+    "phone": f"length({_DIGITS.format(v='x.v')}) BETWEEN 7 AND 15",
+}
+VALID = {
+    "email": rf"{_PLAIN_EMAIL} RLIKE R'^[\p{{L}}0-9._%+-]+@[\p{{L}}0-9-]+(?:\.[\p{{L}}0-9-]+)*\.\p{{L}}{{2,}}$' AND x.v NOT LIKE '% %'",
+    "ip": f"({_IP4} AND {_PARTS} AND x.v NOT LIKE '% %') OR {_IP6}",
+    "card": f"CASE WHEN length({_DIGITS.format(v='x.v')}) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END",
+    "phone": "false",
+}
 #: Yes/no features of a candidate x (v: its text, b and a: what is before and after it).
 FEATURES = {
     "glued_before": r"x.b RLIKE R'[\p{L}0-9_=#/\"\x27]$'",
@@ -81,6 +106,7 @@ FEATURES = {
     "ten_or_eleven": f"length({_DIGITS.format(v='x.v')}) BETWEEN 10 AND 11",
     "sixteen": f"length({_DIGITS.format(v='x.v')}) = 16",
     "letters": r"x.v RLIKE R'\p{L}'",
+    "valid": "x.valid",
 }
 _EMPTY = "CAST(array() AS array<struct<s:int,e:int,v:string>>)"
 
@@ -122,18 +148,18 @@ def _base(df: DataFrame, text: str, stem: str) -> DataFrame:
 
 
 def _candidates(df: DataFrame, text: str, stem: str, base: str) -> DataFrame:
-    """Columns ``{stem}{kind}``: candidates with features; ``ok``: a base span of the kind overlaps."""
+    """Columns ``{stem}{kind}``: candidates with features; ``ok``: a base span of the kind overlaps, or the format is valid."""
     df = _matched(df, text, LOOSE, LOOSE_GATE, stem, {})
     whole = {
-        k: f"transform({stem}{k}, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'b', substring({text}, "
+        k: f"transform(filter({stem}{k}, x -> {ALLOWED[k]}), x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'b', substring({text}, "
         f"greatest(x.s - 23, 1), least(24, x.s)), 'a', substring({text}, x.e + 1, 1), "
-        f"'ok', exists({base}{k}, y -> y.s < x.e AND y.e > x.s)))"
+        f"'valid', {VALID[k]}, 'ok', exists({base}{k}, y -> y.s < x.e AND y.e > x.s)))"
         for k in KINDS
     }
     df = df.withColumns({f"{stem}{k}": F.expr(v) for k, v in whole.items()})
     struct = ", ".join(f"'{n}', {sql}" for n, sql in FEATURES.items())
     return df.withColumns(
-        {f"{stem}{k}": F.expr(f"transform({stem}{k}, x -> named_struct('s', x.s, 'e', x.e, 'ok', x.ok, {struct}))") for k in KINDS}
+        {f"{stem}{k}": F.expr(f"transform({stem}{k}, x -> named_struct('s', x.s, 'e', x.e, 'ok', x.ok OR x.valid, {struct}))") for k in KINDS}
     )
 
 
@@ -191,7 +217,10 @@ def fit(cells: dict[tuple, tuple[float, float]], held: dict[tuple, tuple[float,
             _, n, k = pools.pop()
             pools[-1][1] += n
             pools[-1][2] += k
-    fit_enough = [score for score, n, k in pools if (k + 1) / (n + 2) >= PRECISION]
+    # of the true ones so many are confirmed: the mean confirmed share where confirmed ones are
+    seen = sum(k for _, _, k in pools)
+    confirmed = max(CONFIRMED, sum(k * k / n for _, n, k in pools) / seen) if seen else 1.0
+    fit_enough = [score for score, n, k in pools if min(1.0, (k + 1) / (n + 2) / confirmed) >= PRECISION]
     if fit_enough:
         model.threshold = min(fit_enough) - 1e-9
     return model
@@ -213,7 +242,7 @@ def train(df: DataFrame, text_col: str = "text") -> dict[str, Booster]:
         F.count("*").alias("n"), F.sum(F.col("x.ok").cast("long")).alias("k")
     )
     cells: dict[tuple, dict[tuple, tuple[float, float]]] = {}
-    for row in sorted(counts.collect(), key=str):  # 2 ** 12 rows at most
+    for row in sorted(counts.collect(), key=str):  # 2 ** 13 rows at most
         x = tuple(int(row[n]) for n in names)
         cells.setdefault((row.kind, row.held), {})[x] = (float(row.n), float(row.k))
     return {k: fit(cells.get((k, False), {}), cells.get((k, True), {})) for k in KINDS}
