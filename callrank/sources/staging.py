@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+#: The folder of the scratch block at hand.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names; a local one only in local mode where none is named (tests)."""
@@ -22,8 +28,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A folder of its own for the intermediate tables of one run."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/callrank/{uuid.uuid4().hex}"
+    """A folder of its own for the intermediate tables of one run, within the scratch folder if there is one."""
+    above = _scratch.get() or f"{checkpoint_dir(spark).rstrip('/')}/callrank"
+    return f"{above}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder that holds whatever is staged meanwhile and is deleted at the end: what is to stay is written elsewhere."""
+    folder = new_folder(spark)
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        discard(spark, folder)
 
 
 def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

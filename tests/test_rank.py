@@ -8,7 +8,7 @@ from callrank.operators import scorers as M
 from callrank.operators.clean import clean
 from callrank.operators.features import engineer_features
 from callrank.plans.analytics import top_scored
-from callrank.sources.staging import discard, new_folder, stage
+from callrank.sources.staging import discard, new_folder, scratch, stage
 from crm_world import by_key
 
 KEYED = "readiness_score double, entity_type string, entity_id string"
@@ -158,3 +158,23 @@ def test_staging_lands_in_the_shared_folder(spark):
     assert fs.exists(path)
     discard(spark, folder)
     assert not fs.exists(path)
+
+
+def test_scratch_tables_go_and_others_stay(spark):
+    def exists(folder):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    df, outer = spark.createDataFrame([(1.0, "lead", "A")], KEYED), new_folder(spark)
+    with scratch(spark) as folder:
+        ranked = R.add_rank(df)
+        assert new_folder(spark).startswith(folder) and exists(folder)
+        with scratch(spark) as inner:
+            assert inner.startswith(folder)
+        kept = stage(ranked, "kept", outer)
+    assert not exists(folder) and kept.count() == 1 and not new_folder(spark).startswith(folder)
+    with pytest.raises(ZeroDivisionError), scratch(spark) as folder:
+        stage(df, "t")
+        raise ZeroDivisionError
+    assert not exists(folder)
+    discard(spark, outer)
