@@ -192,14 +192,18 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         cuts = [found.least, *cuts]
     bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
     place = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(found.least)
-    at_bound = F.array_contains(bounds, F.col("doc_id")) if cuts else F.lit(False)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("range", place.cast("int"))
-    ends = [F.when(F.coalesce(at_bound, F.lit(False)), F.struct((F.col("range") - 1).alias("range"), F.lit(1).alias("end")))]
-    ends.append(F.when(F.coalesce(first, F.lit(False)), F.struct(F.lit(len(cuts)).alias("range"), F.lit(2).alias("end"))))
-    here = F.struct(F.col("range"), F.lit(0).alias("end"))
-    dealt = rows.select("doc_id", "text", F.explode(F.array_compact(F.array(here, *ends))).alias("to")).select("to.*", "doc_id", "text")
+    here = rows.select(place.cast("int").alias("range"), F.lit(0).alias("end"), "doc_id", "text")
+    # ends: one row of each id at a bound, and of the first id, whoever else has them
+    first = None if nulls else found.least
+    marks = [*cuts, *([] if nulls or first is None else [first])]
+    wanted = F.col("doc_id").isin(marks) if marks else F.lit(False)
+    edge = rows.where(F.coalesce(wanted, F.lit(False)) | (F.col("doc_id").isNull() if nulls else F.lit(False)))
+    edge = edge.groupBy("doc_id").agg(F.min("text").alias("text"))
+    is_first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(first)
+    bound = edge.where(F.col("doc_id").isin(cuts)).select((place - 1).cast("int").alias("range"), F.lit(1).alias("end"), "doc_id", "text") if cuts else None
+    last = edge.where(is_first).select(F.lit(len(cuts)).alias("range"), F.lit(2).alias("end"), "doc_id", "text")
+    dealt = here.unionAll(last) if bound is None else here.unionAll(bound).unionAll(last)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = []

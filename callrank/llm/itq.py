@@ -173,7 +173,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")
     )
     # a class without an id takes part under a number below every id
-    number = "coalesce(least, -9223372036854775807L + pmod(h1, 1000000000000000L))"
+    number = "coalesce(least, -9223372036854775807L + monotonically_increasing_id())"
     classes = stage(classes.withColumn("id", F.expr(number)), "classes", folder)
     width = classes.agg(F.max(F.size("embedding"))).first()[0] or 0
     near = candidates(classes.select("id", "embedding"), width, cosine)

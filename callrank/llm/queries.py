@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,25 @@ from pyspark.sql import functions as F
 
 from callrank.llm import bitslices, bpe, edits, itq, langid, merkle, mixing, periodic, pii, sharding, simhash, toxicity, wrappers
 from callrank.llm.common import ship_code, whole_text
+from callrank.sources.staging import new_folder, scratch, stage
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tidy(query: Query) -> Query:
+    """The query with its result written and its intermediate tables deleted."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = new_folder(spark)
+        with scratch(spark):
+            return stage(query(spark, sf_dir), query.__name__, folder)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -32,6 +46,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@tidy
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six decimals of the weights are compared; the draw decides on all of them."""
     return mixing.mixed(documents(spark, sf_dir)).select(
@@ -40,11 +55,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@tidy
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@tidy
 def op5_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(documents(spark, sf_dir, "embeddings"))
 
@@ -57,6 +74,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@tidy
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extracted(documents(spark, sf_dir, "pages"))
 
@@ -70,6 +88,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+@tidy
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document and page. Documents have no markup or address; their source stands for the host."""
     docs, pages = documents(spark, sf_dir), documents(spark, sf_dir, "pages")
@@ -89,6 +108,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_id", "language", F.round("confidence", 6).alias("confidence"))
 
 
+@tidy
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffled(sharding.measured(documents(spark, sf_dir))).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -101,6 +121,7 @@ def op11_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslices.top(vectors, F.col("vec_id") % 50 == 0)
 
 
+@tidy
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof; a fifth of the documents are held against the manifest with lower-cased texts."""
     docs = documents(spark, sf_dir)

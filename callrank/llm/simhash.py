@@ -200,11 +200,12 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, by_text: bool = False) -
     of_text = [F.xxhash64(F.col(text_col)).alias("hash")] if by_text else []
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), *of_text)
     rows = stage(rows, "fingerprints", folder)
-    first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", folder)
     # a fingerprint that only rows without an id have takes part under a number of its own, below every id
-    number = "fp" if by_text else "coalesce(id, -9223372036854775807L + pmod(xxhash64(fp), 1000000000000000L))"
-    found = components(links(first.selectExpr("fp", f"{number} AS id")))
-    of_print = first.withColumn("node", F.expr(number)).join(found, "node", "left")
+    number = "fp" if by_text else "coalesce(id, -9223372036854775807L + monotonically_increasing_id())"
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("node", F.expr(number))
+    first = stage(first, "distinct", folder)  # written, so the numbers stay
+    found = components(links(first.selectExpr("fp", "node AS id")))
+    of_print = first.join(found, "node", "left")
     return rows, of_print.select("fp", "id", F.coalesce("component", "node").alias("component"))
 
 

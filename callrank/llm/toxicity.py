@@ -8,7 +8,7 @@ the same automaton and cancel the hits inside them. The score is a logistic func
 weight in proportion to the text's length.
 
 Texts are scored whole. Null texts count as empty; an empty text gets the score of no hits. Labels that are null are not
-used; of several labels of a document the larger counts. A table with more labels than can be learned from is drawn by
+used; of several labels of a document the larger counts, of several labelled texts of one id the least is learned from. A table with more labels than can be learned from is drawn by
 class, so rare toxic rows are all there, and the intercept is corrected for it. Where labels tell nothing (none, one class
 only, or no entry found) the lexicon is empty and all scores are the base rate, or one under the threshold if that is
 unknown or higher, so nothing is called toxic without evidence.
@@ -16,6 +16,7 @@ unknown or higher, so nothing is called toxic without evidence.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -23,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -37,6 +39,8 @@ from callrank.sources.staging import new_folder, stage
 #: Labelled rows to learn from, entries of the lexicon, exception phrases: at most. If there are more labels, those of the
 #: smallest hashes of their ids are taken in each class: half of LABELLED, and what the other class leaves of its half.
 LABELLED, ENTRIES, PHRASES = 40_000, 5_000, 1_000
+#: What is learned: words of at most so many letters, phrases of so many. Texts are matched whole, whatever is in them.
+LONGEST_WORD, LONGEST_PHRASE = 40, 80
 #: An entry needs that many toxic documents and, two standard errors below its log odds, that much; a phrase that many
 #: harmless documents.
 FEWEST, LEAST_ODDS, FEWEST_HARMLESS = 5, 2.0, 3
@@ -116,7 +120,11 @@ def hits(lexicon: Lexicon, text: str) -> dict[int, float]:
         if weight > found.get(start, 0.0):
             found[start] = weight
     if excepted:
-        found = {at: w for at, w in found.items() if not any(a <= at <= b for a, b in excepted)}
+        excepted.sort()
+        starts, reach = [a for a, _ in excepted], list(accumulate((b for _, b in excepted), max))
+        # the exceptions that begin at or before a hit hold it if one of them reaches as far
+        held = ((at, bisect.bisect_right(starts, at)) for at in found)
+        found = {at: found[at] for at, k in held if not k or reach[k - 1] < at}
     return found
 
 
@@ -151,7 +159,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[flo
 
 def _terms(text: str) -> set[str]:
     """Words (marked by a blank at the end) and beginnings of words of a folded text."""
-    words = {w for w in _WORD.findall(text) if SHORTEST <= len(w) <= 40}
+    words = {w for w in _WORD.findall(text) if SHORTEST <= len(w) <= LONGEST_WORD}
     return {w + " " for w in words} | {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST + 1))}
 
 
@@ -217,7 +225,9 @@ def learn(documents: DataFrame, labels: DataFrame, usable: Column, id_col: str =
     chosen = parts[0].unionAll(parts[1])
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # broadcast: LABELLED rows of two numbers, under 1 MB
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    # written once: counting terms and phrases and measuring read LABELLED texts, not the corpus
+    rows = stage(rows.select("text", "toxic"), "labelled", new_folder(documents.sparkSession))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
@@ -240,7 +250,7 @@ def learn(documents: DataFrame, labels: DataFrame, usable: Column, id_col: str =
         starts = {max(i - 1, 0) for i in near} | near
         return {text[places[i][0] : places[i + 1][1]] for i in starts if i + 1 < len(places)}
 
-    odd = (F.col("other") >= FEWEST_HARMLESS) & (odds <= 0) & (F.length("term") <= 80)
+    odd = (F.col("other") >= FEWEST_HARMLESS) & (odds <= 0) & (F.length("term") <= LONGEST_PHRASE)
     phrases = _counted(rows, pairs).where(odd).orderBy(F.desc("other"), "term").limit(PHRASES).collect()
     lexicon = Lexicon(lexicon.words, lexicon.beginnings, tuple(r.term for r in phrases))
     measured = rows.select("toxic", _measure(lexicon)("text").alias("x")).select("toxic", "x.*").toPandas()  # LABELLED rows

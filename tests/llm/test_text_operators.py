@@ -336,6 +336,87 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, documents, sf_dir)
             assert out.count() <= docs.count()
 
 
-@pytest.mark.parametrize("name", list(queries.ALL))
-def test_queries_read_whole_tables(name):
-    assert name.startswith("op")
+def leftovers(spark):
+    """Folders below the shared one."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir") + "/callrank")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return set()
+    return {f"{run.getPath().getName()}/{t.getPath().getName()}" for run in fs.listStatus(top) for t in fs.listStatus(run.getPath())}
+
+
+@pytest.mark.parametrize("name", ["op3_mixing", "op4_simhash", "op5_itq", "op9_langid", "op10_sharding", "op11_bitslice", "op12_merkle"])
+def test_queries_leave_their_result_only(spark, sf_dir, name):
+    before = leftovers(spark)
+    queries.ALL[name](spark, sf_dir)
+    left = {x.split("/")[1] for x in leftovers(spark) - before}
+    assert left in ({name}, {"top"})
+
+
+def test_pipeline_leaves_its_result_only(spark, sf_dir):
+    before = leftovers(spark)
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert {x.split("/")[1] for x in leftovers(spark) - before} == {"bpe"}
+
+
+def test_hits_against_a_plain_search():
+    rnd = random.Random(6)
+    syllables = ["ba", "ke", "lo", "ba ", " ", " ke", "\n", "x"]
+    for _ in range(300):
+        words = tuple({("".join(rnd.choices("bakelo", k=rnd.randint(3, 5))), rnd.choice([1.0, 2.0, 3.0])) for _ in range(4)})
+        starts = tuple({("".join(rnd.choices(syllables[:3], k=2)), rnd.choice([0.5, 2.5])) for _ in range(3)})
+        words, starts = tuple(dict(words).items()), tuple(dict(starts).items())
+        phrases = tuple({"bake lo", "ke ba", "loba"[: rnd.randint(3, 4)]})
+        text = "".join(rnd.choices(syllables, k=rnd.randint(0, 60)))
+        want, held = {}, set()
+        for at in range(len(text)):
+            if at and text[at - 1].isalnum():
+                continue
+            for w, weight in words:
+                end = at + len(w)
+                if text.startswith(w, at) and (end == len(text) or not text[end].isalnum()):
+                    want[at] = max(want.get(at, 0), weight)
+            for w, weight in starts:
+                if text.startswith(w, at):
+                    want[at] = max(want.get(at, 0), weight)
+            for w in phrases:
+                end = at + len(w)
+                if text.startswith(w, at) and (end == len(text) or not text[end].isalnum()):
+                    held |= set(range(at, end))
+        assert toxicity.hits(toxicity.Lexicon(words, starts, phrases), text) == {k: v for k, v in want.items() if k not in held}
+
+
+def test_many_exceptions_in_one_text_are_quick():
+    import time
+
+    lexicon = toxicity.Lexicon((("nasty", 1.0),), (), ("nasty weather",))
+    start = time.time()
+    found = toxicity.hits(lexicon, "nasty weather and nasty " * 100_000)
+    assert len(found) == 100_000 and time.time() - start < 10
+
+
+def test_many_rows_of_the_first_id(spark, documents):
+    """They are not copied to the last range: one row, the first by text, follows the last row."""
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choices("red blue green".split(), k=6)) for _ in range(300)]
+    rows = [(0 if i % 3 == 0 else i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    for least in (0, None):
+        given = [(least if r[0] == 0 else r[0], *r[1:]) for r in rows]
+        got = edits.with_next(spark.createDataFrame(given, documents([]).schema)).collect()
+        assert len(got) == 300
+        first = min(t for i, t, *_ in given if i == least)
+        last = max((i, t) for i, t, *_ in given if i is not None)
+        (row,) = [r for r in got if r.doc_id == last[0]]
+        edited = last[1][: len(last[1]) - len(last[1]) // 2] + first[: len(last[1]) // 2]
+        assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
+def test_rows_without_an_id_have_numbers_of_their_own(spark):
+    """Texts of many unlike rows without an id stay apart, and join the ids that they are near to."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(400)], k=60)) for _ in range(120)]
+    rows = [(None, t) for t in texts] + [(5, texts[3]), (2, texts[3] + " w1"), (9, texts[7])]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert len(got) == len(rows) and named[9] == 9 and named[5] in (2, 5)
+    assert sum(r.component_id is None for r in got) == 118
