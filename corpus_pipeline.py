@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from callrank.llm import bpe, mixing, pii, simhash, toxicity  # noqa: E402
 from callrank.llm.common import ship_code, unused  # noqa: E402
 from callrank.llm.queries import RANKS  # noqa: E402
-from callrank.sources.staging import new_folder, stage  # noqa: E402
+from callrank.sources.staging import discard, new_folder, scratch, stage  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +69,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each read from what the one before it wrote."""
+    """The stages over ``documents``, each read from what the one before it wrote, which is deleted then.
+
+    Rows without an id go through all stages like others; see the operators for what each makes of them.
+    """
     folder = new_folder(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name, folder)
+        with scratch(spark):
+            docs = stage(function(spark, docs, sf_dir), name, folder)
+        if before:
+            discard(spark, f"{folder}/{before}")
+        before = name
     return docs
