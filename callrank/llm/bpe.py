@@ -32,7 +32,8 @@ LETTER, NUMBER, OTHER, ONE, TWO, SPACE_LAST, BLANK_LAST, BLANK_MID, END = range(
 # States: what the piece at hand is. JOIN: a space that the next piece takes in. C1, C2: letters of a contraction to come.
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, JOIN, C1, C2 = range(8)
 STATES, SYMBOLS, CHUNK = 8, 9, 64
-CACHED_PIECES, LONG_PIECE, NEVER = 250_000, 128, 1 << 40
+CACHED_PIECES, LONG_PIECE, NEVER = 60_000, 128, 1 << 40
+GROUP_CHARS = 500_000  # code points of texts that are encoded together; each takes some hundred bytes of arrays
 
 #: Blocks with letters or numbers that came with Unicode 16, the version tiktoken knows and this Python
 #: may not yet know.
@@ -248,7 +249,7 @@ def _coder(spark: SparkSession, ranks_path: str, decode: bool):
 
     def code(column: pa.Array) -> pa.Array:
         vocabulary, texts = _vocabulary(content.value), strings(column)
-        ids = [x for a, b in by_size(texts) for x in vocabulary.encode(texts[a:b])]
+        ids = [x for a, b in by_size(texts, GROUP_CHARS) for x in vocabulary.encode(texts[a:b])]
         offsets = [vocabulary.offsets(x) for x in ids]
         columns = [ids, offsets]
         if decode:
