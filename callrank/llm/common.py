@@ -15,8 +15,17 @@ from pyspark.sql import functions as F
 BATCH_CHARS = 2_000_000
 
 
+#: Rows of an Arrow batch: whole texts and what is made of them are in memory by the batch, in the JVM and in Python.
+ARROW_ROWS, _ARROW_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Let the executors' Python import this library, once a Spark application (``--py-files`` does the same)."""
+    """Let the executors' Python import this library, once a Spark application (``--py-files`` does the same).
+
+    Where the session leaves Spark's batch size for short rows (10,000) as it is, batches are made smaller.
+    """
+    if spark.conf.get(_ARROW_SETTING, "10000") == "10000":
+        spark.conf.set(_ARROW_SETTING, str(ARROW_ROWS))
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     context = spark.sparkContext
     if top in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_callrank_shipped", False):
