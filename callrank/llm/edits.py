@@ -18,21 +18,28 @@ like another empty one (1) and unlike all else (0). Rows that repeat an id follo
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callrank.llm.common import by_size
+from callrank.sources.staging import new_folder, stage
 
 WALKS, SAMPLES, SEED = 3, 32, 42
 _CLASSES, _PERIOD = 256, 4096  # characters fold into classes; random bits repeat after that many steps
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
-#: Digits of a band, texts' characters that a task works on at a time.
-BAND, TASK_CHARS, FEW = 12, 4_000_000, 30
+#: Texts' characters that a task works on at a time.
+TASK_CHARS, FEW = 4_000_000, 30
+#: Near pairs: digits between bounds of bands, least bits of a band, members of a bucket in one side of a cell.
+HALF_OCTAVE, FEWEST_BITS, CELL_ROWS = SAMPLES // 2, 16, 512
+#: Share of equal bits, in the walk in best step, down to which pairs are found with this probability.
+AGREE, RECALL = 0.85, 0.95
+_MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
 @lru_cache(1)
@@ -229,36 +236,76 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return ordered.select("range", "end", "doc_id", "text").mapInArrow(follow, _SCHEMA)
 
 
-def near_pairs(
-    df: DataFrame, most_edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Pairs (``a``, ``b``) of texts within ``most_edits`` of the longer one's length, between classes of equal texts.
+def plan(texts: int, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a band and bands of each walk: unrelated texts seldom meet in a bucket, near ones do in one band at least.
 
-    ``a`` is the smallest id of its text. Keys are bands: runs of sampled digits of each walk. A bucket links its members to
-    its smallest id, and each member to the next by fingerprint, so a crowded bucket costs two pairs a row; every
-    candidate is verified by its edit distance.
+    A bucket is a few texts large if bands have as many bits as the number of texts; the bands then follow from the recall
+    wanted for pairs whose bits agree to ``AGREE`` in the walk that is best in step.
     """
+    bits = max(FEWEST_BITS, math.ceil(math.log2(max(2, texts))))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - AGREE**bits))
+
+
+@lru_cache(256)
+def _places(bound: int, bits: int, bands: int) -> np.ndarray:
+    """Bits of a print's first ``bound`` digits that the bands take (walks x bands x bits), by the steps they stand for."""
+    rng, weight = np.random.default_rng((SEED, bound)), steps()[1][:bound]
+    digit = rng.choice(bound, (WALKS, bands, bits), p=weight / weight.sum())
+    return 4 * digit + rng.integers(0, 4, digit.shape)
+
+
+def band_keys(mark: str, bits: int, bands: int) -> np.ndarray:
+    """Bucket keys of a fingerprint. Texts of nearly the same length share one of two bounds, half an octave apart."""
+    if not mark.strip(":"):
+        return np.zeros(0, np.int64)
+    walks = [np.array([int(c, 16) for c in w], np.uint8) for w in mark.split(":")]
+    last = max(HALF_OCTAVE, min(map(len, walks)) // HALF_OCTAVE * HALF_OCTAVE)
+    power, keys = np.uint64(1) << np.arange(bits, dtype=np.uint64), []
+    for bound in {last, max(HALF_OCTAVE, last - HALF_OCTAVE)}:
+        places = _places(bound, bits, bands)
+        for k, digits in enumerate(walks):
+            digits = np.pad(digits[:bound], (0, max(0, bound - len(digits))))
+            flat = ((digits[:, None] >> np.arange(4, dtype=np.uint8)) & 1).astype(np.uint64).ravel()
+            value = (flat[places[k]] * power).sum(axis=1, dtype=np.uint64)
+            number = (np.uint64(bound * WALKS + k) << np.uint64(32)) + np.arange(bands, dtype=np.uint64)
+            mixed = (number * _MIX[0]) ^ (value * _MIX[1])
+            keys.append((mixed ^ (mixed >> np.uint64(29))) * _MIX[0])
+    return np.concatenate(keys).view(np.int64)
+
 
-    def prints(column: pa.Array) -> pa.Array:
-        texts = [t or "" for t in column.to_pylist()]
-        return pa.array([x for a, b in by_size(texts) for x in fingerprints([_codes(t) for t in texts[a:b]])[0]])
+def near_pairs(
+    df: DataFrame, most_edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL
+) -> DataFrame:
+    """Pairs (``a``, ``b``) of texts within ``most_edits`` of the longer one's length, with their edit distance ``edits``.
 
+    Pairs are those of classes of equal texts, each under its smallest id; a text that only rows without an id have is in
+    none, nor is the empty text. Keys are bands of bits sampled over the whole print (see :func:`plan`). All members of a
+    bucket meet; a crowded one is dealt to a grid of cells, so no task holds it. Candidates whose lengths rule a pair out
+    go before they are made distinct, all others are verified by their edit distance.
+    """
+    folder = new_folder(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    classes = df.select(F.col(id_col).alias("id"), text.alias("text")).groupBy("text").agg(F.min("id").alias("id"))
-    marked = classes.withColumn("print", F.arrow_udf(prints, "string")("text"))
-    bands = (
-        f"flatten(transform(split(print, ':'), (w, k) -> transform(sequence(0, greatest(int(length(w) / {BAND}) - 1, 0)), "
-        f"i -> concat(k, ':', i, ':', substring(w, i * {BAND} + 1, {BAND})))))"
-    )
-    keyed = marked.select("id", "print", F.explode(F.expr(bands)).alias("band"))
-    least = keyed.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    star = keyed.join(least, "band").selectExpr("least AS a", "id AS b").where("a <> b")
-    # within a bucket of many, the next fingerprint is the likeliest to be near; the bucket is salted by its next digits
-    chain = Window.partitionBy("band", F.substring("print", 1, 3)).orderBy("print", "id")
-    near = keyed.withColumn("after", F.lead("id").over(chain)).where("after IS NOT NULL")
-    near = near.selectExpr("least(id, after) AS a", "greatest(id, after) AS b")
-    pairs = star.unionAll(near).distinct()
-    x, y = classes.toDF("ta", "a"), classes.toDF("tb", "b")
-    joined = pairs.join(x, "a").join(y, "b")
-    limit = F.floor(F.greatest(F.length("ta"), F.length("tb")) * most_edits)
-    return joined.where(F.levenshtein("ta", "tb") <= limit).select("a", "b", F.levenshtein("ta", "tb").alias("edits"))
+    classes = df.select(F.col(id_col).alias("id"), text.alias("text")).where("id IS NOT NULL AND text <> ''")
+    classes = stage(classes.groupBy("text").agg(F.min("id").alias("id")), "classes", folder)
+    bits, bands = plan(classes.count(), recall)
+
+    def keys(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        marks = (x for a, b in by_size(texts) for x in fingerprints([_codes(t) for t in texts[a:b]])[0])
+        return pa.array([band_keys(x, bits, bands) for x in marks], pa.list_(pa.int64()))
+
+    marked = classes.select("id", F.length("text").alias("n"), F.array_distinct(F.arrow_udf(keys, "array<bigint>")("text")).alias("keys"))
+    keyed = stage(marked.select("id", "n", F.explode("keys").alias("key")), "keys", folder)
+    cuts = keyed.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cuts"), F.count("*").alias("members"))
+    met = keyed.join(cuts.where("members > 1"), "key").withColumn("own", F.expr("int(pmod(xxhash64(id, key), cuts))"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
+    met = met.selectExpr("key", "least(own, other) AS i", "greatest(own, other) AS j", "own", "id", "n")
+    x, y = (met.select("key", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("own", "id", "n")]) for side in "ab")
+    apart = f"abs(n_a - n_b) <= floor(greatest(n_a, n_b) * {float(most_edits)!r}D)"
+    pairs = x.join(y, ["key", "i", "j"]).where(f"id_a < id_b AND (i = j OR own_a <> own_b) AND {apart}")
+    pairs = pairs.selectExpr("id_a AS a", "id_b AS b").distinct()
+    of_a, of_b = classes.selectExpr("text AS ta", "id AS a"), classes.selectExpr("text AS tb", "id AS b")
+    limit = f"int(floor(greatest(length(ta), length(tb)) * {float(most_edits)!r}D))"
+    # -1 beyond the limit, found without the rest of the table of distances
+    verified = pairs.join(of_a, "a").join(of_b, "b").selectExpr("a", "b", f"levenshtein(ta, tb, {limit}) AS edits")
+    return verified.where("edits >= 0")

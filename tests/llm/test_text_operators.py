@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,37 @@ def test_few_edits_stay_near_and_pairs_are_found(spark, documents):
     assert pairs == {(i, i + 12) for i in range(12)}
 
 
+def test_near_pairs_of_texts_with_one_opening_against_all_pairs(spark, documents, monkeypatch):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(500)]
+    opening = " ".join(words[:12])
+    base = [f"{opening} {' '.join(rnd.choice(words) for _ in range(60))}"[:330] for _ in range(100)]
+
+    def edited(text: str, edits: int) -> str:
+        letters = list(text)
+        for _ in range(edits):
+            place = rnd.randrange(len(opening), len(letters))
+            letters[place : place + rnd.randint(0, 1)] = rnd.choice(["", "z", "q"])
+        return "".join(letters)
+
+    texts = [*base, *[edited(t, rnd.randint(1, 60)) for t in base], None, "", base[0], "abcde", "abcdx"]
+    df = documents(texts)
+    unnamed = df.limit(1).selectExpr("CAST(NULL AS long) AS doc_id", "'abcdy' AS text", *[c for c in df.columns if c not in ("doc_id", "text")])
+    df = df.unionByName(unnamed)
+    found = {(r.a, r.b): r.edits for r in edits.near_pairs(df).collect()}
+    rows = pd.DataFrame({"id": range(len(texts)), "text": texts}).drop([200, 201, 202])
+    true = duckdb.sql(
+        "SELECT x.id, y.id, levenshtein(x.text, y.text) AS d FROM rows x JOIN rows y ON x.id < y.id "
+        "WHERE d <= floor(greatest(length(x.text), length(y.text)) * 0.2) AND x.text <> y.text"
+    ).fetchall()
+    true = {(a, b): d for a, b, d in true}
+    assert found.items() <= true.items()
+    assert len(found) >= 0.95 * len(true) and len(true) > 90 and (203, 204) in found
+    monkeypatch.setattr(edits, "CELL_ROWS", 7)
+    assert {(r.a, r.b): r.edits for r in edits.near_pairs(df).collect()} == found
+    assert edits.near_pairs(df.limit(0)).count() == 0
+
+
 # ---- toxicity ----
 
 
