@@ -281,7 +281,7 @@ def near_pairs(
     Pairs are those of classes of equal texts, each under its smallest id; a text that only rows without an id have is in
     none, nor is the empty text. Keys are bands of bits sampled over the whole print (see :func:`plan`). All members of a
     bucket meet; a crowded one is dealt to a grid of cells, so no task holds it. Candidates whose lengths rule a pair out
-    go before they are made distinct, all others are verified by their edit distance.
+    go before they are made distinct, all others are verified by their edit distance, in steps of length times limit.
     """
     folder = new_folder(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -303,9 +303,11 @@ def near_pairs(
     x, y = (met.select("key", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("own", "id", "n")]) for side in "ab")
     apart = f"abs(n_a - n_b) <= floor(greatest(n_a, n_b) * {float(most_edits)!r}D)"
     pairs = x.join(y, ["key", "i", "j"]).where(f"id_a < id_b AND (i = j OR own_a <> own_b) AND {apart}")
+    # pairs are small rows that each cost a table of distances: a fixed number of tasks, which Spark doesn't merge by bytes
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.selectExpr("id_a AS a", "id_b AS b").distinct()
     of_a, of_b = classes.selectExpr("text AS ta", "id AS a"), classes.selectExpr("text AS tb", "id AS b")
     limit = f"int(floor(greatest(length(ta), length(tb)) * {float(most_edits)!r}D))"
-    # -1 beyond the limit, found without the rest of the table of distances
-    verified = pairs.join(of_a, "a").join(of_b, "b").selectExpr("a", "b", f"levenshtein(ta, tb, {limit}) AS edits")
-    return verified.where("edits >= 0")
+    texts = pairs.join(of_a, "a").join(of_b, "b").repartition(tasks, "a", "b")
+    # -1 beyond the limit, found without the rest of the table; as a generator, as a filter on the column would compute it twice
+    return texts.selectExpr("a", "b", f"posexplode(filter(array(levenshtein(ta, tb, {limit})), e -> e >= 0)) AS (one, edits)").drop("one")
