@@ -303,9 +303,9 @@ def near_pairs(
     x, y = (met.select("key", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("own", "id", "n")]) for side in "ab")
     apart = f"abs(n_a - n_b) <= floor(greatest(n_a, n_b) * {float(most_edits)!r}D)"
     pairs = x.join(y, ["key", "i", "j"]).where(f"id_a < id_b AND (i = j OR own_a <> own_b) AND {apart}")
+    pairs = stage(stage(pairs.selectExpr("id_a AS a", "id_b AS b"), "met", folder).distinct(), "pairs", folder)
     # pairs are small rows that each cost a table of distances: a fixed number of tasks, which Spark doesn't merge by bytes
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.selectExpr("id_a AS a", "id_b AS b").distinct()
     of_a, of_b = classes.selectExpr("text AS ta", "id AS a"), classes.selectExpr("text AS tb", "id AS b")
     limit = f"int(floor(greatest(length(ta), length(tb)) * {float(most_edits)!r}D))"
     texts = pairs.join(of_a, "a").join(of_b, "b").repartition(tasks, "a", "b")
