@@ -110,7 +110,9 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @tidy
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shuffled(sharding.measured(documents(spark, sf_dir))).select(
+    """The shards are written, texts and all; the columns are those of the texts found in them."""
+    written = sharding.write_shards(documents(spark, sf_dir), f"{new_folder(spark)}/shards")
+    return sharding.measured(written, "doc_id", "text", "shard", "slot").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

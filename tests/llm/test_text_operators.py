@@ -1,7 +1,9 @@
 """Edit fingerprints, toxicity, mixing, languages, pages, sharding and the pipeline."""
 
 import hashlib
+import pathlib
 import random
+import zlib
 from collections import Counter
 
 import duckdb
@@ -316,6 +318,56 @@ def test_shards(spark, documents, tmp_path):
     assert sharding.shuffled(sharding.measured(df.limit(0))).count() == 0
 
 
+def test_sharding_query_finds_its_rows_in_the_shards(spark, documents, tmp_path, monkeypatch):
+    """Texts reach the files of their shards, and the columns are those of the files."""
+    monkeypatch.setattr(sharding, "RUN_ROWS", 8, raising=False)
+    texts = ["copy"] * 60 + [None, "", "é" * 10, "plumless", "buckeroo"] + [f"text {i}" * i for i in range(60)]
+    docs = documents(texts)
+    docs.unionAll(docs.limit(30)).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    real, seen = sharding.write_shards, []
+
+    def write_shards(df, path, *args, **kwargs):
+        written = real(df, path, *args, **kwargs)
+        for f in pathlib.Path(path.removeprefix("file:")).glob("shard=*/*.parquet"):
+            slots = [r.slot for r in spark.read.parquet(str(f)).collect()]
+            assert slots == sorted(slots)
+        seen.extend(written.collect())
+        return written.withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(sharding, "write_shards", write_shards)
+    rows = {(r.shard, r.slot): r for r in queries.op10_sharding(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(seen) == len(texts) + 30
+    assert Counter((r.doc_id, r.text) for r in seen) == Counter((i, texts[i] or "") for i in [*range(len(texts)), *range(30)])
+    for r in seen:
+        found, text = rows[r.shard, r.slot], f"{r.text}!".encode()
+        assert (found.doc_id, found.size, found.text_crc32) == (r.doc_id, len(text) + 16, zlib.crc32(text))
+
+
+def test_shards_keep_texts_of_one_id_and_check_sum(spark, tmp_path):
+    texts = ["plumless", "buckeroo", "plumless", None]
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    df = spark.createDataFrame([(i, t) for i in (None, 7) for t in texts], "k long, body string").repartition(3)
+    sharding.write_shards(df, f"{tmp_path}/shards", shards=3, id_col="k", text_col="body")
+    rows = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((i, t or "") for i in (None, 7) for t in texts)
+    assert sorted((r.shard, r.slot) for r in rows) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+    empty = sharding.write_shards(df.limit(0), f"{tmp_path}/none", id_col="k", text_col="body")
+    assert empty.columns == ["doc_id", "text", "slot", "shard"] and empty.count() == 0
+
+
+def test_shuffled_carries_other_columns(spark, documents):
+    df = documents(["copy"] * 40 + [f"text {i}" for i in range(40)]).withColumn("n", F.monotonically_increasing_id())
+    df = df.unionAll(df.withColumn("n", -F.col("n") - 1))
+    order = sharding.shuffled(sharding.measured(df, "doc_id", "text", "n", "lang"), shards=7, bucket_rows=20)
+    assert order.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "n", "lang"]
+    rows = order.collect()
+    assert Counter((r.doc_id, r.n, r.lang) for r in rows) == Counter((r.doc_id, r.n, r.lang) for r in df.collect())
+    plain = sharding.shuffled(sharding.measured(df), shards=7, bucket_rows=20).collect()
+    place = lambda r: (r.shard, r.slot, r.doc_id, r.size, r.text_crc32)
+    assert sorted(map(place, rows)) == sorted(map(place, plain))
+
+
 def test_sharding_query_runs_no_python(spark, sf_dir):
     df = queries.op10_sharding(spark, sf_dir)
     assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
